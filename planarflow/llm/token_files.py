@@ -12,12 +12,9 @@ the order of their ids. An empty table writes no blocks and reads back as no row
 
 from __future__ import annotations
 
-import os
 import uuid
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +23,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, release, shared_dir, tokenizer_path
+from .word_bpe import steps, tokenizer
 
 #: Ids of a block before it ends with its document; ids between two marks; longest code in bits.
 BLOCK_IDS, STRIDE, MAX_BITS = 1 << 16, 256, 16
-#: Words whose ids a Python worker remembers; beyond it the memory is emptied, results stay the same.
-REMEMBERED = 250_000
 
 
 # --- code -----------------------------------------------------------------------------------------
@@ -134,50 +130,24 @@ def unpack(blocks: list[tuple[bytes, np.ndarray, int]], table: np.ndarray, bits:
 # --- ids of texts ---------------------------------------------------------------------------------
 
 
-class WordTokenizer:
-    """A tokenizers file whose rules never look across a space or a line break: ids are found once per word."""
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.lib = Tokenizer.from_file(path)
-        self.size = self.lib.get_vocab_size(with_added_tokens=True)
-        self.known: dict[str, tuple[int, ...]] = {}
-        for probe in ("It's 12\ntést  <|endoftext|> ÉÀ", "a\n b"):
-            if list(chain.from_iterable(self.encode([probe]))) != self.lib.encode(probe, add_special_tokens=False).ids:
-                raise ValueError("this tokenizer's rules cross spaces")
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = list(set(chain.from_iterable(split)).difference(known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            known.update(zip(part, (tuple(e.ids) for e in self.lib.encode_batch(part, add_special_tokens=False))))
-        return [list(chain.from_iterable(map(known.__getitem__, words))) for words in split]
-
-
-@lru_cache(maxsize=2)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
-
-
 def text_ids(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and ids: every whole text's ids and the end id as little-endian 16-bit (vocabularies up to 65,536) or 32-bit integers."""
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        wide = "<u2" if max(t.size, end_id + 1) <= 1 << 16 else "<u4"
+        wide = np.dtype("<u2" if max(t.size, end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = t.encode([x or "" for x in part.column(1).to_pylist()])
-                blobs = [np.array([*x, end_id], wide).tobytes() for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(blobs, pa.binary())], names=[key, "ids"])
+            for a, b in steps(batch.column(1)):
+                ids, count = t.flat(batch.column(1).slice(a, b - a))
+                ends = np.cumsum(count + 1)
+                held = np.full(int(ends[-1]), end_id, wide)
+                body = np.ones(len(held), bool)
+                body[ends - 1] = False
+                held[body] = ids
+                offsets = np.r_[0, ends * wide.itemsize].astype(np.int32)
+                blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(held)])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blobs], names=[key, "ids"])
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids binary")
 
