@@ -1,10 +1,294 @@
-"""Queries of the drawing engine, by name, and the SQL that checks them."""
+"""Queries of the drawing engine, by name, and the SQL that checks them.
+
+kmn_*, k22_*, dual_routes_* and census_* are the engine's own operators; the census ones are held against published numbers.
+stat_* and text_* apply the diagnostics' and the flags' relational operators to the given tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from planarflow.functions.drawing import Extender, seeds
+from planarflow.operators import census, diagnostics, flags
+from planarflow.plans.golden import COUNTS
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(oracle: str | None = None, name: str | None = None):
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name or f.__name__] = f
+        if oracle:
+            ORACLE_SQL[name or f.__name__] = oracle
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# --- K(m,n) ---------------------------------------------------------------------------------------
+
+
+def graphs(spark: SparkSession) -> DataFrame:
+    """m and n of all graphs of the census."""
+    m, n = spark.range(2, 5).withColumnRenamed("id", "m"), spark.range(2, 7).withColumnRenamed("id", "n")
+    return m.join(n, (F.col("m") <= F.col("n")) & (F.col("m") + F.col("n") <= 8))
+
+
+def all_edges(spark: SparkSession) -> DataFrame:
+    a, b = spark.range(0, 8).withColumnRenamed("id", "a"), spark.range(0, 8).withColumnRenamed("id", "b")
+    x = graphs(spark).join(a, F.col("a") < F.col("m")).join(b, (F.col("b") >= F.col("m")) & (F.col("b") < F.col("m") + F.col("n")))
+    return x.withColumn("edge_id", F.col("a") * F.col("n") + F.col("b") - F.col("m"))
+
+
+_EDGES = """g AS (SELECT m.range AS m, n.range AS n FROM range(2, 5) m JOIN range(2, 7) n ON m.range <= n.range AND m.range + n.range <= 8),
+e AS (SELECT m, n, a.range AS a, b.range AS b, a.range * n + b.range - m AS edge_id FROM g JOIN range(0, 8) a ON a.range < m JOIN range(0, 8) b ON b.range >= m AND b.range < m + n),
+x AS (SELECT e.m, e.n, e.a AS a1, e.b AS b1, f.a AS a2, f.b AS b2 FROM e JOIN e f ON e.m = f.m AND e.n = f.n AND e.edge_id < f.edge_id AND e.a <> f.a AND e.b <> f.b)"""
+
+
+@query(f"WITH {_EDGES} SELECT m, n, edge_id, a, b FROM e")
+def kmn_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return all_edges(spark).select("m", "n", "edge_id", "a", "b")
+
+
+def disjoint_pairs(edges: DataFrame) -> DataFrame:
+    """Pairs of edges of a graph without a common end: its possible crossings."""
+    e, f = edges.alias("e"), edges.alias("f")
+    same = (F.col("e.m") == F.col("f.m")) & (F.col("e.n") == F.col("f.n")) & (F.col("e.edge_id") < F.col("f.edge_id"))
+    x = e.join(f, same & (F.col("e.a") != F.col("f.a")) & (F.col("e.b") != F.col("f.b")))
+    return x.select("e.m", "e.n", F.col("e.a").alias("a1"), F.col("e.b").alias("b1"), F.col("f.a").alias("a2"), F.col("f.b").alias("b2"))
+
+
+@query(f"WITH {_EDGES} SELECT m, n, count(*) AS n_crossings, count(DISTINCT [least(a1, a2), greatest(a1, a2), least(b1, b2), greatest(b1, b2)]) AS n_four_sets FROM x GROUP BY m, n")
+def kmn_possible_crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    four = F.array_sort(F.array("a1", "b1", "a2", "b2"))
+    return disjoint_pairs(all_edges(spark)).groupBy("m", "n").agg(F.count("*").alias("n_crossings"), F.countDistinct(four).alias("n_four_sets"))
+
+
+def _label_sql(kind: str) -> str:
+    if kind == "four":
+        return f"WITH {_EDGES} SELECT DISTINCT m, n, concat(least(a1, a2) + 1, greatest(a1, a2) + 1, least(b1, b2) + 1, greatest(b1, b2) + 1) AS token FROM x"
+    return f"WITH {_EDGES} SELECT m, n, concat(a1 + 1, b1 + 1, a2 + 1, b2 + 1) AS token FROM x"
+
+
+def _labels(kind: str) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        x = disjoint_pairs(all_edges(spark))
+        ends = F.array(*((F.col(c) + 1).cast("string") for c in ("a1", "b1", "a2", "b2")))
+        out = x.select("m", "n", F.array_join(F.array_sort(ends) if kind == "four" else ends, "").alias("token"))
+        return out.distinct() if kind == "four" else out
+
+    return run
+
+
+query(_label_sql("crossing"), "kmn_crossing_labels")(_labels("crossing"))
+query(_label_sql("four"), "kmn_four_sets")(_labels("four"))
+
+
+@query("""WITH g AS (SELECT m.range AS m, n.range AS n FROM range(2, 5) m JOIN range(2, 7) n ON m.range <= n.range AND m.range + n.range <= 8)
+SELECT m, n, CAST(factorial(CAST(m AS INTEGER)) * factorial(CAST(n AS INTEGER)) * CASE WHEN m = n THEN 2 ELSE 1 END AS BIGINT) AS n_automorphisms FROM g""")
+def kmn_automorphism_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(m, n, len(census.census_of(m, n).group)) for m, n in COUNTS]
+    return spark.createDataFrame(rows, "m long, n long, n_automorphisms long")
+
+
+@query("SELECT * FROM (VALUES ('crossing', '4 0 1 1 2 2 0'), ('crossing', '4 0 1 1 2 2 1 1324'), ('four', '4 0 1 1 2 2 0'), ('four', '4 0 1 1 2 2 1 1234')) t(kind, flag)")
+def k22_seed_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = census.census_of(2, 2)
+    return flags.labeled(flags.exported(census.crossing_sets(census.seed_classes(spark, 2, 2), 2, 2), c)).select("kind", "flag")
+
+
+@query("""WITH RECURSIVE doors(face, bit, far) AS (VALUES (0, 1, 2), (0, 2, 2), (1, 2, 2), (2, 2, 1), (2, 2, 0), (2, 1, 0)),
+goal(face) AS (VALUES (1), (2)),
+route(face, used, depth) AS (
+  SELECT * FROM (VALUES (0, 0, 0), (1, 0, 0), (2, 0, 0)) s(face, used, depth)
+  UNION ALL SELECT d.far, r.used + d.bit, r.depth + 1 FROM route r JOIN doors d ON d.face = r.face AND (r.used & d.bit) = 0)
+SELECT depth, count(*) AS n_routes FROM route JOIN goal USING (face) GROUP BY depth""")
+def dual_routes_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routes of the first edge of a new vertex through the crossed drawing of K(2,2), by number of crossings."""
+    c = census.census_of(2, 3)
+    x = Extender(c.points, seeds(c)[1], c.stages[0].steps[0])
+    bits = {p: 1 << i for i, p in enumerate(sorted({d[0] for doors in x.doors for d in doors}))}
+    doors = [(i, bits[p], far) for i, out in enumerate(x.doors) for p, _, far in out]
+    faces = [(i, x.step.target in f) for i, f in enumerate(x.faces)]
+    return spark.sql(
+        """WITH RECURSIVE route(face, used, depth) AS (
+             SELECT face, 0, 0 FROM {faces}
+             UNION ALL SELECT d.far, r.used + d.bit, r.depth + 1 FROM route r JOIN {doors} d ON d.face = r.face AND (r.used & d.bit) = 0)
+           SELECT depth, count(*) AS n_routes FROM route JOIN {faces} f USING (face) WHERE f.goal GROUP BY depth""",
+        doors=spark.createDataFrame(doors, "face int, bit int, far int"),
+        faces=spark.createDataFrame(faces, "face int, goal boolean"),
+    )
+
+
+# --- census ---------------------------------------------------------------------------------------
+
+
+def _sets(spark: SparkSession, m: int, n: int) -> DataFrame:
+    return census.crossing_sets(census.classes(spark, m, n), m, n)
+
+
+def _strong(m: int, n: int):
+    return lambda spark, sf_dir: census.strong_classes(_sets(spark, m, n), m, n).select("color_preserving", "color_blind")
+
+
+def _flag_classes(m: int, n: int, kind: str):
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = census.census_of(m, n)
+        return flags.flag_class_counts(flags.labeled(flags.exported(_sets(spark, m, n), c)), c, kind)
+
+    return run
+
+
+for _m, _n in ((2, 2), (2, 3), (2, 4), (2, 5), (2, 6), (3, 3), (3, 4)):
+    for _kind, _make in (("strong", _strong(_m, _n)), *((k, _flag_classes(_m, _n, k)) for k in flags.KINDS)):
+        _kept, _blind = COUNTS[_m, _n][_kind]
+        _name = f"census_strong_K{_m}_{_n}" if _kind == "strong" else f"census_{_kind}_flags_K{_m}_{_n}"
+        query(f"SELECT CAST({_kept} AS BIGINT) AS color_preserving, CAST({_blind} AS BIGINT) AS color_blind", _name)(_make)
+
+
+@query("SELECT CAST(27 AS BIGINT) AS fixed_by_side_swap")
+def side_swap_K3_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return census.strong_classes(_sets(spark, 3, 3), 3, 3).select("fixed_by_side_swap")
+
+
+@query("SELECT * FROM (VALUES ('crossing', 204), ('four', 204)) t(kind, n)")
+def exported_rows_K3_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flags.exported(_sets(spark, 3, 3), census.census_of(3, 3)).groupBy("kind").agg(F.count("*").cast("int").alias("n"))
+
+
+@query("SELECT CAST(5 AS BIGINT) AS color_preserving, CAST(5 AS BIGINT) AS color_blind")
+def streamed_flags_K2_3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage without drawings: crossing sets alone give the same flag classes."""
+    c = census.census_of(2, 3)
+    sets = census.final_crossing_sets(spark, census.seed_classes(spark, 2, 3), 2, 3)
+    return flags.flag_class_counts(flags.labeled(flags.exported(sets, c)), c, "crossing")
+
+
+# --- diagnostics' operators on the given tables -----------------------------------------------------
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def stat_counts_by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.counts_by(table(spark, sf_dir, "events"), "event_type")
+
+
+@query("SELECT count(*) FILTER (o_orderstatus = 'O' AND o_totalprice > 100000) AS large_open, count(*) FILTER (o_orderdate < TIMESTAMP '1995-01-01') AS early FROM orders")
+def stat_count_where(spark: SparkSession, sf_dir: str) -> DataFrame:
+    early = F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")
+    return diagnostics.count_where(table(spark, sf_dir, "orders"), large_open=(F.col("o_orderstatus") == "O") & (F.col("o_totalprice") > 100000), early=early)
+
+
+@query("""SELECT l_returnflag, count(*) AS n, CAST(coalesce(sum(CAST(l_quantity AS BIGINT)), 0) AS BIGINT) AS total, min(CAST(l_quantity AS BIGINT)) AS least,
+max(CAST(l_quantity AS BIGINT)) AS most, round(avg(CAST(l_quantity AS BIGINT)), 6) AS mean, count(DISTINCT l_suppkey) AS n_distinct FROM lineitem GROUP BY l_returnflag""")
+def stat_multi_agg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").withColumn("q", F.col("l_quantity").cast("long"))
+    return diagnostics.multi_aggregate(x, "l_returnflag", "q", "l_suppkey").withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(coalesce(sum(o_custkey), 0) AS BIGINT) AS total FROM orders GROUP BY ALL")
+def stat_sums_by_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.sums_by(table(spark, sf_dir, "orders"), ["o_orderstatus", "o_orderpriority"], "o_custkey")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def stat_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.top(table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice", 20, "o_orderkey")
+
+
+@query("SELECT c_custkey, n_name FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_regionkey < 3")
+def stat_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation").where("n_regionkey < 3")
+    return table(spark, sf_dir, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey"), "left").select("c_custkey", "n_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def stat_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.without(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders"), "o_custkey")
+
+
+@query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 300000)")
+def stat_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.having(table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", table(spark, sf_dir, "orders").where("o_totalprice > 300000"), "o_custkey")
+
+
+@query("""SELECT c_custkey, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'O') AS n_open,
+(SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') AS n_filled FROM customer""")
+def stat_correlated_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders")
+    owners = table(spark, sf_dir, "customer").select("c_custkey")
+    return diagnostics.with_counts(owners, "c_custkey", orders, "o_custkey", n_open=F.col("o_orderstatus") == "O", n_filled=F.col("o_orderstatus") == "F")
+
+
+@query("SELECT event_type, user_id, min(props) AS props FROM events GROUP BY event_type, user_id")
+def stat_upsert_min(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.least_payload(table(spark, sf_dir, "events"), ["event_type", "user_id"], "props")
+
+
+@query("SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k = 1")
+def stat_upsert_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.latest(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "event_type"), "user_id", "ts", "event_id").select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def stat_insert_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.first_wins(table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), "user_id", "ts", "event_id").select("user_id", "event_id")
+
+
+@query("SELECT event_type, count(*) AS n, coalesce(sum(CAST(json_extract(props, '$.k') AS DOUBLE)), 0) AS k FROM events GROUP BY event_type")
+def stat_json_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diagnostics.payload_sums(table(spark, sf_dir, "events"), "props", ["k"], "event_type")
+
+
+@query("SELECT event_type, CAST(epoch(max(ts)) - epoch(min(ts)) AS BIGINT) AS span_seconds FROM events GROUP BY event_type")
+def stat_wall_span(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").alias("last"), F.min("ts").alias("first"))
+    seconds = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 1e6
+    return x.select("event_type", F.round(seconds("last") - seconds("first")).cast("long").alias("span_seconds"))
+
+
+@query("SELECT n_nationkey, CASE WHEN count(o_orderkey) <> 0 THEN count(*) FILTER (o_orderstatus = 'F') / count(o_orderkey) END AS filled FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey AND c_acctbal > 9900 LEFT JOIN orders ON o_custkey = c_custkey GROUP BY n_nationkey")
+def stat_ratio_zero_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rich = table(spark, sf_dir, "customer").where("c_acctbal > 9900")
+    x = table(spark, sf_dir, "nation").join(rich, F.col("c_nationkey") == F.col("n_nationkey"), "left").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    held = x.groupBy("n_nationkey").agg(F.count_if(F.col("o_orderstatus") == "F").alias("part"), F.count("o_orderkey").alias("whole"))
+    return held.select("n_nationkey", diagnostics.ratio(F.col("part"), F.col("whole")).alias("filled"))
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'purchase') AND value IS NOT NULL ORDER BY ts, event_id")
+def stat_in_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase") & F.col("value").isNotNull())
+    return x.orderBy("ts", "event_id").select("event_id", "event_type")
+
+
+@query("SELECT coalesce(sum(l_linenumber), 0)::BIGINT AS total, count(*) AS n FROM lineitem WHERE l_quantity < 0")
+def stat_empty_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem").where("l_quantity < 0")
+    return x.agg(F.coalesce(F.sum("l_linenumber"), F.lit(0)).alias("total"), F.count("*").alias("n"))
+
+
+# --- flags' operators on texts ----------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT text FROM documents ORDER BY text")
+def text_sort_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("text").distinct().orderBy("text")
+
+
+@query("SELECT substr(sha256(text), 1, 2) AS bucket, count(*) AS n, count(DISTINCT text) AS n_texts FROM documents GROUP BY 1")
+def text_hash_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "documents").withColumn("bucket", F.substring(F.sha2("text", 256), 1, 2))
+    return x.groupBy("bucket").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_texts"))
+
+
+@query("SELECT doc_id, array_to_string(list_sort(list_distinct(string_split(text, ' '))), ' ') AS tokens FROM documents")
+def text_token_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.array_sort(F.array_distinct(F.split("text", " ")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(words, " ").alias("tokens"))
