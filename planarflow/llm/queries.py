@@ -65,7 +65,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _ESCAPED = r"replace(replace(replace(coalesce(text, ''), '\', '\b'), '<', '\l'), '#', '\h')"
 _ROLE = r"replace(replace(replace(replace(replace(coalesce(role, ''), '\', '\b'), '<', '\l'), '#', '\h'), ':', '\c'), chr(10), '\n')"
 
+_REACH = """
+reach(a, b) AS (SELECT id, id FROM node UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_vectors": f"""
+WITH RECURSIVE sound AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT p.vec_id AS a, q.vec_id AS b FROM sound p JOIN sound q ON p.vec_id <> q.vec_id AND list_cosine_similarity(p.v, q.v) >= 0.9
+), node AS (SELECT vec_id AS id FROM embeddings), {_REACH}
+SELECT id AS vec_id, (SELECT count(*) FROM link WHERE a = id) AS n_links, component_id, id = component_id AS kept FROM least
+""",
+    "op6_jaccard_join": f"""
+WITH RECURSIVE word AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS s FROM word
+), size AS (SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id),
+pair AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM shingle p JOIN shingle q ON p.s = q.s AND p.doc_id <> q.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+node AS (SELECT doc_id AS id FROM documents), {_REACH}
+SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id FROM least LEFT JOIN size ON size.doc_id = id
+""",
     "op5_chat_format": rf"""
 WITH t AS (
   SELECT conv_id, turn, role, text FROM conversations
