@@ -7,6 +7,8 @@ packed into bytes that sort as it does and hold the whole drawing, so it serves
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Sequence
 from functools import lru_cache
 
@@ -152,6 +154,19 @@ def invariant(d: Drawing, name: str, points: Points):
     raise ValueError(f"unknown bucket property: {name!r}")
 
 
+#: Properties that buckets use by default.
+DEFAULT_PROPERTIES = ("path-crossing-counts", "face-lengths")
+
+
+def bucket_key(d: Drawing, points: Points, properties: Sequence[str] | None = None) -> str:
+    """The named properties' values as compact JSON; equal for drawings that differ by a relabeling."""
+    return json.dumps([[name, invariant(d, name, points)] for name in properties or DEFAULT_PROPERTIES], separators=(",", ":"))
+
+
+def bucket_hash(d: Drawing, points: Points, properties: Sequence[str] | None = None) -> str:
+    return hashlib.sha256(bucket_key(d, points, properties).encode()).hexdigest()
+
+
 # --- sides ----------------------------------------------------------------------------------------
 
 

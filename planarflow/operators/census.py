@@ -87,11 +87,15 @@ def _done(spark: SparkSession, path: str) -> bool:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
 
 
-def classes(spark: SparkSession, m: int, n: int, root: str | None = None, tasks: int | None = None) -> DataFrame:
-    """Final classes of K(m,n): stages that a table under root exists for are not run again; without root, checkpoints are used."""
+def classes(spark: SparkSession, m: int, n: int, root: str | None = None, tasks: int | None = None, stages: int | None = None) -> DataFrame:
+    """Classes of K(m,n) after all stages or the first few.
+
+    Stages that a table under root exists for are not run again; tables are partitioned by crossing count. Without root, for
+    small graphs, intermediate classes are persisted."""
     frontier = seed_classes(spark, m, n)
     tasks = tasks or 4 * spark.sparkContext.defaultParallelism
-    for stage in range(len(census_of(m, n).stages)):
+    last = len(census_of(m, n).stages) if stages is None else stages
+    for stage in range(last):
         path = root and stage_path(root, m, n, stage)
         if path and _done(spark, path):
             frontier = spark.read.schema(CLASS).parquet(path)
@@ -99,10 +103,10 @@ def classes(spark: SparkSession, m: int, n: int, root: str | None = None, tasks:
         # Parents differ much in cost and are few at first: deal them out singly.
         found = reduce_classes(expand(frontier.repartition(tasks), m, n, stage))
         if path:
-            found.write.mode("overwrite").parquet(path)
+            found.repartition("crossings", F.pmod(F.xxhash64("form"), F.lit(8))).write.mode("overwrite").partitionBy("crossings").parquet(path)
             frontier = spark.read.schema(CLASS).parquet(path)
         else:
-            frontier = found.persist() if stage + 1 < len(census_of(m, n).stages) else found
+            frontier = found.persist() if stage + 1 < last else found
     return frontier
 
 

@@ -148,6 +148,18 @@ class Run:
 
         return self.part(f"flags-{kind}", make)
 
+    def flags_only(self, kind: str) -> dict:
+        """Distinct labeled flags of a kind, by a last stage that builds no drawings; needs no final classes."""
+
+        def make() -> dict:
+            parents = census.classes(self.spark, self.m, self.n, f"{self.folder.path}/classes", stages=len(self.census.stages) - 1)
+            sets = census.final_crossing_sets(self.spark, parents, self.m, self.n)
+            rows = flags.labeled(flags.exported(sets, self.census)).where(F.col("kind") == kind)
+            rows.select("flag").orderBy("flag").write.mode("overwrite").text(f"{self.folder.path}/flags-only-{kind}")
+            return {"flags": self.spark.read.text(f"{self.folder.path}/flags-only-{kind}").count()}
+
+        return self.part(f"flags-only-{kind}", make)
+
     def stage_counts(self) -> list[dict]:
         out = []
         for stage in range(len(self.census.stages)):
