@@ -7,7 +7,7 @@ linear over the presence of words and word beginnings, and is trained in numpy o
 
 with the logistic loss, so that its output estimates the log-odds of the true class although no clean example is named; where
 the second part turns negative, a step is taken that raises it again. The prior is the share of toxic ones among the labelled
-rows that may be learned from. The fit takes at most POSITIVES and UNLABELLED documents, those of least hash; scoring reads
+rows that may be learned from, plus its standard error: too low a prior treats hidden positives as clean. The fit takes at most POSITIVES and UNLABELLED documents, those of least hash; scoring reads
 every whole text, in a narrow pass.
 
 Nulls and empty texts have no words, so they score what the bias says (the lowest score). Null labels are ignored; a document
@@ -137,7 +137,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("int")), F.lit(0))).first()
     if prior is None:
-        prior = min(0.5, max(1e-3, toxic / n)) if toxic else DEFAULT_PRIOR
+        share = toxic / n if n else 0.0
+        prior = min(0.5, share + (share * (1 - share) / n) ** 0.5) if toxic else DEFAULT_PRIOR
     chance = F.xxhash64(F.col("doc_id"), F.lit(7))
     sure = known.where("toxic = 1").select("doc_id", F.lit(True).alias("positive")).orderBy(chance, "doc_id").limit(positives)
     rest = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(False).alias("positive")).orderBy(chance, "doc_id").limit(unlabelled)
