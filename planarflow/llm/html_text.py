@@ -118,7 +118,9 @@ def page_tokens(html: str) -> dict[str, list]:
             row[0] += 1
         elif kind == "text" and (size := len(value.strip())):
             linked = any(s[0] == "a" for s in stack)
-            for k in range(1, len(stack) + 1):
+            # Text of a part set aside counts for that part, not for what holds it.
+            first = next((k for k, s in enumerate(stack) if s[2]), 0)
+            for k in range(first + 1, len(stack) + 1):
                 row = out[path_of(stack[:k])]
                 row[2] += size
                 row[3] += size * linked
