@@ -29,6 +29,13 @@ def test_stages_against_brute_force(spark, sf_dir):
         assert out[r.doc_id].decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
 
 
+def test_repeated_and_nameless_rows(spark, docs):
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [0, 2, 3, 4, 5, 6, 7]
+    assert kept.where("doc_id IS NULL").count() == 1
+
+
 def test_run_is_the_stages_in_turn(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     for _, stage in corpus_pipeline.STAGES:
