@@ -1,9 +1,9 @@
 """The census: stages of expand, shuffle by canonical form, distinct; a Parquet table after each stage.
 
 A row is a class: form (packed canonical drawing, key and representative at once), its crossing count and the sorted crossing
-counts of its paths. Expansion is a flat-map in Arrow batches that removes repeats of its own batch, so the shuffle sees each
-form once per batch at most; grouping by form is a hash aggregate with partial aggregation, which neither skew by crossing
-count nor repeats of one form unbalance. Tables end the lineage, give resumption, and survive lost executors.
+counts of its paths. Expansion is a flat-map in Arrow batches that removes its own repeats as far as a bounded memory goes;
+grouping by form is a hash aggregate with partial aggregation, which neither skew by crossing count nor repeats of one form
+unbalance. Tables end the lineage, give resumption, and survive lost executors.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from planarflow.functions import canonical
 from planarflow.functions.drawing import Drawing, extend_stage, seeds, stage_crossings
 from planarflow.plans.graph import Census
 
+#: Distinct forms that a task holds before it passes them on.
+FLUSH = 20_000
 CLASS = "form binary, crossings int, path_crossings array<int>"
 _ARROW = pa.schema([("form", pa.binary()), ("crossings", pa.int32()), ("path_crossings", pa.list_(pa.int32()))])
 
@@ -51,7 +53,7 @@ def seed_classes(spark: SparkSession, m: int, n: int) -> DataFrame:
 
 
 def expand(frontier: DataFrame, m: int, n: int, stage: int) -> DataFrame:
-    """Canonical forms of all drawings that a stage makes of the frontier's, repeats within a batch removed.
+    """Canonical forms of all drawings that a stage makes of the frontier's, most repeats within a task removed.
 
     The planar seed's two faces coincide, so drawings made from it can lack a face. Those that have crossings come from the
     other seed as well, complete, and are dropped here; planar ones stay."""
@@ -59,16 +61,19 @@ def expand(frontier: DataFrame, m: int, n: int, stage: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = census_of(m, n)
         can = canonical.canonizer(m, n, stage)
+        held: dict[bytes, tuple] = {}
         for batch in batches:
             for value in batch.column(0):
-                held: dict[bytes, tuple] = {}
                 for child in extend_stage(c.points, canonical.unpack(value.as_py()), c.stages[stage]):
                     if missing_faces(child) and child.crossings(m + n):
                         continue
                     form = can.form(child)
                     if form not in held:
                         held[form] = _row(form, child, m + n)
-                yield _batch(list(held.values()))
+                if len(held) >= FLUSH:
+                    yield _batch(list(held.values()))
+                    held.clear()
+        yield _batch(list(held.values()))
 
     return frontier.select("form").mapInArrow(run, CLASS)
 
@@ -93,7 +98,7 @@ def classes(spark: SparkSession, m: int, n: int, root: str | None = None, tasks:
     Stages that a table under root exists for are not run again; tables are partitioned by crossing count. Without root, for
     small graphs, intermediate classes are persisted."""
     frontier = seed_classes(spark, m, n)
-    tasks = tasks or 4 * spark.sparkContext.defaultParallelism
+    tasks = tasks or max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     last = len(census_of(m, n).stages) if stages is None else stages
     for stage in range(last):
         path = root and stage_path(root, m, n, stage)

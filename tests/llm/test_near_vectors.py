@@ -53,10 +53,15 @@ def test_levels_halve_and_radii_cover():
     x = nv.unit(np.array([v for _, v in vectors(7)]))
     tree = nv.CoverTree(x)
     assert sorted(tree.order) == list(range(len(x)))
-    for node, kids in enumerate(tree.children):
-        a, b = tree.range[node]
-        inside = tree.points[a:b]
-        assert nv.gaps(inside, x[tree.centre[node]][None]).max() <= tree.radius[node] + 1e-6
-        if len(kids):
+    for node, (a, b) in enumerate(tree.range):
+        assert nv.gaps(tree.points[a:b], tree.points[tree.centre[node]][None]).max() <= tree.radius[node] + 1e-7
+        kids = tree.children(node)
+        if kids[0] != node:
             assert tree.centre[kids[0]] == tree.centre[node]
-            assert all(tree.radius[k] < tree.radius[node] for k in kids)
+            assert sorted(i for k in kids for i in range(*tree.range[k])) == list(range(a, b))
+            assert all(tree.radius[k] <= tree.radius[node] / 2 + 1e-4 or tree.radius[k] < tree.radius[node] for k in kids)
+    again = nv.CoverTree.unpack(tree.points, tree.pack())
+    one = np.ones(len(x), np.int64)
+    links = nv.traverse(again, again, one, one, 0.9, True)
+    near = tree.points @ tree.points.T >= 0.9
+    assert (links.a + links.b == near.sum(axis=1) - 1).all()
