@@ -21,6 +21,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import small_batches
+
 #: Payloads are padded with PAD to a positive multiple of UNIT bytes.
 UNIT, PAD = 192, b" "
 RATE, DOWN = 16_000, 2
@@ -133,6 +135,7 @@ def media_columns(docs: DataFrame, keep_media: bool = False, key: str = "doc_id"
 
     With keep_media the stored bytes, the tensor (row by row) and the time spans (start, end, ...) follow as columns."""
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
     plain = {"n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string()}
     spell = {pa.int64(): "long", pa.string(): "string"}
     schema = ", ".join([f"`{key}` {kind}", *(f"{k} {spell[v]}" for k, v in plain.items()), *(f"{k} {v[0]}" for k, v in _MEDIA.items() if keep_media)])

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, small_batches
 
 #: Hosts whose templates (about 1 kB each) are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 20_000
@@ -230,6 +230,7 @@ def extract(html: str | None, main: str) -> str:
 
 def page_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
+    small_batches(pages.sparkSession)
     columns = ("token", "vector", "pages", "places", "text", "linked", "main", "aside")
 
     @F.udf("string")

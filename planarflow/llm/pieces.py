@@ -20,11 +20,11 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import tokenizer_path
+from .common import small_batches, tokenizer_path, trim
 
 SPACE = "▁"
-#: Chunks and pairs that a Python worker remembers; beyond it the memory is emptied, results stay the same.
-REMEMBERED = 250_000
+#: Chunks that a Python worker remembers, and as many of those before; rare ones are forgotten, results stay the same.
+REMEMBERED = 150_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]*")
 _ROOT, _UNKNOWN = -2, -1
 
@@ -59,6 +59,7 @@ class PieceCodec:
         self.text_of = [str(i) for i in range(size)]
         self._pairs: dict[int, bool] = {}
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         for probe in ("ﬁ  a b c ", "x́Å\tA\n"):
             if self.encode(probe, end=False) != lib.encode(probe):
                 raise ValueError("the model normalises texts; only identity is supported")
@@ -133,10 +134,13 @@ class PieceCodec:
             for c in chunks:
                 ids = known.get(c)
                 if ids is None:
-                    if len(known) > REMEMBERED:
-                        known.clear()
-                    ids = self._chunk(c)
+                    ids = self._older.get(c)
+                    if ids is None:
+                        ids = self._chunk(c)
                     if len(c) < 64:
+                        if len(known) >= REMEMBERED:
+                            self._older, known = known, {}
+                            self._known = known
                         known[c] = ids
                 extend(ids)
         if end:
@@ -159,6 +163,7 @@ def encode_pieces(docs: DataFrame, model: str | None = None, keep_ids: bool = Fa
 
     Returns key, n_tokens, ids_sha256 and decoded_sha256, with keep_ids also ids (array of int) and decoded."""
     path = model or tokenizer_path("piece_bpe_32k.model")
+    small_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
 
@@ -182,5 +187,6 @@ def encode_pieces(docs: DataFrame, model: str | None = None, keep_ids: bool = Fa
                 columns += [pa.array(rows[3], pa.list_(pa.int32())), pa.array(rows[4], pa.string())]
                 names += ["ids", "decoded"]
             yield pa.RecordBatch.from_arrays(columns, names=names)
+        trim()
 
     return docs.select(key, text).mapInArrow(run, schema)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, shared_dir, tokenizer_path
+from .common import cut, release, shared_dir, small_batches, tokenizer_path, trim
 from .word_bpe import steps, tokenizer
 
 #: Ids of a block before it ends with its document; ids between two marks; longest code in bits.
@@ -133,6 +133,7 @@ def unpack(blocks: list[tuple[bytes, np.ndarray, int]], table: np.ndarray, bits:
 def text_ids(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key and ids: every whole text's ids and the end id as little-endian 16-bit (vocabularies up to 65,536) or 32-bit integers."""
     kind = docs.schema[key].dataType.simpleString()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
@@ -148,6 +149,7 @@ def text_ids(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text:
                 offsets = np.r_[0, ends * wide.itemsize].astype(np.int32)
                 blobs = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(offsets), pa.py_buffer(held)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), blobs], names=[key, "ids"])
+        trim()
 
     return docs.select(key, text).mapInArrow(run, f"`{key}` {kind}, ids binary")
 

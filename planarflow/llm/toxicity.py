@@ -17,16 +17,16 @@ equal scores. Language, source and ids are never inputs. An empty table gives an
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, word_hashes
+from .common import mix64, slices, small_batches, trim, word_hashes
 
 #: Bounds of the sample that is fitted; hashed features; features kept; score from which a document counts as toxic.
 POSITIVES, UNLABELLED, BUCKETS, KEPT, REJECT = 6_000, 20_000, 1 << 20, 8_192, 0.7
@@ -119,6 +119,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(x or "").lower().encode() for x in batch.column(1).to_pylist()]
@@ -150,17 +152,22 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     ends, flat = rows.offsets.to_numpy(), rows.values.to_numpy()
     split = [flat[a:b] for a, b in zip(ends, ends[1:])]
     # Rows come in any order; the fit adds them up, so they are put in one that depends on them alone.
-    order = sorted(range(len(split)), key=lambda i: (len(split[i]), split[i].tobytes()))
-    distinct = [i for i, j in zip(order, [None, *order]) if j is None or mark[i] != mark[j] or split[i].tobytes() != split[j].tobytes()]
+    name = [hashlib.sha256(r.tobytes()).digest() for r in split]
+    order = sorted(range(len(split)), key=lambda i: (name[i], mark[i]))
+    distinct = [i for i, j in zip(order, [None, *order]) if j is None or mark[i] != mark[j] or name[i] != name[j]]
     return fit_nnpu([split[i] for i in distinct if mark[i]], [split[i] for i in order if not mark[i]], prior)
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
     """docs with the score of every whole text (0 to 1, higher: likelier toxic)."""
 
-    @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series(model.scores([(x or "").lower().encode() for x in text]))
+    small_batches(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def score(text: pa.Array) -> pa.Array:
+        out = pa.array(model.scores([(x or "").lower().encode() for x in text.to_pylist()]), pa.float64())
+        trim()
+        return out
 
     return docs.withColumn(column, score(F.col("text")))
 
