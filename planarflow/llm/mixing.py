@@ -139,6 +139,7 @@ def mixing_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, wei
     by = Window.partitionBy("rank").orderBy("block")
     x = x.withColumn("end", F.sum("words").over(by)).withColumn("begin", F.col("end") - F.col("words")).withColumn("place_in", F.row_number().over(by) - 1)
     x = x.withColumn("state", F.when(F.col("end") <= F.col("rest"), 2).when(F.col("begin") < F.col("rest"), 1).otherwise(0))
+    x = cut(x, "mix-spans")
     # The block in which a source's rest ends is cut at a document; one more document near it fills what is left.
     edge = x.where("state = 1").select("source", "rank", F.col("block").alias("at"), "begin", "rest", "place_in")
     edge = cut(edge, "mix-edges")
@@ -154,14 +155,14 @@ def mixing_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, wei
     x = x.join(first.select("rank", "last"), "rank", "left").join(more, "rank", "left")
     lone = F.col("extra_block") == F.col("block")
     x = x.withColumn("last", F.when(F.col("state") == 1, F.col("last"))).withColumn("extra", F.when(lone, F.col("extra")))
-    x = x.withColumn("state", F.when(F.col("state") == 2, 2).when(F.col("last").isNotNull() | F.col("extra").isNotNull(), 1).otherwise(0))
+    x = cut(x.withColumn("state", F.when(F.col("state") == 2, 2).when(F.col("last").isNotNull() | F.col("extra").isNotNull(), 1).otherwise(0)), "mix-states")
     passes_of = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(passes)), lambda p: F.when(p < F.col("whole"), p).when((p == F.col("whole")) & (F.col("state") > 0), p)))
     draws = x.withColumn("pass", F.explode(passes_of))
     part = lambda c: F.when((F.col("state") == 1) & (F.col("pass") == F.col("whole")), F.coalesce(c, F.lit(""))).alias(c)
     draws = draws.select("rank", "block", "place_in", "pass", part("last"), part("extra"))
     draws = cut(draws.withColumn("turn", F.row_number().over(Window.partitionBy("rank").orderBy("pass", "place_in")) - 1), "mix-draws")
     quotas = goal.select("rank").join(draws.groupBy("rank").agg(F.count("*").alias("quota")), "rank", "left").select("rank", F.coalesce("quota", F.lit(0)).alias("quota"))
-    shares = split_quotas(quotas, shards)
+    shares = cut(split_quotas(quotas, shards), "mix-shares")
     shares = shares.withColumn("to", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard"))).withColumn("from", F.col("to") - F.col("quota"))
     placed = draws.join(shares, "rank").where((F.col("turn") >= F.col("from")) & (F.col("turn") < F.col("to")))
     placed = placed.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "last", "extra"))).alias("draws"))
