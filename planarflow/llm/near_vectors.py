@@ -27,8 +27,10 @@ from .components import components
 
 COSINE = 0.9
 #: Vectors of a block; most cells at the top; vectors of the sample that they are chosen from; margin of bounds on distances.
-BLOCK, CELLS, SAMPLE, MARGIN = 4_096, 256, 8_192, 1e-9
-_PAIR = 1 << 22
+BLOCK, CELLS, SAMPLE, MARGIN = 4_096, 256, 8_192, 1e-5
+#: Directions that screen single points.
+AXES = 24
+_PAIR = 1 << 21
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -42,18 +44,21 @@ def gaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def spread(x: np.ndarray, count: int, least: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
-    """Greedy centres (the first point, then always the farthest) until count, or until all lie within least; and each point's centre."""
-    near = gaps(x, x[:1])[:, 0]
-    near[0] = 0.0
+    """Greedy centres (the first point, then always the farthest) until count, or until all lie within about least; each point's centre."""
+    x = x.astype(np.float32)
+    near = x @ x[0]
+    near[0] = 2.0
     chosen, owner = [0], np.zeros(len(x), np.int64)
+    enough = 1 - least * least / 2
     while len(chosen) < count:
-        far = int(near.argmax())
-        if near[far] <= least:
+        far = int(near.argmin())
+        if near[far] >= enough:
             break
-        d = gaps(x, x[far : far + 1])[:, 0]
-        d[far] = 0.0
-        closer = d < near
-        owner[closer], near[closer] = len(chosen), d[closer]
+        d = x @ x[far]
+        d[far] = 2.0
+        closer = d > near
+        owner[closer] = len(chosen)
+        np.maximum(near, d, out=near)
         chosen.append(far)
     return np.array(chosen), owner
 
@@ -62,41 +67,68 @@ class CoverTree:
     """Points in depth-first order; nodes have a centre, a covering radius, a range of points and children."""
 
     def __init__(self, x: np.ndarray):
-        self.x = x
-        self.order: list[int] = []
-        self.centre: list[int] = []
-        self.radius: list[float] = []
-        self.range: list[tuple[int, int]] = []
-        self.children: list[np.ndarray] = []
+        self._x = x
+        self._order: list[int] = []
+        self._centre: list[int] = []
+        self._radius: list[float] = []
+        self._range: list[tuple[int, int]] = []
+        self._children: list[list[int]] = []
         self._grow(np.arange(len(x)), 2.0)
-        self.order_, self.centre_, self.radius_ = np.array(self.order), np.array(self.centre), np.array(self.radius)
-        self.points = x[self.order_]
+        self.order = np.array(self._order)
+        place = np.empty(len(x), np.int64)
+        place[self.order] = np.arange(len(x))
+        self.centre, self.radius = place[np.array(self._centre)], np.array(self._radius)
+        self.range = np.array(self._range)
+        self.kids = np.concatenate([np.array(k, np.int64) for k in self._children])
+        self.kid_ends = np.cumsum([len(k) for k in self._children])
+        self.points = x[self.order]
 
     def _grow(self, members: np.ndarray, level: float) -> int:
-        """The node of members, of which the first is the centre and none is farther from it than level."""
-        node, first = len(self.centre), len(self.order)
-        self.centre.append(int(members[0]))
-        radius = float(gaps(self.x[members], self.x[members[:1]])[1:].max(initial=0.0))
-        self.radius.append(radius)
-        self.range.append((first, first + len(members)))
-        self.children.append(np.zeros(0, np.int64))
-        if len(members) == 1 or radius <= 1e-7:
-            self.order.extend(members.tolist())
+        """The node of members, of which the first is the centre and none is farther from it than about level."""
+        node, first = len(self._centre), len(self._order)
+        self._centre.append(int(members[0]))
+        radius = float(gaps(self._x[members], self._x[members[:1]])[1:].max(initial=0.0))
+        self._radius.append(radius)
+        self._range.append((first, first + len(members)))
+        self._children.append([])
+        if len(members) == 1:
+            self._order.extend(members.tolist())
             return node
         half = level / 2
-        while half >= radius:
+        while half >= radius and half > 1e-4:
             half /= 2
-        chosen, owner = spread(self.x[members], len(members), half)
+        if half <= 1e-4:  # closer than single precision tells apart: every point for itself
+            chosen, owner = np.arange(len(members)), np.arange(len(members))
+        else:
+            chosen, owner = spread(self._x[members], len(members), half)
+        if len(chosen) == 1:
+            chosen, owner = np.arange(len(members)), np.arange(len(members))
         by = np.argsort(owner, kind="stable")
-        split = np.split(members[by], np.cumsum(np.bincount(owner, minlength=len(chosen)))[:-1])
-        kids = []
-        for c, part in zip(members[chosen], split):
+        for c, part in zip(members[chosen], np.split(members[by], np.cumsum(np.bincount(owner, minlength=len(chosen)))[:-1])):
             at = int(np.flatnonzero(part == c)[0])
             part[[0, at]] = part[[at, 0]]
-            kids.append(self._grow(part, half))
-        self.children[node] = np.array(kids)
+            self._children[node].append(self._grow(part, half))
         return node
 
+    def pack(self) -> dict[str, bytes]:
+        """The tree without its points, as columns."""
+        return {k: np.ascontiguousarray(getattr(self, k)).tobytes() for k in ("centre", "radius", "range", "kids", "kid_ends")}
+
+    @classmethod
+    def unpack(cls, points: np.ndarray, held: dict[str, bytes]) -> CoverTree:
+        """A packed tree over its points in its order."""
+        t = cls.__new__(cls)
+        t.points, t.order = points, np.arange(len(points))
+        t.radius = np.frombuffer(held["radius"], np.float64)
+        t.centre, t.kids, t.kid_ends = (np.frombuffer(held[k], np.int64) for k in ("centre", "kids", "kid_ends"))
+        t.range = np.frombuffer(held["range"], np.int64).reshape(-1, 2)
+        return t
+
+    def children(self, node: int) -> np.ndarray:
+        """The node's children, itself if it has none."""
+        a, b = (self.kid_ends[node - 1] if node else 0), self.kid_ends[node]
+        return self.kids[a:b] if b > a else np.array([node])
+
 
 class _Links:
     """Link counts of the points of two trees, and a spanning forest of the links."""
@@ -106,13 +138,6 @@ class _Links:
         self.weight_a, self.weight_b, self.n = weight_a, weight_b, n
         self.parent = np.arange(n + m)
 
-    def add(self, ia: np.ndarray, ib: np.ndarray, hit: np.ndarray) -> None:
-        """hit[i, j]: points ia[i] and ib[j] link."""
-        self.a[ia] += hit @ self.weight_b[ib]
-        self.b[ib] += self.weight_a[ia] @ hit
-        i, j = np.nonzero(hit)
-        self.join(ia[i], self.n + ib[j])
-
     def join(self, u: np.ndarray, v: np.ndarray) -> None:
         p = self.parent
         while True:
@@ -135,70 +160,92 @@ class _Links:
             r = up
 
 
-def traverse(a: CoverTree, b: CoverTree, weight_a: np.ndarray, weight_b: np.ndarray, cosine: float, same: bool) -> _Links:
-    """All links between the points of two trees (of one tree: each pair once)."""
-    reach = float(np.sqrt(2 - 2 * cosine))
-    out = _Links(len(a.points), len(b.points), weight_a, weight_b)
-    todo = [(np.array([0]), np.array([0]))]
+def principal(points: np.ndarray, axes: int = AXES) -> np.ndarray:
+    """Orthonormal directions in which the points are longest, as columns."""
+    return np.linalg.eigh(points.T @ points)[1][:, ::-1][:, :axes]
+
+
+def _short(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Coordinates along the basis and the length of the rest: their products bound those of the points from above."""
+    y = x @ basis
+    return np.hstack([y, np.sqrt(np.maximum(0.0, 1 - np.einsum("ij,ij->i", y, y)))[:, None]]).astype(np.float32)
 
-    def compare(i: np.ndarray, j: np.ndarray) -> None:
-        step = max(1, _PAIR // max(1, len(j)))
-        for k in range(0, len(i), step):
-            part = i[k : k + step]
-            hit = a.points[part] @ b.points[j].T >= cosine
-            if same:
-                hit &= part[:, None] < j
-            if hit.any():
-                out.add(part, j, hit)
 
-    def opened(t: CoverTree, nodes: np.ndarray) -> np.ndarray:
-        return np.concatenate([t.children[n] if len(t.children[n]) else np.array([n]) for n in nodes])
+def traverse(a: CoverTree, b: CoverTree, weight_a: np.ndarray, weight_b: np.ndarray, cosine: float, same: bool, basis: np.ndarray | None = None) -> _Links:
+    """All links between the points of two trees (of one tree: each pair once).
 
+    Pairs of nodes are screened in single precision with a margin, single points by an upper bound from a few coordinates;
+    what is linked is linked by the trees' bounds or by a product in double precision."""
+    reach = float(np.sqrt(2 - 2 * cosine))
+    out = _Links(len(a.points), len(b.points), weight_a, weight_b)
+    ca, cb = a.points[a.centre], b.points[b.centre]
+    xa, xb = ca.astype(np.float32), cb.astype(np.float32)
+    basis = np.eye(ca.shape[1]) if basis is None else basis
+    sa, sb = _short(ca, basis), _short(cb, basis)
+    single_a, single_b = a.range[:, 1] - a.range[:, 0] == 1, b.range[:, 1] - b.range[:, 0] == 1
+    base = np.float32(cosine - MARGIN)
+
+    def opened(nodes: np.ndarray) -> np.ndarray:
+        alone = single_b[nodes]
+        return np.concatenate([nodes[alone], *(b.children(m) for m in nodes[~alone])])
+
+    def linked(n: int, nodes: np.ndarray, own: bool) -> None:
+        """All points of n link with all of the nodes."""
+        u, v = np.arange(*a.range[n]), np.concatenate([np.arange(*b.range[m]) for m in nodes])
+        if own:
+            out.a[u] += weight_b[v].sum() - weight_b[v]
+        else:
+            out.a[u] += weight_b[v].sum()
+            out.b[v] += weight_a[u].sum()
+        out.join(np.full(len(v), u[0]), out.n + v)
+        out.join(u, np.full(len(u), out.n + v[0]))
+
+    todo = [(np.array([0]), np.array([0]), same)]
     while todo:
-        na, nb = todo.pop()
-        xa, xb = a.x[a.centre_[na]], b.x[b.centre_[nb]]
-        step = max(1, _PAIR // len(nb))
-        for k in range(0, len(na), step):
-            part = na[k : k + step]
-            d, r = gaps(xa[k : k + step], xb), a.radius_[part][:, None] + b.radius_[nb]
-            near = d <= reach + r + MARGIN
-            if same:  # a node pair and its mirror: one of them is enough
-                near &= np.array([a.range[n][0] for n in part])[:, None] < np.array([b.range[n][1] for n in nb])
-            # Nodes of one radius class against all near ones: leaves are compared, inner nodes are opened.
-            leaf = np.array([not len(a.children[n]) for n in part])[:, None] & np.array([not len(b.children[n]) for n in nb])
-            both = near & leaf
-            rows = np.flatnonzero(both.any(axis=1))
-            if len(rows):
-                single = np.array([a.range[n][1] - a.range[n][0] == 1 for n in part[rows]]).all() and all(b.range[n][1] - b.range[n][0] == 1 for n in nb)
-                if single:
-                    sub = both[rows]
-                    ia, cols = np.array([a.range[n][0] for n in part[rows]]), np.flatnonzero(sub.any(axis=0))
-                    jb = np.array([b.range[nb[c]][0] for c in cols])
-                    hit = (a.points[ia] @ b.points[jb].T >= cosine) & sub[:, cols]
-                    if same:
-                        hit &= ia[:, None] < jb
-                    if hit.any():
-                        out.add(ia, jb, hit)
+        na, nb, mirror = todo.pop()
+        one_a, one_b = a.range[na[single_a[na]], 0], b.range[nb[single_b[nb]], 0]
+        right = sb[nb[single_b[nb]]].T
+        step = max(1, _PAIR // max(1, len(one_b)))
+        for k in range(0, len(one_a), step):
+            part = one_a[k : k + step]
+            hit = np.flatnonzero(sa[na[single_a[na]][k : k + step]] @ right >= base)
+            p, q = part[hit // len(one_b)] if len(hit) else part[:0], one_b[hit % len(one_b)] if len(hit) else one_b[:0]
+            if mirror:
+                p, q = p[p < q], q[p < q]
+            if len(p):
+                near = np.concatenate([np.einsum("ij,ij->i", a.points[p[c : c + 65536]], b.points[q[c : c + 65536]]) for c in range(0, len(p), 65536)]) >= cosine
+                p, q = p[near], q[near]
+                np.add.at(out.a, p, weight_b[q])
+                np.add.at(out.b, q, weight_a[p])
+                out.join(p, out.n + q)
+        for ia, jb in ((na[~single_a[na]], nb), (na[single_a[na]], nb[~single_b[nb]])):
+            if not len(ia) or not len(jb):
+                continue
+            bound = 1 - np.square(np.minimum(2.0, reach + a.radius[ia][:, None] + b.radius[jb])) / 2 - MARGIN
+            i, j = np.nonzero(xa[ia] @ xb[jb].T >= bound)
+            i, j = ia[i], jb[j]
+            if mirror:  # a pair of nodes and its mirror: one of them is enough
+                keep = a.range[i, 0] <= b.range[j, 0]
+                i, j = i[keep], j[keep]
+            own = mirror & (i == j)
+            for n in i[own]:
+                if 2 * a.radius[n] <= reach - MARGIN:
+                    linked(n, np.array([n]), True)
                 else:
-                    for row in rows:
-                        i = np.arange(*a.range[part[row]])
-                        compare(i, np.concatenate([np.arange(*b.range[n]) for n in nb[both[row]]]))
-            for row in np.flatnonzero((near & ~leaf).any(axis=1)):
-                n, others = part[row], nb[near[row] & ~leaf[row]]
-                inside = d[row][near[row] & ~leaf[row]] + r[row][near[row] & ~leaf[row]] <= reach - MARGIN
-                ranges = [b.range[m] for m in others[inside]]
-                if ranges:
-                    i, j = np.arange(*a.range[n]), np.concatenate([np.arange(*q) for q in ranges])
-                    if same:
-                        compare(i, j)
-                    else:
-                        out.a[i] += weight_b[j].sum()
-                        out.b[j] += weight_a[i].sum()
-                        out.join(np.full(len(j), i[0]), out.n + j)
-                        out.join(i, np.full(len(i), out.n + j[0]))
-                left = others[~inside]
-                if len(left):
-                    todo.append((opened(a, np.array([n])), opened(b, left)))
+                    todo.append((a.children(n), b.children(n), True))
+            i, j = i[~own], j[~own]
+            wide = ~single_a[i]
+            for n in np.unique(i[wide]):
+                others = j[i == n]
+                gap = gaps(a.points[a.centre[n]][None], b.points[b.centre[others]])[0]
+                inside = gap + a.radius[n] + b.radius[others] <= reach - MARGIN
+                if inside.any():
+                    linked(n, others[inside], False)
+                if not inside.all():
+                    todo.append((a.children(n), opened(others[~inside]), False))
+            i, j = i[~wide], j[~wide]
+            for m in np.unique(j):
+                todo.append((i[j == m], b.children(m), False))
     return out
 
 
@@ -224,6 +271,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     sample = alike.orderBy(F.xxhash64("embedding"), "rep").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
     points = unit(_vectors(sample))
+    basis = principal(points)
     points = points[spread(points, max(1, min(CELLS, -(-count // block))))[0]]
 
     def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,29 +291,36 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     parts = F.element_at(F.create_map(*(F.lit(v) for c, k in shares.items() for v in (c, k))), F.col("cell"))
     blocks = fallen.withColumn("block", F.struct("cell", F.pmod(F.xxhash64("rep"), parts).alias("share")))
 
+    tree_columns = ("centre", "radius", "range", "kids", "kid_ends")
+    kind = "cell long, share long, reps binary, copies binary, data binary, " + ", ".join(f"{c} binary" for c in tree_columns)
+
     def packed(t: pa.Table) -> pa.Table:
         x = np.ascontiguousarray(_vectors(t["embedding"].combine_chunks()))
+        tree = CoverTree(unit(x))
         first = t["block"][0].as_py()
-        return pa.table({"cell": pa.array([first["cell"]], pa.int64()), "share": pa.array([first["share"]], pa.int64()), "reps": pa.array([t["rep"].to_numpy().tobytes()], pa.binary()), "copies": pa.array([t["copies"].to_numpy().tobytes()], pa.binary()), "data": pa.array([x.tobytes()], pa.binary())})
+        x = x[tree.order]
+        short = x.astype(np.float32)
+        cells = {"reps": t["rep"].to_numpy()[tree.order].tobytes(), "copies": t["copies"].to_numpy()[tree.order].tobytes(), "data": (short if (short == x).all() else x).tobytes()} | tree.pack()
+        return pa.table({"cell": pa.array([first["cell"]], pa.int64()), "share": pa.array([first["share"]], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in cells.items()})
 
-    held = cut(blocks.select("block", "rep", "copies", "embedding").groupBy("block").applyInArrow(packed, "cell long, share long, reps binary, copies binary, data binary"), "blocks")
-    held = held.select(F.struct("cell", "share").alias("block"), "reps", "copies", "data")
-    left = pairs.join(held, F.col("x") == F.col("block")).select("x", "y", F.lit(0).alias("side"), "reps", "copies", "data")
-    right = pairs.where("x <> y").join(held, F.col("y") == F.col("block")).select("x", "y", F.lit(1).alias("side"), "reps", "copies", "data")
+    held = cut(blocks.select("block", "rep", "copies", "embedding").groupBy("block").applyInArrow(packed, kind), "blocks")
+    sent = ("reps", "copies", "data", *tree_columns)
+    held = held.select(F.struct("cell", "share").alias("block"), *sent)
+    left = pairs.join(held, F.col("x") == F.col("block")).select("x", "y", F.lit(0).alias("side"), *sent)
+    right = pairs.where("x <> y").join(held, F.col("y") == F.col("block")).select("x", "y", F.lit(1).alias("side"), *sent)
 
     def link(t: pa.Table) -> pa.Table:
         sides = {}
-        for side, reps, copies, data in zip(*(t[c].to_pylist() for c in ("side", "reps", "copies", "data"))):
-            reps = np.frombuffer(reps, np.int64)
-            tree = CoverTree(unit(np.frombuffer(data, np.float64).reshape(len(reps), -1)))
-            sides[side] = reps[tree.order_], np.frombuffer(copies, np.int64)[tree.order_], tree
+        for row in t.select(["side", *sent]).to_pylist():
+            reps = np.frombuffer(row["reps"], np.int64)
+            data = np.frombuffer(row["data"], np.float32 if len(row["data"]) == 4 * usual * len(reps) else np.float64)
+            sides[row["side"]] = reps, np.frombuffer(row["copies"], np.int64), CoverTree.unpack(unit(data.reshape(len(reps), -1)), row)
         (ra, wa, ta), (rb, wb, tb) = sides[0], sides.get(1, sides[0])
-        found = traverse(ta, tb, wa, wb, cosine, 1 not in sides)
-        rep, links = np.concatenate([ra, rb]), np.concatenate([found.a, found.b])
-        root = rep[found.roots(np.arange(len(rep)))]
+        found = traverse(ta, tb, wa, wb, cosine, 1 not in sides, basis)
         if 1 not in sides:  # both halves are the same points
             found.join(np.arange(len(ra)), len(ra) + np.arange(len(ra)))
-            root = rep[found.roots(np.arange(len(rep)))]
+        rep, links = np.concatenate([ra, rb]), np.concatenate([found.a, found.b])
+        root = rep[found.roots(np.arange(len(rep)))]
         some = links > 0
         return pa.table({"rep": rep[some], "links": links[some], "root": root[some]})
 
