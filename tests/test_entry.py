@@ -32,3 +32,19 @@ def test_query_equals_its_sql(spark, name):
 def test_entry_is_the_flagship(spark):
     assert tuple(entry.entry(spark).first()) == (6, 6)
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name,columns", [("stat_counts_by_type", "event_type"), ("stat_topk", "o_orderkey,o_totalprice"), ("text_hash_bucket", "text"), ("stat_sums_by_two", "o_custkey,o_orderstatus,o_orderpriority")])
+def test_scans_read_what_is_needed(spark, name, columns):
+    if not os.path.isdir(DATA):
+        pytest.skip("the given tables are not here")
+    plan = QUERIES[name](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    (schema,) = {line.split("ReadSchema: struct<")[1].split(">")[0] for line in plan.splitlines() if "ReadSchema" in line}
+    assert [c.split(":")[0] for c in schema.split(",")] == columns.split(",")
+
+
+def test_filters_reach_the_scan(spark):
+    if not os.path.isdir(DATA):
+        pytest.skip("the given tables are not here")
+    plan = QUERIES["stat_in_filter"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(event_type" in plan or "PushedFilters: [IsNotNull(value), In(event_type" in plan
