@@ -8,8 +8,8 @@ fragment by fragment is counted there and summed per document or per pair:
 2. Copies. Documents with equal sets become one representative; membership is joined back at the end.
 3. Order. Among the representatives support is counted again, and shingles are ordered by their number of documents, then by
    hash. The prefix filter and the positional filter hold in this order: a pair's first common shingle must lie early in both.
-4. Links. First every document is compared with the least one under each of its prefix shingles. Then those that share a
-   prefix shingle but are not connected so far are compared. A pair's overlap is counted by fragments of the order and
+4. Links. First every document is compared with a leader under each of its prefix shingles. Then those that share a prefix
+   shingle but are not connected so far are compared. A pair's overlap is counted by fragments of the order and
    summed. Pairs that are connected already need no comparison: classes do not change by it.
 
 Shingles are 64-bit hashes of the words' bytes, of which 56 or more bits are compared, so a pair's overlap is wrong by one
@@ -30,12 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, release, shingle_hashes, slices
+from .common import cut, mix64, release, shingle_hashes, slices, small_batches, trim
 from .components import components
 
 WIDTH, PERCENT = 5, 75
 #: Bytes of text per fragment, and documents that share a shingle beyond which its pairs are dealt to several tasks.
 FRAGMENT_BYTES, HEAVY = 1 << 24, 4_096
+#: Shingles that a task gathers before it deals them to fragments; with many fragments more, so that rows stay long.
+SCATTER = 1 << 18
 _PACK = "part int, kind int, uids binary, sizes binary, tokens binary, more binary"
 _ARROW = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("uids", pa.binary()), ("sizes", pa.binary()), ("tokens", pa.binary()), ("more", pa.binary())])
 
@@ -118,6 +120,8 @@ def _shared(bits: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
             for a, n in zip(*_runs(bucket)):
                 start, count = _runs(owner[a : a + n])
                 out.append(_row(int(bucket[a]), 0, uid[owner[a : a + n][start]], count, full[a : a + n].tobytes(), df[a : a + n].tobytes()))
+        del uid, size, tokens
+        trim()
         return pa.Table.from_batches([_batch(out)], _ARROW)
 
     return run
@@ -147,6 +151,8 @@ def _support(percent: int, fields: int, ordered: bool) -> Callable[[pa.Table], p
         columns = {"uid": pa.array(uid, pa.int64()), "n": pa.array(n, pa.int64()), "shared": pa.array(shared, pa.int64())}
         columns |= {f"m{i}": pa.array(more[:, i], pa.int64()) for i in range(fields)}
         columns |= {"tokens": pa.array([c[0] for c in cells], pa.binary()), "df": pa.array([c[1] for c in cells] if ordered else [None] * len(uid), pa.binary())}
+        del tokens, df, at, order
+        trim()
         return pa.table(columns)
 
     return run
@@ -163,6 +169,7 @@ def shingle_sets(docs: DataFrame, bits: int, width: int = WIDTH) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
             ids = batch.column(0)
@@ -175,9 +182,15 @@ def shingle_sets(docs: DataFrame, bits: int, width: int = WIDTH) -> DataFrame:
                 np.add.at(total, doc, tokens)
                 np.add.at(other, doc, mix64(tokens))
                 more = np.stack([ids[a:b].astype(np.int64), null[a:b].astype(np.int64), total.view(np.int64), other.view(np.int64)], axis=1)
-                rows = [_row(int(_bucket(uid[:1], 1 << bits)[0]), 1, uid, n, more=more.astype("<i8").tobytes()), *_scatter(uid[doc], tokens, bits)]
-                yield _batch(rows)
+                yield _batch([_row(int(_bucket(uid[:1], 1 << bits)[0]), 1, uid, n, more=more.astype("<i8").tobytes())])
+                held.append((uid[doc], tokens))
+                if sum(len(t) for _, t in held) >= max(SCATTER, 32 << bits):
+                    yield _batch(list(_scatter(*map(np.concatenate, zip(*held)), bits)))
+                    held.clear()
             first += len(texts)
+        if held:
+            yield _batch(list(_scatter(*map(np.concatenate, zip(*held)), bits)))
+        trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, _PACK)
 
@@ -194,6 +207,7 @@ def _repack(reps: DataFrame, bits: int) -> DataFrame:
                 tokens = np.frombuffer(b"".join(cells), "<u8")
                 owner = np.repeat(uid, [len(c) // 8 for c in cells])
                 yield _batch([_row(int(_bucket(uid[:1], 1 << bits)[0]), 1, uid, n), *_scatter(owner, tokens, bits)])
+        trim()
 
     return reps.select("uid", "n", "tokens").mapInArrow(run, _PACK)
 
@@ -204,7 +218,8 @@ def _may_link(n: np.ndarray, m: np.ndarray, most: np.ndarray, percent: int) -> n
 
 
 def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
-    """(token, uid, n, left, df): each prefix shingle with the number of shingles from it on."""
+    """(token, uid, n, left, df, rank): each prefix shingle with the number of shingles from it on; rank is less the more
+    documents have the document's shingles on average."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,17 +229,21 @@ def _prefixes(reps: DataFrame, percent: int) -> DataFrame:
                 alone = n - len(tokens)
                 size = min(n - -(-percent * n // 100) + 1 - alone, len(tokens))
                 if size > 0:
-                    rows.append((tokens[:size].view(np.int64), np.full(size, uid), np.full(size, n), n - alone - np.arange(size), np.frombuffer(df, "<i4")[:size]))
-            joined = [np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(5)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in joined], names=["token", "uid", "n", "left", "df"])
+                    df = np.frombuffer(df, "<i4")
+                    rank = -(1000 * int(df.sum(dtype=np.int64)) // n)
+                    rows.append((tokens[:size].view(np.int64), np.full(size, uid), np.full(size, n), n - alone - np.arange(size), df[:size], np.full(size, rank)))
+            joined = [np.concatenate([r[i] for r in rows]) if rows else np.zeros(0, np.int64) for i in range(6)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in joined], names=["token", "uid", "n", "left", "df", "rank"])
 
-    return reps.select("uid", "n", "tokens", "df").mapInArrow(run, "token long, uid long, n long, left long, df long")
+    return reps.select("uid", "n", "tokens", "df").mapInArrow(run, "token long, uid long, n long, left long, df long, rank long")
 
 
 def _leader_pairs(prefixes: DataFrame, percent: int) -> DataFrame:
-    """(a, b): every document with the least one under each of its prefix shingles."""
-    least = prefixes.groupBy("token").agg(F.min(F.struct("uid", "n", "left")).alias("l"))
-    x = prefixes.join(least, "token").where((F.col("uid") > F.col("l.uid")) & ((100 + percent) * F.least("left", "l.left") >= percent * (F.col("n") + F.col("l.n"))))
+    """(a, b): every document with the leader under each of its prefix shingles.
+
+    The leader is the one whose shingles most documents have: near copies of one text are nearer to it than to each other."""
+    least = prefixes.groupBy("token").agg(F.min(F.struct("rank", "uid", "n", "left")).alias("l"))
+    x = prefixes.join(least, "token").where((F.col("uid") != F.col("l.uid")) & ((100 + percent) * F.least("left", "l.left") >= percent * (F.col("n") + F.col("l.n"))))
     return x.select(F.col("l.uid").alias("a"), F.col("uid").alias("b")).distinct()
 
 
@@ -264,9 +283,14 @@ def _cross_pairs(prefixes: DataFrame, classes: DataFrame, percent: int, parts: i
     return pairs.distinct()
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, percent: int, parts: int, fragments: int = 4) -> DataFrame:
-    """The pairs that reach the threshold: overlaps are counted in each fragment of the order and summed."""
-    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("a"), F.lit(parts)))
+def _verified(pairs: DataFrame, reps: DataFrame, percent: int, parts: int, star: bool, fragments: int = 4) -> DataFrame:
+    """The pairs that reach the threshold: overlaps are counted in each fragment of the order and summed.
+
+    Pairs of stars (a with many b) are dealt by b, so that a leader's are spread over all tasks; others by the square of both
+    ends' hashes, so that no document's pairs meet in one task and none is sent to more than two sides of the square."""
+    side = max(1, int(parts**0.5))
+    square = F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side))
+    pairs = pairs.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(parts)) if star else square)
     need = pairs.select("part", F.col("a").alias("uid")).unionByName(pairs.select("part", F.col("b").alias("uid"))).distinct()
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,6 +334,7 @@ def _verified(pairs: DataFrame, reps: DataFrame, percent: int, parts: int, fragm
 def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row: the classes that links of Jaccard similarity >= percent % form."""
     spark = docs.sparkSession
+    small_batches(spark)
     kind = docs.schema["doc_id"].dataType
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -320,10 +345,10 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
     reps = sets.join(alike.select("rep"), F.col("uid") == F.col("rep"), "left_semi")
     reps = cut(_supported(_repack(reps, bits), bits, percent, 0, True).where("tokens IS NOT NULL"), "reps")
     prefixes = cut(_prefixes(reps, percent), "prefixes")
-    found = cut(_verified(_leader_pairs(prefixes, percent), reps, percent, parts), "links")
+    found = cut(_verified(_leader_pairs(prefixes, percent), reps, percent, parts, True), "links")
     edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
     classes = cut(components(edges), "classes")
-    more = cut(_verified(_cross_pairs(prefixes, classes, percent, parts), reps, percent, parts), "links")
+    more = cut(_verified(_cross_pairs(prefixes, classes, percent, parts), reps, percent, parts, False), "links")
     every = cut(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "classes")
     release(prefixes, reps)
     class_of = alike.join(every, F.col("rep") == F.col("node"), "left").select("n", "m2", "m3", F.coalesce("component", "rep").alias("class"))
