@@ -24,7 +24,7 @@ from .common import small_batches, tokenizer_path, trim
 
 SPACE = "▁"
 #: Chunks that a Python worker remembers, and as many of those before; rare ones are forgotten, results stay the same.
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 _CHUNK = re.compile(f"{SPACE}*[^{SPACE}]*")
 _ROOT, _UNKNOWN = -2, -1
 
