@@ -64,16 +64,18 @@ def spread(x: np.ndarray, count: int, least: float = 0.0) -> tuple[np.ndarray, n
 
 
 class CoverTree:
-    """Points in depth-first order; nodes have a centre, a covering radius, a range of points and children."""
+    """Points in depth-first order; nodes have a centre, a covering radius, a range of points and children.
 
-    def __init__(self, x: np.ndarray):
+    The root's children have radii of top / 2 at most: nodes wider than the reach of a link exclude next to nothing."""
+
+    def __init__(self, x: np.ndarray, top: float = 2.0):
         self._x = x
         self._order: list[int] = []
         self._centre: list[int] = []
         self._radius: list[float] = []
         self._range: list[tuple[int, int]] = []
         self._children: list[list[int]] = []
-        self._grow(np.arange(len(x)), 2.0)
+        self._grow(np.arange(len(x)), top)
         self.order = np.array(self._order)
         place = np.empty(len(x), np.int64)
         place[self.order] = np.arange(len(x))
@@ -296,7 +298,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
 
     def packed(t: pa.Table) -> pa.Table:
         x = np.ascontiguousarray(_vectors(t["embedding"].combine_chunks()))
-        tree = CoverTree(unit(x))
+        tree = CoverTree(unit(x), reach)
         first = t["block"][0].as_py()
         x = x[tree.order]
         short = x.astype(np.float32)
