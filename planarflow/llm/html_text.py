@@ -5,8 +5,9 @@ every page of the host; vectors are compared by a sum of hashes of (page, count)
 is gathered. Tokens of equal vectors form a class. A class is valid if the mean
 places of its tokens follow their nesting and it occurs on half of the pages or more. Valid classes, the largest first, nest in
 each other by their paths and make the template. The slots that remain between template tokens are weighed
-by the text they hold on the host's pages, and the main slot is the article: an element named as one, else the one with most
-text outside of links. A page's text is what lies in the host's main slot, less menus, headers, footers, sidebars, notices,
+by the text they hold on the host's pages, and the main slot is the article: an element named as one that holds half of the text
+outside of links or more, else the innermost container that holds all of it on all pages; without one, the page. Links in
+headings count as text, and text outside of all block elements always stays. A page's text is what lies in the host's main slot, less menus, headers, footers, sidebars, notices,
 adverts, forms, scripts, styles and comments nested in it. A page on which the slot is missing is read by the same rules alone.
 
 Whole pages are read. Blocks are block elements; references are decoded; white space in a block becomes one space.
@@ -37,6 +38,9 @@ ASIDE = frozenset("nav header footer aside form head title script style noscript
 #: Words in class, id or role that mark an element as no part of the article.
 ASIDE_WORDS = frozenset("ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments cookie cookies disqus footer form header masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion recommended related reply replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
 MAIN_WORDS = frozenset("article content entry main post story".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts of a text, which are no container of one.
+LEAVES = HEADINGS | frozenset("address blockquote caption dd details dl dt fieldset figcaption figure hgroup hr legend li ol option p pre summary table tbody td tfoot th thead title tr ul".split())
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _MARKS = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _CLOSES = {"li": ("li",), "dd": ("dd", "dt"), "dt": ("dd", "dt"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -107,9 +111,15 @@ def path_of(stack: list) -> str:
     return "/".join(s[1] for s in stack)
 
 
+def tag_of(token: str) -> str:
+    return token.rpartition("/")[2].partition(".")[0]
+
+
 def page_tokens(html: str) -> dict[str, list]:
-    """For each token of a page: count, first place, text length inside of it, of that in links, main, aside."""
-    out: dict[str, list] = {}
+    """For each token of a page: count, first place, text length inside of it, of that in links, main, aside.
+
+    The empty token stands for the page: all text of its block elements but that of parts set aside."""
+    out: dict[str, list] = {"": [1, 0, 0, 0, False, False]}
     place = 0
     for kind, value, stack in events(html):
         if kind == "open":
@@ -117,7 +127,11 @@ def page_tokens(html: str) -> dict[str, list]:
             row = out.setdefault(path_of(stack), [0, place, 0, 0, stack[-1][3], any(s[2] for s in stack)])
             row[0] += 1
         elif kind == "text" and (size := len(value.strip())):
-            linked = any(s[0] == "a" for s in stack)
+            tags = {s[0] for s in stack}
+            linked = "a" in tags and not tags & HEADINGS
+            if not any(s[2] for s in stack) and tags & BLOCK:
+                out[""][2] += size
+                out[""][3] += size * linked
             # Text of a part set aside counts for that part, not for what holds it.
             first = next((k for k, s in enumerate(stack) if s[2]), 0)
             for k in range(first + 1, len(stack) + 1):
@@ -166,7 +180,8 @@ def deduce(tokens: list[dict]) -> dict:
     pages = max((t["pages"] for t in tokens), default=0)
     classes: dict[str, list[dict]] = {}
     for t in tokens:
-        classes.setdefault(t["vector"], []).append(t)
+        if t["token"]:
+            classes.setdefault(t["vector"], []).append(t)
     nested = []
     for members in classes.values():
         members.sort(key=lambda t: (t["places"] / t["pages"], t["token"]))
@@ -175,57 +190,57 @@ def deduce(tokens: list[dict]) -> dict:
             nested.append([t["token"] for t in members])
     nested.sort(key=lambda c: (-len(c), c))
     inside = {t for c in nested for t in c}
-    slots = [t for t in tokens if t["token"] in inside and not t["aside"] and t["text"]]
-    named = [t for t in slots if t["main"]]
-    pick = named or [t for t in slots if t["token"].rpartition("/")[2].partition(".")[0] in BLOCK]
-    if not pick:
-        return {"classes": nested, "main": ""}
-    if named:
-        best = max(pick, key=lambda t: (t["text"] - t["linked"], t["token"].count("/"), t["token"]))
-    else:  # the innermost element that still holds nearly all of the text that no part set aside holds
-        most = max(t["text"] - t["linked"] for t in pick)
-        best = max((t for t in pick if t["text"] - t["linked"] >= 0.9 * most), key=lambda t: (t["token"].count("/"), t["token"]))
+    total = sum(t["text"] - t["linked"] for t in tokens if not t["token"])
+    slots = [t for t in tokens if t["token"] in inside and not t["aside"] and t["text"] > t["linked"] and tag_of(t["token"]) in BLOCK | {"html"} and tag_of(t["token"]) not in LEAVES]
+    named = [t for t in slots if t["main"] and 2 * (t["text"] - t["linked"]) >= total]
+    # Without a named element, the innermost one outside of which there are only links and parts set aside, on any page.
+    pick = named or [t for t in slots if t["text"] - t["linked"] == total]
+    best = max(pick, key=lambda t: (t["text"] - t["linked"], t["token"].count("/"), t["token"]), default={"token": ""})
     return {"classes": nested, "main": best["token"]}
 
 
+def _read(html: str, wanted: str, main: str = "") -> tuple[list[str], int]:
+    """Lines of the slot main, of what names itself the article or of the page, and the length of the text outside of links."""
+    out: list[str] = []
+    block: list[str] = []
+    plain, depth, found = 0, main.count("/") + 1, wanted != "slot"
+
+    def end() -> None:
+        if text := " ".join(unescape("".join(block)).split()):
+            out.append(text)
+        block.clear()
+
+    for kind, value, stack in events(html):
+        if kind == "text":
+            if any(s[2] for s in stack):
+                continue
+            tags = {s[0] for s in stack}
+            if wanted == "slot" and tags & BLOCK:
+                if len(stack) < depth or path_of(stack[:depth]) != main:
+                    continue
+                found |= bool(value.strip())
+            elif wanted == "main" and not any(s[3] for s in stack):
+                continue
+            block.append(value)
+            if "a" not in tags or tags & HEADINGS:
+                plain += len(value.strip())
+        elif value in BLOCK:
+            end()
+        elif value == "br":
+            block.append(" ")
+    end()
+    return (out, plain) if found else ([], 0)
+
+
 def extract(html: str | None, main: str) -> str:
     """Text of the slot main (all elements of that path), or of what names itself the article, or of the page."""
     if not html:
         return ""
-    inside: list[str] = []
-    named: list[str] = []
-    whole: list[str] = []
-    for out, wanted in ((inside, "slot"), (named, "main"), (whole, "all")):
-        if wanted == "slot" and not main:
-            continue
-        block: list[str] = []
-
-        def end(block: list[str] = block, out: list[str] = out) -> None:
-            if text := " ".join(unescape("".join(block)).split()):
-                out.append(text)
-            block.clear()
-
-        for kind, value, stack in events(html):
-            if kind == "text":
-                first = 0
-                if wanted == "slot":
-                    first = main.count("/") + 1
-                    if len(stack) < first or path_of(stack[:first]) != main:
-                        continue
-                elif wanted == "main":
-                    first = next((k + 1 for k, s in enumerate(stack) if s[3]), 0)
-                    if not first:
-                        continue
-                if not any(s[2] for s in stack):
-                    block.append(value)
-            elif value in BLOCK:
-                end()
-            elif value == "br":
-                block.append(" ")
-        end()
-        if out:
-            return "\n".join(out)
-    return ""
+    if main and (lines := _read(html, "slot", main)[0]):
+        return "\n".join(lines)
+    named, held = _read(html, "main")
+    whole, total = _read(html, "all")
+    return "\n".join(named if named and 2 * held >= total else whole)
 
 
 def page_texts(pages: DataFrame) -> DataFrame:

@@ -38,3 +38,23 @@ def test_awkward_pages(spark):
     assert got[4].startswith("<") and got[5] == "\n".join(["w"] * 5000)
     assert h.page_texts(df).count() == len(rows)
     assert h.page_texts(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+LONG = "word " * 400
+OPEN_PAGE = """<html><body><ul><li><a href="/">Home</a><li><a href="/b">More</a></ul>{lead}<div class="q17"><h2><a href="#">Title {i}</a></h2><p>{long}{i}</p>
+<ul><li>one<li>two</ul><blockquote>said</blockquote><table><tr><td>cell</td></tr></table><div><p>end</p></div></div></body></html>"""
+
+
+@pytest.mark.parametrize("lead", ["", "<div class='k'>A lead</div>"])
+def test_long_paragraphs_do_not_displace_what_stands_beside_them(spark, lead):
+    rows = [(i, "https://h.example/", OPEN_PAGE.format(i=i, long=LONG, lead=lead)) for i in range(6)]
+    for r in h.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        want = [f"Title {r.page_id}", f"{LONG}{r.page_id}", "one", "two", "said", "cell", "end"]
+        assert r.text.split("\n") == (["Home", "More", "A lead"] if lead else []) + want
+
+
+def test_a_small_named_part_is_not_the_article(spark):
+    page = "<html><body><div><div class='post-meta'>May {i}</div><h1 class='entry-title'>T</h1><p>{long}</p></div></body></html>"
+    rows = [(i, "https://h.example/", page.format(i=i, long=LONG)) for i in range(4)] + [(9, None, "<div class='post-meta'>May</div><p>" + LONG), (8, None, "<div>in</div>out <i>side</i>")]
+    got = {r.page_id: r.text for r in h.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == f"May 1\nT\n{LONG.strip()}" and got[9] == f"May\n{LONG.strip()}" and got[8] == "in\nout side"
