@@ -2,7 +2,10 @@
 
 Each source's documents fall into blocks by a hash, which is a random permutation of them. A source's target fixes its
 quota of blocks: every block once for each whole pass over the source, then a prefix of the blocks, of which the last is cut
-at a document. The quotas of all sources are split among the output shards by a tree: at each node every source's count for
+at a document, so that at least the longest document's length is left. This is filled from all further blocks in their order:
+documents that do not fit are skipped. Where this order misses the target by more than CLOSE of it, the longest go first. One
+more document is added if the sum comes nearer by it. So in the end no document left out fits what is missing, and a
+source's words are off its target by less than the shortest document left out. The quotas of all sources are split among the output shards by a tree: at each node every source's count for
 the left half is a draw from the hypergeometric distribution given what the sources before it have drawn, so a node's halves
 have exact sizes and a shard holds each source in the proportion that a random shuffle would give. Each shard then draws its
 own run of each source's permuted blocks, disjoint from those of others, and its documents are shuffled within the shard.
@@ -26,8 +29,8 @@ from .common import cut
 BLOCKS, SHARDS, WEIGHTS, SHARE, PASSES = 1024, 16, (3, 1, 2), 1.5, 2
 #: Plans of up to so many rows (about 60 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
-#: Blocks from the last one on in which a document is sought that fills what is left of a target.
-NEAR = 32
+#: Share of a target by which documents in random order may miss it; beyond that, the longest of the last ones go first.
+CLOSE = 0.001
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -124,49 +127,75 @@ def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
     return nodes.select(F.col("first").alias("shard"), F.posexplode("held").alias("rank", "quota"))
 
 
+def fill(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """(rank, block, extra): places of documents after a source's edge (at, last) that fill its gap, by block.
+
+    First fit in the order of places, or of lengths where this does not come close. Of documents of lengths within a power of two, only blocks up to the gap's words are
+    looked at, since not all in them can fit; what remains is then less than twice the shortest document left, so that one
+    more, sought among all, is the last that can fit."""
+    after = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.block") >= F.col("e.at"))
+    x = docs.alias("d").join(edges.alias("e"), after).where("size > 0 AND size < 2 * gap AND (last IS NULL OR place > last)")
+    x = cut(x.groupBy("rank", "gap", "target", "d.block", "place").agg(F.sum("size").alias("size")).withColumn("kind", F.length(F.bin("size"))), "mix-fits")
+    fits = x.where("size <= gap")
+    by = Window.partitionBy("rank", "kind").orderBy("block")
+    near = fits.groupBy("rank", "gap", "kind", "block").agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(by) - F.col("words"))
+    near = near.where("before < gap").select("rank", "kind", "block")
+    lists = fits.join(near, ["rank", "kind", "block"]).groupBy("rank", "gap", "target").agg(F.sort_array(F.collect_list(F.struct("place", "size"))).alias("docs"))
+
+    def take(a: Column, d: Column) -> Column:
+        return F.when(d["size"] <= a["left"], F.struct((a["left"] - d["size"]).alias("left"), F.array_append(a["took"], d["place"]).alias("took"))).otherwise(a)
+
+    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<string>").alias("took"))
+    longest = F.sort_array(F.transform("docs", lambda d: F.struct((-d["size"]).alias("less"), d["place"].alias("place"), d["size"].alias("size"))))
+    lists = lists.withColumn("a", F.aggregate("docs", start, take)).withColumn("b", F.aggregate(longest, start, take))
+    better = (F.col("a.left") > CLOSE * F.col("target")) & (F.col("b.left") < F.col("a.left"))
+    took = cut(lists.select("rank", F.when(better, F.col("b")).otherwise(F.col("a")).alias("a")).select("rank", "a.left", "a.took"), "mix-took")
+    more = x.join(took, "rank", "left").withColumn("left", F.coalesce("left", "gap")).withColumn("off", F.abs(F.col("size") - F.col("left")))
+    more = more.where("off < left").where(F.col("took").isNull() | ~F.array_contains("took", F.col("place")))
+    more = more.groupBy("rank").agg(F.min(F.struct("off", "place", "block")).alias("m")).select("rank", "m.block", "m.place")
+    extra = x.join(took.select("rank", F.explode("took").alias("place")), ["rank", "place"]).select("rank", "block", "place").unionByName(more)
+    return extra.groupBy("rank", "block").agg(F.sort_array(F.collect_list("place")).alias("extra"))
+
+
 def mixing_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
     """One row per source and block: source_size, target, and draws, an array of (pass, shard, last, extra).
 
-    last is null where the whole block is drawn, else documents are drawn up to this place, and the one at extra."""
+    last is null where the whole block is drawn, else documents are drawn up to this place, and those at the places extra."""
     narrow = cut(docs.select("source", word_count(F.col("text")).alias("size"), _place(F.col("doc_id"), F.col("text")).alias("place")), "mix")
     narrow = narrow.withColumn("block", _block(F.col("place"), blocks))
-    held = cut(narrow.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    held = cut(narrow.groupBy("source", "block").agg(F.sum("size").alias("words"), F.max("size").alias("longest")), "mix-blocks")
     goal = targets(held.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, passes)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
     goal = cut(goal.withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")), "mix-targets")
     same = F.col("h.source").eqNullSafe(F.col("g.source"))
-    x = held.alias("h").join(goal.alias("g"), same).select("h.source", "h.block", "h.words", "g.source_size", "g.target", "g.rank", "g.whole", "g.rest")
+    x = held.alias("h").join(goal.alias("g"), same).select("h.source", "h.block", "h.words", "h.longest", "g.source_size", "g.target", "g.rank", "g.whole", "g.rest")
     by = Window.partitionBy("rank").orderBy("block")
     x = x.withColumn("end", F.sum("words").over(by)).withColumn("begin", F.col("end") - F.col("words")).withColumn("place_in", F.row_number().over(by) - 1)
-    x = x.withColumn("state", F.when(F.col("end") <= F.col("rest"), 2).when(F.col("begin") < F.col("rest"), 1).otherwise(0))
+    x = x.withColumn("until", F.greatest(F.col("rest") - F.max("longest").over(Window.partitionBy("rank")), F.lit(0.0)))
+    x = x.withColumn("state", F.when(F.col("end") <= F.col("until"), 2).when((F.col("begin") <= F.col("until")) & (F.col("end") > F.col("until")) & (F.col("rest") > 0), 1).otherwise(0))
     x = cut(x, "mix-spans")
-    # The block in which a source's rest ends is cut at a document; one more document near it fills what is left.
-    edge = x.where("state = 1").select("source", "rank", F.col("block").alias("at"), "begin", "rest", "place_in")
-    edge = cut(edge, "mix-edges")
-    near = x.alias("x").join(edge.alias("e"), "rank").where((F.col("x.place_in") >= F.col("e.place_in")) & (F.col("x.place_in") < F.col("e.place_in") + NEAR))
-    near = near.select("rank", F.col("x.source").alias("source"), F.col("x.block").alias("block"), "e.at", "e.begin", "e.rest")
-    inner = narrow.alias("n").join(near.alias("e"), F.col("n.source").eqNullSafe(F.col("e.source")) & (F.col("n.block") == F.col("e.block")))
-    inner = inner.groupBy("rank", "e.block", "at", "place", "begin", "rest").agg(F.sum("size").alias("size"))
+    # The block in which a source's rest ends is cut at a document; documents after it fill what is left.
+    edge = cut(x.where("state = 1").select("source", "rank", F.col("block").alias("at"), "begin", "until", "rest", "target"), "mix-edges")
+    inner = narrow.alias("n").join(edge.alias("e"), F.col("n.source").eqNullSafe(F.col("e.source")) & (F.col("n.block") == F.col("e.at")))
+    inner = inner.groupBy("rank", "place", "begin", "until").agg(F.sum("size").alias("size"))
     upto = F.sum("size").over(Window.partitionBy("rank").orderBy("place")) + F.col("begin")
-    first = inner.where("block = at").withColumn("upto", upto).where("upto <= rest").groupBy("rank").agg(F.max("place").alias("last"), F.max("upto").alias("upto"))
-    more = inner.join(first, "rank", "left").where(F.col("last").isNull() | (F.col("place") > F.col("last")))
-    more = more.withColumn("gap", F.col("rest") - F.coalesce("upto", "begin")).withColumn("off", F.abs(F.col("size") - F.col("gap"))).where("off < gap")
-    more = more.groupBy("rank").agg(F.min(F.struct("off", "place", "block")).alias("m")).select("rank", F.col("m.place").alias("extra"), F.col("m.block").alias("extra_block"))
-    x = x.join(first.select("rank", "last"), "rank", "left").join(more, "rank", "left")
-    lone = F.col("extra_block") == F.col("block")
-    x = x.withColumn("last", F.when(F.col("state") == 1, F.col("last"))).withColumn("extra", F.when(lone, F.col("extra")))
+    first = inner.withColumn("upto", upto).where("upto <= until").groupBy("rank").agg(F.max("place").alias("last"), F.max("upto").alias("upto"))
+    edge = cut(edge.join(first, "rank", "left").select("source", "rank", "at", "last", "target", (F.col("rest") - F.coalesce("upto", "begin")).alias("gap")), "mix-gaps")
+    extra = fill(narrow, edge)
+    x = x.join(edge.select("rank", "last"), "rank", "left").join(extra, ["rank", "block"], "left")
+    x = x.withColumn("last", F.when(F.col("state") == 1, F.col("last")))
     x = cut(x.withColumn("state", F.when(F.col("state") == 2, 2).when(F.col("last").isNotNull() | F.col("extra").isNotNull(), 1).otherwise(0)), "mix-states")
     passes_of = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(passes)), lambda p: F.when(p < F.col("whole"), p).when((p == F.col("whole")) & (F.col("state") > 0), p)))
     draws = x.withColumn("pass", F.explode(passes_of))
-    part = lambda c: F.when((F.col("state") == 1) & (F.col("pass") == F.col("whole")), F.coalesce(c, F.lit(""))).alias(c)
-    draws = draws.select("rank", "block", "place_in", "pass", part("last"), part("extra"))
+    part = lambda c, none: F.when((F.col("state") == 1) & (F.col("pass") == F.col("whole")), F.coalesce(c, none)).alias(c)
+    draws = draws.select("rank", "block", "place_in", "pass", part("last", F.lit("")), part("extra", F.array().cast("array<string>")))
     draws = cut(draws.withColumn("turn", F.row_number().over(Window.partitionBy("rank").orderBy("pass", "place_in")) - 1), "mix-draws")
     quotas = goal.select("rank").join(draws.groupBy("rank").agg(F.count("*").alias("quota")), "rank", "left").select("rank", F.coalesce("quota", F.lit(0)).alias("quota"))
     shares = cut(split_quotas(quotas, shards), "mix-shares")
     shares = shares.withColumn("to", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard"))).withColumn("from", F.col("to") - F.col("quota"))
     placed = draws.join(shares, "rank").where((F.col("turn") >= F.col("from")) & (F.col("turn") < F.col("to")))
     placed = placed.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "last", "extra"))).alias("draws"))
-    none = F.array().cast("array<struct<pass:int,shard:int,last:string,extra:string>>")
+    none = F.array().cast("array<struct<pass:int,shard:int,last:string,extra:array<string>>>")
     return x.select("source", "block", "source_size", "target", "rank").join(placed, ["rank", "block"], "left").withColumn("draws", F.coalesce("draws", none)).drop("rank")
 
 
@@ -179,7 +208,7 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
         plan = F.broadcast(plan)
     own = docs.withColumn("_mix_place", _place(F.col("doc_id"), F.col("text")))
     own = own.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")) & (_block(F.col("_mix_place"), blocks) == F.col("_mix_block")))
-    taken = F.filter("_mix_draws", lambda d: d["last"].isNull() | (F.col("_mix_place") <= d["last"]) | (F.col("_mix_place") == d["extra"]))
+    taken = F.filter("_mix_draws", lambda d: d["last"].isNull() | (F.col("_mix_place") <= d["last"]) | F.array_contains(d["extra"], F.col("_mix_place")))
     draws = F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))
     size = word_count(F.col("text"))
     more = {"size": size, "source_size": F.col("_mix_source_size"), "target": F.col("_mix_target"), "taken": size * F.size(draws), "draws": draws}

@@ -86,3 +86,21 @@ def test_awkward_rows(docs, no_docs):
 def test_plan_has_no_python(docs):
     plan = mixing.mix(docs.select("doc_id", "text", "source"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("long", [20_000, 100_000])
+def test_a_long_document_at_the_edge_does_not_end_the_filling(spark, long):
+    """The long document's number is chosen so that the target lies in the middle of it."""
+    sizes = [50 + 37 * i % 700 for i in range(500)]
+    target = (sum(sizes) + long) * 0.5
+    own = spark.createDataFrame([(i, "w " * n, "a") for i, n in enumerate(sizes)], "doc_id long, text string, source string")
+    place = mixing._place(F.col("doc_id"), F.col("text")).alias("place")
+    held = own.select(mixing.word_count(F.col("text")).alias("size"), place).collect()
+    before = lambda r: sum(h.size for h in held if h.place < r.place)
+    tries = spark.range(1000, 1200).select(F.col("id").alias("doc_id"), F.lit("w " * long).alias("text"), F.lit("a").alias("source"))
+    one = min(tries.select("doc_id", place).collect(), key=lambda r: abs(before(r) + long / 2 - target))
+    assert before(one) < target < before(one) + long
+    docs = own.unionByName(tries.where(F.col("doc_id") == one.doc_id)).repartition(3)
+    out = mixing.mix(docs, share=0.5).collect()
+    left = [r.size for r in out if not r.taken]
+    assert sum(r.taken for r in out) == pytest.approx(target, abs=min(left)) and all(r.taken in (0, r.size) for r in out)
