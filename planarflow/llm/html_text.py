@@ -1,6 +1,6 @@
 """HTML extraction by deducing each host's template from classes of markup tokens that occur alike on its pages.
 
-A token is a start tag with its class and id, together with the path of tags above it. Its occurrence vector has its count on
+A token is a start tag with its class and id, numbers in them replaced by #, together with the path of tags above it. Its occurrence vector has its count on
 every page of the host; vectors are compared by a sum of hashes of (page, count), which adds up in any order, so no page list
 is gathered. Tokens of equal vectors form a class. A class is valid if the mean
 places of its tokens follow their nesting and it occurs on half of the pages or more. Valid classes, the largest first, nest in
@@ -56,7 +56,7 @@ def _words(attrs: str) -> tuple[str, frozenset]:
     if "=" not in attrs:
         return "", frozenset()
     found = [v.strip("\"'").lower() for _, v in _MARKS.findall(attrs)]
-    return ".".join(" ".join(found).split()), frozenset(w for v in found for w in re.split(r"[^a-z0-9]+", v) if w)
+    return re.sub("[0-9]+", "#", ".".join(" ".join(found).split())), frozenset(w for v in found for w in re.split(r"[^a-z0-9]+", v) if w)
 
 
 def events(html: str) -> Iterator[tuple[str, str, list]]:
@@ -236,7 +236,7 @@ def extract(html: str | None, main: str) -> str:
     """Text of the slot main (all elements of that path), or of what names itself the article, or of the page."""
     if not html:
         return ""
-    if main and (lines := _read(html, "slot", main)[0]):
+    if main and tag_of(main) not in ("html", "body") and (lines := _read(html, "slot", main)[0]):
         return "\n".join(lines)
     named, held = _read(html, "main")
     whole, total = _read(html, "all")

@@ -58,3 +58,12 @@ def test_a_small_named_part_is_not_the_article(spark):
     rows = [(i, "https://h.example/", page.format(i=i, long=LONG)) for i in range(4)] + [(9, None, "<div class='post-meta'>May</div><p>" + LONG), (8, None, "<div>in</div>out <i>side</i>")]
     got = {r.page_id: r.text for r in h.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1] == f"May 1\nT\n{LONG.strip()}" and got[9] == f"May\n{LONG.strip()}" and got[8] == "in\nout side"
+
+
+@pytest.mark.parametrize("mark", ["post-{i}", "slug-{w}"])
+def test_articles_whose_id_varies_by_page(spark, mark):
+    page = "<html><body><div><p>Weather</p></div><article id='{m}'><h1>T{i}</h1><p>{long}</p></article></body></html>"
+    rows = [(i, "https://h.example/", page.format(i=i, long=LONG, m=mark.format(i=i, w="abcdef"[i]))) for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert all(r.text == f"T{r.page_id}\n{LONG.strip()}" for r in h.page_texts(df).collect())
+    assert ("article.post-#" in h.deduce([r.asDict() for r in h.host_tokens(df).collect()])["main"]) == (mark == "post-{i}")
