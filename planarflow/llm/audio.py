@@ -74,10 +74,10 @@ def resample(x: np.ndarray) -> np.ndarray:
 
 
 def log_mel(x: np.ndarray, step: int = 4096) -> np.ndarray:
-    """Frames x MELS log energies; frames are handled step at a time."""
+    """Frames x MELS log energies, the last frame padded with zeros; frames are handled step at a time."""
     _, window, filters = _tables()
-    count = max(1, 1 + (len(x) - WINDOW) // HOP)
-    x = np.pad(x, (0, max(0, WINDOW - len(x))))
+    count = max(1, 1 - (WINDOW - len(x)) // HOP)
+    x = np.pad(x, (0, WINDOW + (count - 1) * HOP - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, WINDOW)[::HOP][:count]
     out = np.empty((count, MELS), np.float32)
     for a in range(0, count, step):
@@ -110,7 +110,7 @@ def features(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
     total = np.vstack([np.zeros((1, MELS)), np.cumsum(mel, axis=0, dtype=np.float64)])
     pooled = ((total[last] - total[first]) / (last - first)[:, None]).astype(np.float32)
     spans = segments(10 * mel.mean(axis=1))
-    return pooled, spans * np.array([HOP, HOP]) / (RATE / DOWN) + np.array([0, (WINDOW - HOP) / (RATE / DOWN)])
+    return pooled, np.minimum(spans * HOP + np.array([0, WINDOW - HOP]), len(x)) / (RATE / DOWN)
 
 
 def tensor_column(rows: list[np.ndarray]) -> pa.Array:

@@ -54,3 +54,10 @@ def test_tensor_type():
 
 def test_empty_table(no_docs):
     assert audio.media_columns(no_docs).count() == 0
+
+
+def test_the_end_of_a_text_reaches_the_features():
+    for n in (192, 576, 768):
+        one, other = (bytes(range(97, 113)) * (n // 16 - 1) + end for end in (b"a" * 16, bytes(range(0, 256, 16))))
+        (a, spans), (b, _) = audio.features(one), audio.features(other)
+        assert not (a == b).all() and (spans <= n / audio.RATE).all()
