@@ -18,15 +18,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of least doc_id of each class of similar ones; of rows with one doc_id and text, one.
 
-    A row without a doc_id stays, since its class cannot be told by it."""
-    classes = jaccard.similar_documents(docs)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = cut(classes.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    Rows are told by doc_id and text together. A row without a doc_id stays only if no row of its class has one."""
+    keyed = docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+    classes = cut(jaccard.similar_documents(keyed.select(F.col("_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_key"), F.col("component_id").alias("_class")), "near-classes")
+    rows = cut(classes.distinct().join(keyed.select("_key", F.col("doc_id").alias("_id")).distinct(), "_key"), "near-rows")
+    best = rows.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_key")).alias("b")).select("b._key")
+    gone = rows.join(best, "_key", "left_anti").select("_key")
+    repeated = cut(classes.groupBy("_key").count().where("count > 1").select("_key"), "repeated")
+    kept = keyed.join(gone, "_key", "left_anti")
     if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        return kept.select(*docs.columns)
+    once = kept.join(repeated, "_key", "left_semi").dropDuplicates(["_key"]).select(*docs.columns)
+    return kept.join(repeated, "_key", "left_anti").select(*docs.columns).unionByName(once)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,3 +46,10 @@ def test_run_is_the_stages_in_turn(spark, sf_dir):
 def test_every_operator_has_its_query():
     assert [q.split("_")[0] for q in queries.QUERIES] == [f"op{n}" for n in range(1, 11)]
     assert pieces.encode_pieces
+
+
+def test_rows_are_told_by_doc_id_and_text(spark):
+    one, other = " ".join(f"a{i}" for i in range(80)), " ".join(f"b{i}" for i in range(80))
+    rows = [(1, one), (2, one + " x"), (2, other), (3, one + " y"), (3, one + " z"), (None, other + " n"), (None, "c d e f g h"), (None, "c d e f g h")]
+    kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, one), (2, other), (None, "c d e f g h")], key=str)
