@@ -8,14 +8,15 @@ within it are linked as a whole; what is left is compared by cosine in double pr
 per pair of blocks. A task returns each vector's number of links and a spanning forest of its links, so what it returns grows
 with its vectors, not with their pairs.
 
-Vectors that are null, zero, or hold null or non-finite components, and those of another length than the table's usual one,
-link with nothing. Repeated rows link with each other. A null vec_id takes part; a class's component_id is its least known
+Vectors that are null, zero, or hold null or non-finite components link with nothing; others link with those of their own
+length. Repeated rows link with each other. A null vec_id takes part; a class's component_id is its least known
 one. An empty table gives an empty table; labels and further columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -258,14 +259,20 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
-    spark = vectors.sparkSession
     e = F.col("embedding")
     dead = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     sound = e.isNotNull() & (F.size(e) > 0) & ~F.exists(e, dead) & F.exists(e, lambda v: v != 0)
     rows = vectors.select("vec_id", F.when(F.coalesce(sound, F.lit(False)), e).alias("embedding"))
-    width = rows.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    usual = width[0]["n"] if width else 0
-    rows = cut(rows.withColumn("embedding", F.when(F.size("embedding") == usual, F.col("embedding").cast("array<double>"))), "vectors")
+    rows = cut(rows.withColumn("embedding", F.col("embedding").cast("array<double>")), "vectors")
+    widths = [r["n"] for r in rows.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").collect()] or [0]
+    whole = len(widths) == 1
+    parts = [_of_one_length(rows if whole else rows.where((F.size("embedding") == n) | (F.col("embedding").isNull() if n == widths[0] else F.lit(False))), n, cosine, block) for n in widths]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _of_one_length(rows: DataFrame, usual: int, cosine: float, block: int) -> DataFrame:
+    """near_duplicates() of rows whose vectors have usual components or are null."""
+    spark = rows.sparkSession
     alike = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     alike = cut(alike.withColumn("rep", F.monotonically_increasing_id()), "reps")
     count = alike.count()

@@ -65,3 +65,11 @@ def test_levels_halve_and_radii_cover():
     links = nv.traverse(again, again, one, one, 0.9, True)
     near = tree.points @ tree.points.T >= 0.9
     assert (links.a + links.b == near.sum(axis=1) - 1).all()
+
+
+def test_vectors_link_within_their_length(spark):
+    from planarflow.llm import near_vectors
+
+    rows = [(i, [1.0, float(i), 0.0]) for i in (0, 10, 11)] + [(20, [1.0, 2.0]), (21, [1.0, 2.0]), (22, [2.0, 4.1]), (30, None)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in near_vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == {0: (0, 0, True), 10: (1, 10, True), 11: (1, 10, False), 20: (2, 20, True), 21: (2, 20, False), 22: (2, 20, False), 30: (0, 30, True)}
