@@ -7,7 +7,8 @@ import ctypes
 import os
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset and all run here (tests)."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return str(known.get())
     named = sc.getConf().get("spark.checkpoint.dir")
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="planarflow-"))
     return str(sc._jsc.sc().getCheckpointDir().get())
 
@@ -59,6 +62,10 @@ def _delete(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: Tables that cut() made in each open scratch().
+_open: list[list[DataFrame]] = []
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: ends its lineage, survives lost executors."""
     spark = df.sparkSession
@@ -67,9 +74,30 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     out = spark.read.schema(df.schema).parquet(path)
     out._planarflow_path = path
     atexit.register(_delete, spark, path)
+    if _open:
+        _open[-1].append(out)
     return out
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete the tables that cut() makes meanwhile at the end, but those given to what this yields."""
+    kept: list[DataFrame] = []
+    _open.append([])
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        mine = _open.pop()
+        release(*(df for df in mine if all(df is not k for k in kept)))
+        if _open:
+            _open[-1].extend(kept)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by cut() that no later plan reads."""
     for df in frames:
@@ -110,7 +138,18 @@ def _powers(n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+def views(column: pa.Array) -> list[memoryview]:
+    """The UTF-8 bytes of each text of a column, without a copy; empty for nulls."""
+    if column.null_count:
+        column = column.fill_null("")
+    _, offsets, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    ends = np.frombuffer(offsets, kind)[column.offset : column.offset + len(column) + 1].tolist()
+    held = memoryview(data) if data is not None else memoryview(b"")
+    return [held[a:b] for a, b in zip(ends, ends[1:])]
+
+
+def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Runs of texts of about limit bytes each; a longer text stands alone."""
     first = size = 0
     for i, t in enumerate(texts):
@@ -122,7 +161,51 @@ def slices(texts: list[bytes], limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         yield first, len(texts)
 
 
-def word_hashes(texts: list[bytes], separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def windows(text: memoryview | bytes, limit: int = SLICE_BYTES) -> Iterator[memoryview | bytes]:
+    """Parts of a text that end behind white space, of at most limit bytes where there is any."""
+    at = 0
+    while len(text) - at > limit:
+        end, step = 0, limit
+        while not end and at + step < len(text):
+            space = np.flatnonzero(_SPACE[np.frombuffer(text, np.uint8, step if step == limit else limit, at + step - limit)])
+            if len(space):
+                end = at + step - limit + 1 + int(space[-1] if step == limit else space[0])
+            step = min(step + limit, max(step + 1, len(text) - at))
+        if not end:
+            break
+        yield text[at:end]
+        at = end
+    if at < len(text):
+        yield text[at:]
+
+
+def _word_sums(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """For each word the sum of its bytes' values times the powers of a base; words of more than a slice are summed in parts."""
+    out = np.empty(len(starts), np.uint64)
+    first = 0
+    while first < len(starts):
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + SLICE_BYTES, side="right")))
+        a, b = int(starts[first]), int(ends[last - 1])
+        if b - a > SLICE_BYTES:
+            power, scale, total = _powers(SLICE_BYTES), np.uint64(1), np.uint64(0)
+            with np.errstate(over="ignore"):
+                for k in range(a, b, SLICE_BYTES):
+                    part = data[k : min(b, k + SLICE_BYTES)].astype(np.uint64) + np.uint64(1)
+                    total += scale * (part * power[: len(part)]).sum(dtype=np.uint64)
+                    scale *= power[-1] * _BASE
+            out[first] = total
+        else:
+            own, long = starts[first:last] - a, int((ends[first:last] - starts[first:last]).max())
+            where = np.arange(b - a, dtype=np.int64)
+            where -= np.repeat(own, np.diff(np.r_[own, b - a]))
+            body = (data[a:b].astype(np.uint64) + np.uint64(1)) * _powers(long)[np.minimum(where, long - 1)]
+            body[where >= np.repeat(ends[first:last] - starts[first:last], np.diff(np.r_[own, b - a]))] = 0
+            out[first:last] = np.add.reduceat(body, own)
+        first = last
+    return out
+
+
+def word_hashes(texts: list, separator: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of the texts, A-Z lower-cased: 64-bit hash, text number, start, end, and the bytes they lie in.
 
     A word is a run of bytes for which separator is False; hashes depend on the bytes alone."""
@@ -137,20 +220,35 @@ def word_hashes(texts: list[bytes], separator: np.ndarray = _SPACE) -> tuple[np.
     if not len(starts):
         none = np.zeros(0, np.int64)
         return none.astype(np.uint64), none, none, none, data
-    lens = ends - starts
-    long = int(lens.max())
-    power = _powers(long)
-    where = np.arange(len(data), dtype=np.int64)
-    where -= np.repeat(np.r_[0, starts], np.diff(np.r_[0, starts, len(data)]))
-    body = (data.astype(np.uint64) + np.uint64(1)) * power[np.minimum(where, long - 1)]
-    body[gap] = 0
-    h = mix64(np.add.reduceat(body, starts) ^ (lens.astype(np.uint64) << np.uint64(48)))
+    h = mix64(_word_sums(data, starts, ends) ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
     bounds = np.cumsum([len(t) + 1 for t in texts])
     return h, np.searchsorted(bounds, starts, side="right"), starts, ends, data
 
 
-def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text number, hash) of the texts' shingles of width words, sorted; with fewer words, the whole sequence is one."""
+def _rolled(h: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the runs of width words of one text, in blocks."""
+    out = np.zeros(len(h) - width + 1, np.uint64)
+    for a in range(0, len(out), SLICE_BYTES):
+        part = out[a : a + SLICE_BYTES]
+        for k in range(width):
+            part[:] = mix64(part * _BASE + h[a + k : a + k + len(part)] + np.uint64(k + 1))
+    return out
+
+
+def shingle_hashes(texts: list, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text number, hash) of the texts' shingles of width words, sorted; with fewer words, the whole sequence is one.
+
+    A long text that stands alone is read in windows: what is held besides it is two words of 8 bytes for each of its words."""
+    if len(texts) == 1 and len(texts[0]) > 2 * SLICE_BYTES:
+        h = np.concatenate([word_hashes([w])[0] for w in windows(texts[0])])
+        if len(h) >= width:
+            acc = _rolled(h, width)
+            del h
+            acc.sort()
+            new = np.ones(len(acc), bool)
+            np.not_equal(acc[1:], acc[:-1], out=new[1:])
+            acc = acc[new]
+            return np.broadcast_to(np.int64(0), len(acc)), acc
     h, doc, *_ = word_hashes(texts)
     if not len(h):
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -161,7 +259,7 @@ def shingle_hashes(texts: list[bytes], width: int = 5) -> tuple[np.ndarray, np.n
     acc = np.zeros(n, np.uint64)
     for k in range(width):
         part = np.zeros(n, np.uint64)
-        part[: n - k] = h[k:]
+        part[: max(0, n - k)] = h[k:]
         inside = place + k < count[doc]
         acc = np.where(inside, mix64(acc * _BASE + part + np.uint64(k + 1)), acc)
     keep = (place + width <= count[doc]) | ((count[doc] < width) & (place == 0))

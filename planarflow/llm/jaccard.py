@@ -5,6 +5,8 @@ fragment by fragment is counted there and summed per document or per pair:
 
 1. Support. Of a document with a partner, at least `percent` % of the shingles occur in another document as well. Each
    fragment counts for each document how many of its shingles do; the sums leave few documents, with these shingles only.
+   Shingles that a sample shows in several rows are known to be shared and are counted where they stand, so one that a third of
+   all documents hold gathers nowhere; what the sample misses is counted as any other, so results do not depend on it.
 2. Copies. Documents with equal sets become one representative; membership is joined back at the end.
 3. Order. Among the representatives support is counted again, and shingles are ordered by their number of documents, then by
    hash. The prefix filter and the positional filter hold in this order: a pair's first common shingle must lie early in both.
@@ -12,12 +14,16 @@ fragment by fragment is counted there and summed per document or per pair:
    shingle but are not connected so far are compared. A pair's overlap is counted by fragments of the order and
    summed. Pairs that are connected already need no comparison: classes do not change by it.
 
+There are as many fragments as the text needs; beyond FLAT bits they are dealt in two steps, so that packed rows stay long.
+similar_pairs() verifies every pair that may link, connected or not, and gives the join itself: pairs of representatives and membership.
+
 Shingles are 64-bit hashes of the words' bytes, of which 56 or more bits are compared, so a pair's overlap is wrong by one
 with a chance of about |A||B| / 2^56. Rows that hold shingles are packed: one per slice of input and fragment.
 
 Nulls: null or empty texts, or ones of white space only, have an empty set, are linked with nothing and keep their own class.
 A null doc_id takes part; a class whose doc_ids are all null has a null component_id. Repeated rows are rows of their own with
-equal sets. An empty table gives an empty table; further columns are not read.
+equal sets. Very long texts are read in windows; a task holds two words of 8 bytes for each word of the longest. An empty table
+gives an empty table; further columns, also of clashing names, are not read.
 """
 
 from __future__ import annotations
@@ -29,13 +35,18 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
-from .common import cut, mix64, release, shingle_hashes, slices, small_batches, trim
+from .common import cut, mix64, scratch, shingle_hashes, slices, small_batches, trim, views
 from .components import components
 
 WIDTH, PERCENT = 5, 75
 #: Bytes of text per fragment, and documents that share a shingle beyond which its pairs are dealt to several tasks.
-FRAGMENT_BYTES, HEAVY = 1 << 24, 4_096
+FRAGMENT_BYTES, HEAVY = 1 << 24, 512
+#: Rows that are sampled for shingles that many documents share, sampled rows that must hold one, and shingles kept at most (8 bytes each).
+SAMPLE, SAMPLED, COMMON = 10_000, 3, 1 << 20
+#: Leading bits of a shingle by which fragments are dealt in one step.
+FLAT = 16
 #: Shingles that a task gathers before it deals them to fragments; with many fragments more, so that rows stay long.
 SCATTER = 1 << 18
 _PACK = "part int, kind int, uids binary, sizes binary, tokens binary, more binary"
@@ -90,6 +101,53 @@ def _bucket(uid: np.ndarray, count: int) -> np.ndarray:
     return (mix64(uid.astype(np.uint64)) % np.uint64(count)).astype(np.int64)
 
 
+def _dealt(uid: np.ndarray, tokens: np.ndarray, df: np.ndarray, buckets: int, kind: int) -> Iterator[tuple]:
+    """Packed rows of (document, shingle, number of documents) for each bucket of documents."""
+    bucket = _bucket(uid, buckets)
+    order = np.argsort(bucket, kind="stable")
+    uid, tokens, df, bucket = uid[order], tokens[order], df[order].astype(np.int32), bucket[order]
+    for a, n in zip(*_runs(bucket)):
+        start, count = _runs(uid[a : a + n])
+        yield _row(int(bucket[a]), kind, uid[a : a + n][start], count, tokens[a : a + n].tobytes(), df[a : a + n].tobytes())
+
+
+class Common:
+    """Shingles that are known to be in several documents, each with an estimate of their number that orders them."""
+
+    def __init__(self, tokens: np.ndarray, df: np.ndarray):
+        order = np.argsort(tokens)
+        self.tokens, self.df = tokens[order], df[order]
+        self.may = np.zeros(1 << 20, bool)
+        self.may[(tokens >> np.uint64(44)).astype(np.int64)] = True
+
+    def find(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the tokens are known, and the number of documents of those."""
+        known = self.may[(tokens >> np.uint64(44)).astype(np.int64)]
+        maybe = np.flatnonzero(known)
+        at = np.searchsorted(self.tokens, tokens[maybe])
+        hit = self.tokens[np.minimum(at, len(self.tokens) - 1)] == tokens[maybe] if len(self.tokens) else np.zeros(0, bool)
+        known[maybe] = hit
+        return known, self.df[at[hit]]
+
+
+def common_shingles(docs: DataFrame, width: int = WIDTH) -> Common:
+    """Shingles of several rows of a sample; at most COMMON reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = views(batch.column(0))
+            for a, b in slices(texts):
+                tokens = shingle_hashes(texts[a:b], width)[1]
+                yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
+
+    count = docs.count()
+    part = min(1.0, SAMPLE / max(1, count))
+    found = docs.select("text").sample(part, 7).mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n"))
+    found = found.where(F.col("n") >= SAMPLED).orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
+    df = np.minimum(found["n"].to_numpy() / part, 1 << 30).astype(np.int32)
+    return Common(found["token"].to_numpy().view(np.uint64), df)
+
+
 def _shared(bits: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
     """For a fragment: each document's shingles that another one has too, with their number of documents, dealt by document."""
 
@@ -104,6 +162,8 @@ def _shared(bits: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
             for b in np.unique(bucket):
                 at = bucket == b
                 out.append(_row(int(b), 1, uid[at], np.frombuffer(r["sizes"], "<i4")[at], more=more[at].tobytes()))
+        for r in table.filter(pa.array(kinds == 2)).to_pylist():  # counted where they stood, and dealt by document
+            out.append((part, 0, r["uids"], r["sizes"], r["tokens"], r["more"]))
         uid, size, tokens = _gathered(table.filter(pa.array(kinds == 0)))
         if len(tokens):
             owner = np.repeat(np.arange(len(uid)), size)
@@ -114,12 +174,7 @@ def _shared(bits: int, buckets: int) -> Callable[[pa.Table], pa.Table]:
             keep = df >= 2
             owner, tokens, df = owner[keep], tokens[keep], df[keep]
             full = (tokens << np.uint64(8)) >> np.uint64(bits) | (np.uint64(part) << np.uint64(64 - bits) if bits else np.uint64(0))
-            bucket = _bucket(uid, buckets)[owner]
-            order = np.argsort(bucket, kind="stable")
-            owner, full, df, bucket = owner[order], full[order], df[order], bucket[order]
-            for a, n in zip(*_runs(bucket)):
-                start, count = _runs(owner[a : a + n])
-                out.append(_row(int(bucket[a]), 0, uid[owner[a : a + n][start]], count, full[a : a + n].tobytes(), df[a : a + n].tobytes()))
+            out += _dealt(uid[owner], full, df, buckets, 0)
         del uid, size, tokens
         trim()
         return pa.Table.from_batches([_batch(out)], _ARROW)
@@ -158,47 +213,96 @@ def _support(percent: int, fields: int, ordered: bool) -> Callable[[pa.Table], p
     return run
 
 
-def _supported(packed: DataFrame, bits: int, percent: int, fields: int, ordered: bool) -> DataFrame:
+def _refined(packed: DataFrame, bits: int, flat: int) -> DataFrame:
+    """Rows packed by the first flat bits of their shingles, packed by bits of them."""
+    if bits <= flat:
+        return packed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            fine = np.asarray(batch.column(1).to_numpy()) != 0
+            yield batch.filter(pa.array(fine))
+            for r in batch.filter(pa.array(~fine)).to_pylist():
+                lead = np.uint64(r["part"]) << np.uint64(64 - flat) if flat else np.uint64(0)
+                tokens = (_wide(r["tokens"]) << np.uint64(8)) >> np.uint64(flat) | lead
+                held.append((np.repeat(np.frombuffer(r["uids"], "<i8"), np.frombuffer(r["sizes"], "<i4")), tokens))
+            if sum(len(t) for _, t in held) >= max(SCATTER, 32 << (bits - flat)):
+                yield _batch(list(_scatter(*map(np.concatenate, zip(*held)), bits)))
+                held.clear()
+        if held:
+            yield _batch(list(_scatter(*map(np.concatenate, zip(*held)), bits)))
+
+    return packed.repartition("part").sortWithinPartitions("part").mapInArrow(run, _PACK)
+
+
+def _supported(packed: DataFrame, bits: int, percent: int, fields: int, ordered: bool, flat: int = FLAT) -> DataFrame:
     names = "uid long, n long, shared long, " + "".join(f"m{i} long, " for i in range(fields)) + "tokens binary, df binary"
-    shared = packed.groupBy("part").applyInArrow(_shared(bits, 1 << bits), _PACK)
+    shared = _refined(packed, bits, flat).groupBy("part").applyInArrow(_shared(bits, 1 << bits), _PACK)
     return shared.groupBy("part").applyInArrow(_support(percent, fields, ordered), names)
 
 
-def shingle_sets(docs: DataFrame, bits: int, width: int = WIDTH) -> DataFrame:
+class _Scatter:
+    """Gathers (document, shingle) pairs and packs them: known shingles by document, others by fragment."""
+
+    def __init__(self, bits: int, flat: int, common: Common):
+        self.bits, self.flat, self.common, self.rare, self.known = bits, min(bits, flat), common, [], []
+
+    def add(self, uid: np.ndarray, tokens: np.ndarray) -> Iterator[pa.RecordBatch]:
+        known, df = self.common.find(tokens)
+        if len(df):
+            self.known.append((uid[known], tokens[known], df))
+            uid, tokens = uid[~known], tokens[~known]
+        self.rare.append((uid, tokens))
+        yield from self.flush(max(SCATTER, 32 << self.flat))
+
+    def flush(self, least: int = 1) -> Iterator[pa.RecordBatch]:
+        if sum(len(x[1]) for x in self.rare) >= least:
+            yield _batch(list(_scatter(*map(np.concatenate, zip(*self.rare)), self.flat)))
+            self.rare.clear()
+        if sum(len(x[1]) for x in self.known) >= least:
+            yield _batch(list(_dealt(*map(np.concatenate, zip(*self.known)), 1 << self.bits, 2)))
+            self.known.clear()
+
+
+def shingle_sets(docs: DataFrame, bits: int, width: int, common: Common, flat: int = FLAT) -> DataFrame:
     """Packed segments of all documents, and their number, doc_id and fingerprint of their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 36
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        scatter = _Scatter(bits, flat, common)
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
+            texts = views(batch.column(1))
             ids = batch.column(0)
             null, ids = ids.is_null().to_numpy(zero_copy_only=False), ids.fill_null(0).to_numpy(zero_copy_only=False)
             for a, b in slices(texts):
                 doc, tokens = shingle_hashes(texts[a:b], width)
                 uid = first + np.arange(a, b)
-                n = np.bincount(doc, minlength=b - a)
-                total, other = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
-                np.add.at(total, doc, tokens)
-                np.add.at(other, doc, mix64(tokens))
+                if b - a == 1:
+                    n, step = np.array([len(tokens)]), 1 << 20
+                    total = tokens.sum(dtype=np.uint64, keepdims=True)
+                    other = sum((mix64(tokens[k : k + step]).sum(dtype=np.uint64, keepdims=True) for k in range(0, len(tokens), step)), np.zeros(1, np.uint64))
+                else:
+                    n = np.bincount(doc, minlength=b - a)
+                    total, other = np.zeros(b - a, np.uint64), np.zeros(b - a, np.uint64)
+                    np.add.at(total, doc, tokens)
+                    np.add.at(other, doc, mix64(tokens))
                 more = np.stack([ids[a:b].astype(np.int64), null[a:b].astype(np.int64), total.view(np.int64), other.view(np.int64)], axis=1)
                 yield _batch([_row(int(_bucket(uid[:1], 1 << bits)[0]), 1, uid, n, more=more.astype("<i8").tobytes())])
-                held.append((uid[doc], tokens))
-                if sum(len(t) for _, t in held) >= max(SCATTER, 32 << bits):
-                    yield _batch(list(_scatter(*map(np.concatenate, zip(*held)), bits)))
-                    held.clear()
+                for k in range(0, len(tokens), SCATTER):  # a long text's shingles go on their way in parts
+                    yield from scatter.add(uid[doc[k : k + SCATTER]], tokens[k : k + SCATTER])
             first += len(texts)
-        if held:
-            yield _batch(list(_scatter(*map(np.concatenate, zip(*held)), bits)))
+        yield from scatter.flush()
         trim()
 
     return docs.select("doc_id", "text").mapInArrow(run, _PACK)
 
 
-def _repack(reps: DataFrame, bits: int) -> DataFrame:
+def _repack(reps: DataFrame, bits: int, common: Common, flat: int = FLAT) -> DataFrame:
     """Packed segments of documents that come with their shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scatter = _Scatter(bits, flat, common)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -206,7 +310,9 @@ def _repack(reps: DataFrame, bits: int) -> DataFrame:
                 cells = part.column(2).to_pylist()
                 tokens = np.frombuffer(b"".join(cells), "<u8")
                 owner = np.repeat(uid, [len(c) // 8 for c in cells])
-                yield _batch([_row(int(_bucket(uid[:1], 1 << bits)[0]), 1, uid, n), *_scatter(owner, tokens, bits)])
+                yield _batch([_row(int(_bucket(uid[:1], 1 << bits)[0]), 1, uid, n)])
+                yield from scatter.add(owner, tokens)
+        yield from scatter.flush()
         trim()
 
     return reps.select("uid", "n", "tokens").mapInArrow(run, _PACK)
@@ -331,29 +437,53 @@ def _verified(pairs: DataFrame, reps: DataFrame, percent: int, parts: int, star:
     return x.where(100 * F.col("common") >= percent * (F.col("n_a") + F.col("n_b") - F.col("common"))).select("a", "b", "common")
 
 
-def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row: the classes that links of Jaccard similarity >= percent % form."""
+def _representatives(docs: DataFrame, width: int, percent: int, flat: int, fragment: int) -> tuple[DataFrame, DataFrame, DataFrame, int]:
+    """All rows with their sets' fingerprints, one uid (rep) for each set that may have a partner, those sets, and a number of tasks."""
     spark = docs.sparkSession
     small_batches(spark)
-    kind = docs.schema["doc_id"].dataType
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = max(4, min(16, (size // FRAGMENT_BYTES).bit_length()))
-    parts = max(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sets = cut(_supported(shingle_sets(docs, bits, width), bits, percent, 4, False), "sets").withColumnRenamed("m0", "doc_id").withColumnRenamed("m1", "no_id")
+    bits = max(4, (size // fragment).bit_length())
+    common = common_shingles(docs, width)
+    sets = cut(_supported(shingle_sets(docs, bits, width, common, flat), bits, percent, 4, False, flat), "sets")
     alike = cut(sets.where("tokens IS NOT NULL").groupBy("n", "m2", "m3").agg(F.min("uid").alias("rep"), F.count("*").alias("copies")), "alike")
     reps = sets.join(alike.select("rep"), F.col("uid") == F.col("rep"), "left_semi")
-    reps = cut(_supported(_repack(reps, bits), bits, percent, 0, True).where("tokens IS NOT NULL"), "reps")
-    prefixes = cut(_prefixes(reps, percent), "prefixes")
-    found = cut(_verified(_leader_pairs(prefixes, percent), reps, percent, parts, True), "links")
-    edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
-    classes = cut(components(edges), "classes")
-    more = cut(_verified(_cross_pairs(prefixes, classes, percent, parts), reps, percent, parts, False), "links")
-    every = cut(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "classes")
-    release(prefixes, reps)
-    class_of = alike.join(every, F.col("rep") == F.col("node"), "left").select("n", "m2", "m3", F.coalesce("component", "rep").alias("class"))
-    x = sets.select("uid", "n", "m2", "m3", "doc_id", "no_id", F.col("tokens").isNotNull().alias("linked"))
-    x = x.join(class_of.withColumn("linked", F.lit(True)), ["n", "m2", "m3", "linked"], "left").withColumn("class", F.coalesce("class", "uid"))
-    x = x.withColumn("doc_id", F.when(F.col("no_id") == 0, F.col("doc_id")))
+    reps = cut(_supported(_repack(reps, bits, common, flat), bits, percent, 0, True, flat).where("tokens IS NOT NULL"), "reps")
+    return sets, alike, reps, max(1 << bits, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _members(sets: DataFrame, class_of: DataFrame, kind: DataType) -> DataFrame:
+    """uid, doc_id, n and class of every row; class_of has (n, m2, m3, class) of the sets that may have a partner."""
+    x = sets.select("uid", "n", "m2", "m3", F.when(F.col("m1") == 0, F.col("m0")).cast(kind).alias("doc_id"), F.col("tokens").isNotNull().alias("linked"))
+    x = x.join(class_of.withColumn("linked", F.lit(True)), ["n", "m2", "m3", "linked"], "left")
+    return x.select("uid", "doc_id", "n", F.coalesce("class", "uid").alias("class"))
+
+
+def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, flat: int = FLAT, fragment: int = FRAGMENT_BYTES) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: the classes that links of Jaccard similarity >= percent % form."""
+    kind = docs.schema["doc_id"].dataType
+    with scratch() as keep:
+        sets, alike, reps, parts = _representatives(docs, width, percent, flat, fragment)
+        prefixes = cut(_prefixes(reps, percent), "prefixes")
+        found = cut(_verified(_leader_pairs(prefixes, percent), reps, percent, parts, True), "links")
+        edges = found.select(F.col("a").alias("u"), F.col("b").alias("v"))
+        classes = cut(components(edges), "classes")
+        more = cut(_verified(_cross_pairs(prefixes, classes, percent, parts), reps, percent, parts, False), "links")
+        every = cut(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "classes")
+        class_of = alike.join(every, F.col("rep") == F.col("node"), "left").select("n", "m2", "m3", F.coalesce("component", "rep").alias("class"))
+        x = keep(cut(_members(sets, class_of, kind), "members"))
     least = x.groupBy("class").agg(F.min("doc_id").alias("component_id"))
-    return x.join(least, "class").select(F.col("doc_id").cast(kind).alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component_id").cast(kind).alias("component_id"))
+    return x.join(least, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def similar_pairs(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """The join itself: (a, b, common), every pair of different sets that reach the threshold, and (uid, doc_id, n_shingles, rep),
+    every row with the set that stands for it. Rows of one rep are links of each other as well. Its cost grows with the pairs."""
+    kind = docs.schema["doc_id"].dataType
+    with scratch() as keep:
+        sets, alike, reps, parts = _representatives(docs, width, percent, FLAT, FRAGMENT_BYTES)
+        prefixes = cut(_prefixes(reps, percent), "prefixes")
+        alone = docs.sparkSession.createDataFrame([], "node long, component long")
+        pairs = keep(cut(_verified(_cross_pairs(prefixes, alone, percent, parts), reps, percent, parts, False), "links"))
+        members = keep(cut(_members(sets, alike.select("n", "m2", "m3", F.col("rep").alias("class")), kind), "members"))
+    return pairs, members.select("uid", "doc_id", F.col("n").alias("n_shingles"), F.col("class").alias("rep"))

@@ -57,12 +57,45 @@ def corpus(seed, n=160):
     return rows
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_classes_equal_brute_force(spark, seed):
+@pytest.mark.parametrize(("seed", "sample"), [(0, 10_000), (1, 40), (2, 1)])
+def test_classes_equal_brute_force(spark, monkeypatch, seed, sample):
+    monkeypatch.setattr(jaccard, "SAMPLE", sample)
     rows = corpus(seed)
     assert found(spark, rows) == classes(rows)
 
 
+@pytest.mark.parametrize("flat", [0, 2])
+def test_fragments_dealt_in_two_steps(spark, monkeypatch, flat):
+    monkeypatch.setattr(jaccard, "SAMPLE", 5)
+    rows = corpus(5, 100)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.similar_documents(df, flat=flat, fragment=1 << 10)
+    assert sorted((tuple(r) for r in got.collect()), key=str) == classes(rows)
+
+
+@pytest.mark.parametrize("sample", [10_000, 30])
+def test_pairs_equal_brute_force(spark, monkeypatch, sample):
+    monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    rows = corpus(7, 120)
+    pairs, members = jaccard.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    under = {}
+    for r in members.collect():
+        under.setdefault(r.rep, set()).add(r.doc_id)
+    got = {frozenset((x, y)) for r in pairs.collect() for x in under[r.a] for y in under[r.b]}
+    got |= {frozenset((x, y)) for ids in under.values() for x in ids for y in ids if x < y}
+    sets = {i: shingles(t) for i, t in rows}
+    assert got == {frozenset((x, y)) for x in sets for y in sets if x < y and sets[x] and 100 * len(sets[x] & sets[y]) >= 75 * len(sets[x] | sets[y])}
+
+
+@pytest.mark.parametrize("text", [b"one two", b"one two three", b"x " * 3_000_000 + b"y" * 5_000_000 + b" z" * 9])
+def test_short_and_long_texts_alone(text):
+    words = text.split()
+    want = len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}) or 1
+    doc, tokens = shingle_hashes([text])
+    again = shingle_hashes([text.replace(b" ", b"  ").replace(b"y", b"Y"), b"a b c d e f"])
+    assert len(tokens) == want and sorted(tokens) == sorted(again[1][again[0] == 0])
+
+
 def test_awkward_rows(spark, docs, no_docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted((tuple(r) for r in jaccard.similar_documents(docs).collect()), key=str) == classes(rows)
