@@ -7,12 +7,15 @@ linear over the presence of words and word beginnings, and is trained in numpy o
 
 with the logistic loss, so that its output estimates the log-odds of the true class although no clean example is named; where
 the second part turns negative, a step is taken that raises it again. The prior is the share of toxic ones among the labelled
-rows that may be learned from, plus its standard error: too low a prior treats hidden positives as clean. The fit takes at most POSITIVES and UNLABELLED documents, those of least hash; scoring reads
-every whole text, in a narrow pass.
+rows that may be learned from, plus its standard error: too low a prior treats hidden positives as clean. The fit takes at most
+POSITIVES and UNLABELLED documents, those of least hash, one text of each doc_id, however many rows and texts have it.
+Their features stay on the executors: what reaches the driver is the counts of features that enough positives have, then the
+chosen features of each document. Features of fewer than LEAST positives, or less than STANDS standard errors or TIMES more
+frequent than chance, are not used, nor more than KEPT. Scoring reads every whole text, in a narrow pass; very long texts in windows.
 
 Nulls and empty texts have no words, so they score what the bias says (the lowest score). Null labels are ignored; a document
 labelled twice counts as toxic if any label says so. Without any confirmed example every score is the prior. Repeated rows get
-equal scores. Language, source and ids are never inputs. An empty table gives an empty table; further columns are kept.
+equal scores and weigh once in the fit. Language, source and ids are never inputs. An empty table gives an empty table; further columns are kept.
 """
 
 from __future__ import annotations
@@ -26,10 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, small_batches, trim, word_hashes
+from .common import SLICE_BYTES, cut, mix64, scratch, slices, small_batches, trim, views, windows, word_hashes
 
 #: Bounds of the sample that is fitted; hashed features; features kept; score from which a document counts as toxic.
 POSITIVES, UNLABELLED, BUCKETS, KEPT, REJECT = 6_000, 20_000, 1 << 20, 8_192, 0.7
+#: Positives that must have a feature; how far it must be from chance.
+LEAST, STANDS, TIMES = 4, 4, 2
 #: Bytes of a word's beginning that are a feature besides the word.
 HEAD = 5
 DEFAULT_PRIOR = 0.05
@@ -51,6 +56,23 @@ def word_features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return pairs >> 20, pairs & (BUCKETS - 1)
 
 
+def _lower(text: memoryview | bytes) -> bytes:
+    return str(text, "utf-8").lower().encode()
+
+
+def sliced_features(texts: list) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first, last, text numbers from first on, buckets) of slices of UTF-8 texts."""
+    for a, b in slices(texts):
+        if b - a == 1 and len(texts[a]) > 2 * SLICE_BYTES:
+            found = np.zeros(BUCKETS, bool)
+            for w in windows(texts[a]):
+                found[word_features([_lower(w)])[1]] = True
+            bucket = np.flatnonzero(found)
+            yield a, b, np.zeros(len(bucket), np.int64), bucket
+        else:
+            yield a, b, *word_features([_lower(t) for t in texts[a:b]])
+
+
 @dataclass
 class ToxicityModel:
     """Weights of the kept buckets, and the bias."""
@@ -59,31 +81,33 @@ class ToxicityModel:
     weights: np.ndarray
     bias: float
 
-    def scores(self, texts: list[bytes]) -> np.ndarray:
+    def scores(self, texts: list) -> np.ndarray:
+        """Scores of UTF-8 texts."""
         table = np.zeros(BUCKETS)
         table[self.buckets] = self.weights
         out = np.full(len(texts), self.bias)
-        for a, b in slices(texts):
-            doc, bucket = word_features(texts[a:b])
+        for a, b, doc, bucket in sliced_features(texts):
             out[a:b] += np.bincount(doc, weights=table[bucket], minlength=b - a)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def choose(pos: list[np.ndarray], unl: list[np.ndarray], kept: int = KEPT) -> np.ndarray:
-    """The buckets that are far more frequent among the positives than chance allows, the clearest first."""
-    count = lambda rows: np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=BUCKETS)
-    p, u = count(pos), count(unl)
-    expected = len(pos) * (u + 1) / (len(unl) + 2)
+def choose(p: np.ndarray, u: np.ndarray, positives: int, unlabelled: int, kept: int = KEPT) -> np.ndarray:
+    """The features that are far more frequent among the positives than chance allows, the clearest first; p and u count them."""
+    expected = positives * (u + 1) / (unlabelled + 2)
     z = (p - expected) / np.sqrt(expected + 1)
-    good = np.flatnonzero((p >= 4) & (z >= 4) & (p >= 2 * expected))
+    good = np.flatnonzero((p >= LEAST) & (z >= STANDS) & (p >= TIMES * expected))
     return good[np.argsort(-z[good], kind="stable")][:kept]
 
 
-def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> ToxicityModel:
-    """Train on the buckets of positive and of unlabelled documents."""
+def counts(rows: list[np.ndarray], size: int = BUCKETS) -> np.ndarray:
+    return np.bincount(np.concatenate(rows) if rows else np.zeros(0, np.int64), minlength=size)
+
+
+def fit_nnpu(pos: list[np.ndarray], unl: list[np.ndarray], prior: float, buckets: np.ndarray | None = None, steps: int = 400, rate: float = 0.1, decay: float = 1e-4) -> ToxicityModel:
+    """Train on the buckets of positive and of unlabelled documents, on the given ones or those that choose() takes."""
     if not pos or not unl:
         return ToxicityModel(np.zeros(0, np.int64), np.zeros(0), float(np.log(prior / (1 - prior))))
-    buckets = choose(pos, unl)
+    buckets = choose(counts(pos), counts(unl), len(pos), len(unl)) if buckets is None else buckets
     index = np.full(BUCKETS, -1)
     index[buckets] = np.arange(len(buckets))
 
@@ -119,18 +143,39 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _features(docs: DataFrame) -> DataFrame:
+    """Buckets and their digest for each distinct (positive, doc_id, print)."""
     small_batches(docs.sparkSession)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple] = set()  # as many as were chosen at most
+        for batch in batches:
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(3))))
+            new = [i for i, n in enumerate(names) if n not in seen and not seen.add(n)]
+            batch = batch.take(pa.array(new, pa.int64()))
+            for a, b, doc, bucket in sliced_features(views(batch.column(3))):
+                rows = np.split(bucket.astype(np.int32), np.searchsorted(doc, np.arange(1, b - a)))
+                digests = pa.array([hashlib.sha256(r.tobytes()).hexdigest() for r in rows])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), digests, pa.array(rows, pa.list_(pa.int32()))], names=["positive", "doc_id", "print", "digest", "buckets"])
+
+    found = docs.select("positive", "doc_id", "print", "text").mapInArrow(run, f"positive boolean, doc_id {kind}, print long, digest string, buckets array<int>")
+    return found.dropDuplicates(["positive", "doc_id", "print"])
+
+
+def _kept(rows: DataFrame, buckets: np.ndarray) -> tuple[list[bool], list[np.ndarray]]:
+    """Whether each document is positive, and the chosen buckets that it has; in an order that depends on the rows alone."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chosen = np.zeros(BUCKETS, bool)
+        chosen[buckets] = True
         for batch in batches:
-            texts = [(x or "").lower().encode() for x in batch.column(1).to_pylist()]
-            rows: list[np.ndarray] = []
-            for a, b in slices(texts):
-                doc, bucket = word_features(texts[a:b])
-                rows += np.split(bucket.astype(np.int32), np.searchsorted(doc, np.arange(1, b - a)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["positive", "buckets"])
+            held = [np.array(x, np.int32) for x in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[chosen[x]] for x in held], pa.list_(pa.int32()))], names=["positive", "digest", "buckets"])
 
-    return docs.select("positive", "text").mapInArrow(run, "positive boolean, buckets array<int>")
+    got = rows.select("positive", "digest", "buckets").mapInArrow(run, "positive boolean, digest string, buckets array<int>").toArrow()
+    mark, name, cells = (got[c].to_pylist() for c in got.column_names)
+    order = sorted(range(len(mark)), key=lambda i: (name[i], mark[i]))
+    return [mark[i] for i in order], [np.array(cells[i], np.int64) for i in order]
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED, prior: float | None = None) -> ToxicityModel:
@@ -141,21 +186,26 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES,
     if prior is None:
         share = toxic / n if n else 0.0
         prior = min(0.5, share + (share * (1 - share) / n) ** 0.5) if toxic else DEFAULT_PRIOR
-    chance = F.xxhash64(F.col("doc_id"), F.lit(7))
-    sure = known.where("toxic = 1").select("doc_id", F.lit(True).alias("positive")).orderBy(chance, "doc_id").limit(positives)
-    rest = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).select("doc_id", F.lit(False).alias("positive")).orderBy(chance, "doc_id").limit(unlabelled)
-    # At most positives + unlabelled ids, so the documents need no shuffle.
-    chosen = F.broadcast(sure.unionByName(rest))
-    got = _features(docs.select("doc_id", "text").join(chosen, "doc_id").select("positive", "text")).toArrow()
-    mark = got["positive"].to_numpy(zero_copy_only=False)
-    rows = got["buckets"].combine_chunks()
-    ends, flat = rows.offsets.to_numpy(), rows.values.to_numpy()
-    split = [flat[a:b] for a, b in zip(ends, ends[1:])]
-    # Rows come in any order; the fit adds them up, so they are put in one that depends on them alone.
-    name = [hashlib.sha256(r.tobytes()).digest() for r in split]
-    order = sorted(range(len(split)), key=lambda i: (name[i], mark[i]))
-    distinct = [i for i, j in zip(order, [None, *order]) if j is None or mark[i] != mark[j] or name[i] != name[j]]
-    return fit_nnpu([split[i] for i in distinct if mark[i]], [split[i] for i in order if not mark[i]], prior)
+    named = docs.select("doc_id", F.xxhash64("text").alias("print"), "text")
+    rows = named.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("print").alias("print"))
+    chance = F.xxhash64("doc_id", "print", F.lit(7))
+    with scratch():
+        rows = cut(rows, "fit-rows")
+        sure = rows.join(known.where("toxic = 1").select("doc_id"), "doc_id").select("doc_id", "print", F.lit(True).alias("positive")).orderBy(chance, "doc_id").limit(positives)
+        rest = rows.select("doc_id", "print", F.lit(False).alias("positive")).orderBy(chance, "doc_id").limit(unlabelled)
+        # At most positives + unlabelled pairs of 16 bytes, so the documents need no shuffle.
+        chosen = F.broadcast(cut(sure.unionByName(rest), "fit-chosen"))
+        got = cut(_features(named.join(chosen, ["doc_id", "print"])), "fit-features")
+        # Positives with equal features count once.
+        got = got.where("NOT positive").unionByName(got.where("positive").dropDuplicates(["digest"]))
+        p, u = F.count_if("positive"), F.count_if(~F.col("positive"))
+        sizes = got.agg(p, u).first()
+        held = got.select("positive", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(p.alias("p"), u.alias("u")).where(F.col("p") >= LEAST).toArrow()
+        bucket, p, u = (held[c].to_numpy() for c in ("bucket", "p", "u"))
+        order = np.argsort(bucket)
+        buckets = bucket[order][choose(p[order], u[order], *sizes)].astype(np.int64)
+        mark, cells = _kept(got, buckets)
+    return fit_nnpu([c for c, m in zip(cells, mark) if m], [c for c, m in zip(cells, mark) if not m], prior, buckets)
 
 
 def with_score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
@@ -165,7 +215,7 @@ def with_score(docs: DataFrame, model: ToxicityModel, column: str = "score") ->
 
     @F.arrow_udf("double")
     def score(text: pa.Array) -> pa.Array:
-        out = pa.array(model.scores([(x or "").lower().encode() for x in text.to_pylist()]), pa.float64())
+        out = pa.array(model.scores(views(text)), pa.float64())
         trim()
         return out
 

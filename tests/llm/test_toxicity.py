@@ -65,3 +65,45 @@ def test_awkward_rows(spark, docs, no_docs):
 def test_features_see_words_and_beginnings(text):
     doc, bucket = t.word_features([text.lower().encode()])
     assert len(bucket) == {0: 0, 3: 4}.get(len(text.replace("-", " ").split()), 0) or len(bucket) >= 3
+
+
+def test_repeated_ids_and_rows_bound_the_sample(spark):
+    rows, labels = corpus(400)
+    toxic = next(i for i, y in labels if y and zlib.crc32(str(i).encode()) % 3 != 1)
+    many = spark.range(200_000).selectExpr(f"{toxic}L AS doc_id", "CASE WHEN id % 2 = 0 THEN 'same text' ELSE concat('vileword w', id) END AS text")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(many)
+    seen = []
+
+    def kept(got, buckets):
+        seen.append(got.groupBy("positive").count().collect())
+        return real(got, buckets)
+
+    real, t._kept = t._kept, kept
+    try:
+        model = t.fit_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"), positives=300, unlabelled=500)
+    finally:
+        t._kept = real
+    assert {r["positive"]: r["count"] <= (300 if r["positive"] else 500) for r in seen[0]} == {True: True, False: True}
+    assert len(model.buckets)
+
+
+def test_fit_equals_one_in_memory(spark):
+    rows, labels = corpus(800, 5)
+    model = t.fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    known = {i: y for i, y in labels if zlib.crc32(str(i).encode()) % 3 != 1}
+    share = sum(known.values()) / len(known)
+    features = {i: np.unique(t.word_features([x.lower().encode()])[1]) for i, x in rows}
+    unl = [f for i, f in features.items() if zlib.crc32(str(i).encode()) % 3 != 1]
+    plain = t.fit_nnpu([features[i] for i, y in known.items() if y], unl, share + (share * (1 - share) / len(known)) ** 0.5)
+    assert sorted(plain.buckets) == sorted(model.buckets) and abs(plain.bias - model.bias) < 1e-6
+    both = [dict(zip(m.buckets.tolist(), m.weights.tolist())) for m in (plain, model)]
+    assert all(abs(both[0][b] - both[1][b]) < 1e-6 for b in both[0])
+
+
+def test_long_texts_are_read_in_windows(monkeypatch):
+    import planarflow.llm.common as c
+
+    text = ("Some words, here and THERE. Σίσυφος " * 90_000 + "x" * 3_000_000).encode()
+    (_, _, _, long), = t.sliced_features([text])
+    assert long.tolist() == t.word_features([text.decode().lower().encode()])[1].tolist()
+    assert len(list(c.windows(text))) > 2
