@@ -7,7 +7,8 @@ segments joined. Texts and roles are escaped so that they hold no control string
 
 Nulls: a null text or role counts as empty, a null conv_id is a conversation of its own. Turns are ordered by turn (null
 first), ties by role and text; repeated rows are turns of their own. Conversations that break the order are formatted as
-well and say so in valid and bad_turn. An empty table gives an empty table; further columns are not read.
+well and say so in valid and bad_turn. A conversation becomes one row, whatever its length, so it must fit a cell (2 GB); the
+rows without a conv_id, too, form one. An empty table gives an empty table; further columns, also of clashing names, are not read.
 """
 
 from __future__ import annotations
@@ -69,14 +70,21 @@ def read_turns(formatted: Column, template: dict = TEMPLATE) -> Column:
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), turn)
 
 
-def read_loss(segments: Column) -> Column:
-    """All text under the loss mask, in order."""
-    return F.array_join(F.transform(F.filter(segments, lambda s: s["loss"]), lambda s: unescape(s["text"])), "")
+def loss_mask(segments: Column) -> Column:
+    """Whether each turn's text is under the loss."""
+    return F.transform(F.filter(segments, lambda s, i: i % 3 == 1), lambda s: s["loss"])
+
+
+def read_loss(turns: Column, mask: Column) -> Column:
+    """All text under the loss mask, of turns that were read back, in order."""
+    marked = F.zip_with(turns, mask, lambda t, loss: F.when(loss, t["text"]))
+    return F.array_join(marked, "")
 
 
 def chat_digests(turns: DataFrame) -> DataFrame:
-    """Digests of what formatted conversations say when they are read back."""
-    x = format_chats(turns).select("conv_id", "formatted", "valid", "bad_turn", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("segments")).alias("loss"))
+    """Digests of what formatted conversations say when they are read back, and whether their turns are in order."""
+    x = format_chats(turns).select("conv_id", "formatted", "valid", "bad_turn", read_turns(F.col("formatted")).alias("turns"), loss_mask(F.col("segments")).alias("mask"))
+    x = x.withColumn("loss", read_loss(F.col("turns"), F.col("mask")))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return x.select(
         "conv_id",
@@ -85,4 +93,6 @@ def chat_digests(turns: DataFrame) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        "valid",
+        "bad_turn",
     )

@@ -96,11 +96,17 @@ WITH t AS (
   UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))
 ), loss AS (
   SELECT conv_id, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text NULLS FIRST) FILTER (role = 'assistant'), '') AS loss FROM t GROUP BY conv_id
+), step AS (
+  SELECT conv_id, coalesce(role, '') AS role, row_number() OVER w - 1 AS k, coalesce(lag(coalesce(role, '')) OVER w, 'start') AS before FROM t
+  WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''))
+), bad AS (
+  SELECT conv_id, min(k) FILTER (before || ' ' || role NOT IN ('start system', 'start user', 'system user', 'user assistant', 'assistant user')) AS bad_turn FROM step GROUP BY conv_id
 )
 SELECT t.conv_id, count(*) AS n_turns,
   sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, ''))) AS turns_sha256,
   length(any_value(loss)) AS loss_chars, sha256(any_value(loss)) AS loss_sha256,
-  CAST(sum(length('### ' || {_ROLE} || ': ' || {_ESCAPED} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars
-FROM t JOIN loss ON t.conv_id IS NOT DISTINCT FROM loss.conv_id GROUP BY t.conv_id
+  CAST(sum(length('### ' || {_ROLE} || ': ' || {_ESCAPED} || '</turn>' || chr(10))) AS BIGINT) AS formatted_chars,
+  any_value(bad_turn) IS NULL AS valid, CAST(any_value(bad_turn) AS INTEGER) AS bad_turn
+FROM t JOIN loss ON t.conv_id IS NOT DISTINCT FROM loss.conv_id JOIN bad ON t.conv_id IS NOT DISTINCT FROM bad.conv_id GROUP BY t.conv_id
 """,
 }

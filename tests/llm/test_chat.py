@@ -45,3 +45,16 @@ def test_repeated_rows_and_empty_table(spark):
 def test_plan_has_no_python(spark, sf_dir):
     plan = queries.op5_chat_format(spark, sf_dir)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_machine_is_part_of_the_query(spark, sf_dir):
+    plan = queries.op5_chat_format(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" in plan and "bad_turn" in plan
+    got = chat.chat_digests(spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "user", "b"), (2, 0, "user", "a")], SCHEMA)).collect()
+    assert {(r.conv_id, r.valid, r.bad_turn) for r in got} == {(1, False, 1), (2, True, None)}
+
+
+def test_long_conversation(spark):
+    rows = [(1, i, "assistant" if i % 2 else "user", "</turn>#" * 20_000) for i in range(40)]
+    r = chat.chat_digests(spark.createDataFrame(rows, SCHEMA)).first()
+    assert (r.valid, r.n_turns, r.loss_chars) == (True, 40, 20 * 160_000)
