@@ -2,28 +2,35 @@
 
 Each source's documents fall into blocks by a hash, which is a random permutation of them. A source's target fixes its
 quota of blocks: every block once for each whole pass over the source, then a prefix of the blocks, of which the last is cut
-at a document, so that at least the longest document's length is left. This is filled from all further blocks in their order:
-documents that do not fit are skipped. Where this order misses the target by more than CLOSE of it, the longest go first. One
-more document is added if the sum comes nearer by it. So in the end no document left out fits what is missing, and a
-source's words are off its target by less than the shortest document left out. The quotas of all sources are split among the output shards by a tree: at each node every source's count for
-the left half is a draw from the hypergeometric distribution given what the sources before it have drawn, so a node's halves
-have exact sizes and a shard holds each source in the proportion that a random shuffle would give. Each shard then draws its
-own run of each source's permuted blocks, disjoint from those of others, and its documents are shuffled within the shard.
+at a document, so that at least the longest document's length is left. While more than FILL words are left, a further prefix
+is taken of documents of at most a 32nd of what is left, as rules (size, place). The rest is filled from all further blocks in
+their order: documents that do not fit are skipped. Where this order misses the target by more than CLOSE of it, the longest go
+first. One more document is added if the sum comes nearer by it. So in the end a source's words are off its target by less than
+the shortest document left out.
+
+The quotas of all sources are split among the output shards by a tree: at each node every source's count for the left half is a
+draw from the hypergeometric distribution given what the sources before it have drawn, so a node's halves have exact sizes and a
+shard holds each source in the proportion that a random shuffle would give. The sources are drawn in groups of GROUP, first each
+group's sum, then the sources of each group, so that no row holds more than GROUP of them or one number for each group. Each
+shard then draws its own run of each source's permuted blocks, disjoint from those of others, and its documents are shuffled
+within the shard. Sources are ranked and targets found by prefix sums over ranges, so no task holds all sources.
 
 Nulls: a null source is a source of its own, last in order; a null text has size 0; a null doc_id is hashed as empty.
 Repeated rows (same doc_id and text) have one hash, so they are taken together or not at all. Sources without words have the
-target 0. An empty table gives an empty table. Further columns are kept; clashing names cannot occur, since the plan's own
-columns are prefixed with `_mix_` until the end. Nothing depends on partitioning: reruns agree.
+target 0. A document longer than its source's target is left out of the prefix and taken only if the sum comes nearer by it; the
+sum is then off by less than the longest document. An empty table gives an empty table. Further columns are kept; clashing names
+cannot occur, since the plan's own columns are prefixed with `_mix_` until the end. Nothing depends on partitioning: reruns agree.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, scratch
 
 #: Blocks of a source; output shards; weights by the sources' order, repeating; share of all words; most passes over a source.
 BLOCKS, SHARDS, WEIGHTS, SHARE, PASSES = 1024, 16, (3, 1, 2), 1.5, 2
@@ -31,6 +38,13 @@ BLOCKS, SHARDS, WEIGHTS, SHARE, PASSES = 1024, 16, (3, 1, 2), 1.5, 2
 BROADCAST_ROWS = 200_000
 #: Share of a target by which documents in random order may miss it; beyond that, the longest of the last ones go first.
 CLOSE = 0.001
+#: Words that are filled by document; more are taken by prefixes first.
+FILL = 1 << 15
+#: Sources that are drawn in one row, and standard deviations of a draw beyond which nothing is looked for (less than 1e-30).
+GROUP, WIDE = 256, 12
+#: Words of the mix for a task that writes it (about 100 MB).
+TASK_WORDS = 1 << 24
+_RULES = "array<struct<most:bigint,upto:string>>"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -51,20 +65,28 @@ def _block(place: Column, blocks: int) -> Column:
     return (F.conv(F.substring(place, 1, 8), 16, 10).cast("long") * blocks / F.lit(16**8)).cast("long").cast("int")
 
 
+def _before(rows: DataFrame, order: list[Column], **sums: Column) -> DataFrame:
+    """rows with the sums over all rows before each one in this order; only numbers of whole ranges meet in one task."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "mix-ranges")
+    by = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy("_range").agg(*(F.sum(c).alias(f"_{k}") for k, c in sums.items()))
+    whole = whole.select("_range", *(F.coalesce(F.sum(f"_{k}").over(by), F.lit(0)).alias(f"_{k}") for k in sums))
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    x = ranged.join(whole, "_range")
+    return x.select(*rows.columns, *((F.col(f"_{k}") + F.coalesce(F.sum(c).over(within), F.lit(0))).alias(k) for k, c in sums.items()))
+
+
 def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
     """(source, source_size) with rank and target: share of all words by weight, none above passes times its size."""
-    rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
+    x = _before(sizes, [F.col("source").isNull(), F.col("source")], rank=F.lit(1)).withColumn("rank", F.col("rank").cast("int"))
     weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
-    x = sizes.withColumn("rank", rank).withColumn("_weight", weight).withColumn("_cap", (passes * F.col("source_size")).cast("double"))
-    by, every = Window.orderBy(F.col("_cap") / F.col("_weight"), "rank"), Window.partitionBy(F.lit(0))
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    zero = F.lit(0.0)
-    left = F.lit(float(share)) * F.sum("source_size").over(every) - F.coalesce(F.sum("_cap").over(before), zero)
-    level = left / (F.sum("_weight").over(every) - F.coalesce(F.sum("_weight").over(before), zero))
-    x = x.withColumn("_level", level)
-    fits = F.when(F.col("_level") <= F.col("_cap") / F.col("_weight"), F.col("_level"))
-    x = x.withColumn("_level", F.max(fits).over(every))
-    return x.select("source", "source_size", "rank", F.coalesce(F.least("_cap", F.col("_weight") * F.col("_level")), F.col("_cap")).alias("target"))
+    x = x.withColumn("_weight", weight).withColumn("_cap", (passes * F.col("source_size")).cast("double")).withColumn("_at", F.col("_cap") / F.col("_weight"))
+    x = cut(_before(x, [F.col("_at"), F.col("rank")], full=F.col("_cap"), held=F.col("_weight")), "mix-levels")
+    total, weighs = x.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.sum("_weight")).first()
+    level = (F.lit(float(share) * total) - F.col("full")) / (F.lit(weighs).cast("double") - F.col("held"))
+    least = x.where(level <= F.col("_at")).agg(F.min(F.struct("_at", "rank", level.alias("level")))["level"]).first()[0]
+    goal = F.col("_cap") if least is None else F.least(F.col("_cap"), F.col("_weight") * F.lit(least))
+    return x.select("source", "source_size", "rank", goal.alias("target"))
 
 
 def _let(value: Column, use) -> Column:
@@ -74,9 +96,11 @@ def _let(value: Column, use) -> Column:
 
 def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """Quantile u of the number of marked among drawn of total, by the ratios of neighbouring probabilities."""
-    least = F.greatest(F.lit(0).cast("long"), drawn - (total - marked))
-    most = F.least(marked, drawn)
     d = lambda c: c.cast("double")
+    mean = d(drawn) * d(marked) / F.greatest(d(total), F.lit(1.0))
+    far = WIDE * F.sqrt(mean * (1 - d(marked) / F.greatest(d(total), F.lit(1.0)))) + 50
+    least = F.greatest(F.lit(0).cast("long"), drawn - (total - marked), (mean - far).cast("long"))
+    most = F.least(marked, drawn, (mean + far).cast("long"))
     step = lambda k: F.log(d(marked - k)) + F.log(d(drawn - k)) - F.log(d(k + 1)) - F.log(d(total - marked - drawn + k + 1))
     walk = F.sequence(least, most - 1)
     start = lambda top: F.struct(F.lit(0.0).alias("w"), F.exp(-top).alias("sum"), least.alias("x"))
@@ -99,42 +123,100 @@ def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) ->
     return F.when(most <= least, least).otherwise(found)
 
 
-def split_quotas(quotas: DataFrame, shards: int = SHARDS) -> DataFrame:
+def _left(total: Column, size: Column, name: str, *more: str) -> Column:
+    """How many of each of the numbers in held, total in all, are among size drawn; name and more tell the random numbers apart."""
+
+    def draw(a: Column, x: Column) -> Column:
+        u = _unit(F.lit(name), *(F.col(c).cast("string") for c in ("first", "last", *more)), F.size(a["left"]).cast("string"))
+        took = lambda got: F.struct((a["total"] - x).alias("total"), (a["size"] - got).alias("size"), F.array_append(a["left"], got).alias("left"))
+        return _let(_hypergeometric(a["total"], x, a["size"], u), took)
+
+    empty = F.array().cast("array<bigint>")
+    return F.aggregate("held", F.struct(total.alias("total"), size.alias("size"), empty.alias("left")), draw, lambda a: a["left"])
+
+
+def _halves(nodes: DataFrame, *more: str) -> DataFrame:
+    """Both halves of nodes whose left half's numbers are in left."""
+    right = F.zip_with("held", "left", lambda a, b: a - b)
+    kept = [F.col(c) for c in more]
+    halves = F.array(F.struct("first", F.col("middle").alias("last"), *kept, F.col("left").alias("held")), F.struct(F.col("middle").alias("first"), "last", *kept, right.alias("held")))
+    return nodes.select(F.inline(halves))
+
+
+def split_quotas(quotas: DataFrame, shards: int = SHARDS, group: int = GROUP) -> DataFrame:
     """(rank, quota), one row a source, to (shard, rank, quota): the splitting tree, a level at a time."""
-    nodes = quotas.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda s: s["quota"]).alias("held")).select(
-        F.lit(0).alias("first"), F.lit(shards).alias("last"), "held"
-    )
+    ordered = lambda *by: F.transform(F.array_sort(F.collect_list(F.struct(*by))), lambda s: s["quota"])
+    ends = F.lit(0).alias("first"), F.lit(shards).alias("last")
+    parts = quotas.withColumn("group", F.floor(F.col("rank") / group).cast("int")).groupBy("group").agg(ordered("rank", "quota").alias("held"), F.sum("quota").alias("quota"))
+    parts = cut(parts, "mix-groups")
+    top, parts = parts.agg(ordered("group", "quota").alias("held")).select(*ends, "held"), parts.select(*ends, "group", "held")
+    middle = ((F.col("first") + F.col("last")) / 2).cast("int")
+    sum_ = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    done = []
     span = 1
     while span < shards:
-        first, last = F.col("first"), F.col("last")
-        middle = ((first + last) / 2).cast("int")
-        total = F.aggregate("held", F.lit(0).cast("long"), lambda a, x: a + x)
-        size = F.round(total * (middle - first) / (last - first)).cast("long")
-        empty = F.array().cast("array<bigint>")
-
-        def draw(a: Column, x: Column) -> Column:
-            u = _unit(F.lit("split"), F.col("first").cast("string"), F.col("last").cast("string"), F.size(a["left"]).cast("string"))
-            took = lambda got: F.struct((a["total"] - x).alias("total"), (a["size"] - got).alias("size"), F.array_append(a["left"], got).alias("left"))
-            return _let(_hypergeometric(a["total"], x, a["size"], u), took)
-
-        left = F.aggregate("held", F.struct(total.alias("total"), size.alias("size"), empty.alias("left")), draw, lambda a: a["left"])
-        whole = nodes.where(last - first == 1).select("first", "last", "held")
-        parted = nodes.where(last - first > 1).select("first", "last", middle.alias("middle"), "held", left.alias("left"))
-        right = F.zip_with("held", "left", lambda a, b: a - b)
-        halves = F.array(F.struct("first", F.col("middle").alias("last"), F.col("left").alias("held")), F.struct(F.col("middle").alias("first"), "last", right.alias("held")))
-        nodes = whole.unionByName(parted.select(F.inline(halves)))
+        done.append(parts.where("last - first = 1"))
+        open_ = top.where("last - first > 1").withColumn("middle", middle).withColumn("total", sum_("held"))
+        size = F.round(F.col("total") * (F.col("middle") - F.col("first")) / (F.col("last") - F.col("first"))).cast("long")
+        open_ = open_.withColumn("left", _left(F.col("total"), size, "split"))
+        open_ = cut(open_, "mix-top") if span == 1 or 2 * span >= shards else open_
+        drawn = open_.select("first", "last", "middle", F.posexplode("left").alias("group", "drawn"))
+        parts = parts.join(drawn, ["first", "last", "group"]).withColumn("left", _left(sum_("held"), F.col("drawn"), "group", "group"))
+        parts = cut(_halves(parts, "group"), "mix-groups")
+        top = _halves(open_)
         span *= 2
-    return nodes.select(F.col("first").alias("shard"), F.posexplode("held").alias("rank", "quota"))
+    parts = reduce(DataFrame.unionByName, done, parts.select("first", "last", "group", "held"))
+    return parts.select(F.col("first").alias("shard"), "group", F.posexplode("held").alias("rank", "quota")).select("shard", (F.col("group") * group + F.col("rank")).alias("rank"), "quota")
+
+
+def _prefix(rows: DataFrame) -> DataFrame:
+    """(rank, last, words): the longest prefix of each rank's rows (rank, place, size, limit) by place of at most limit words.
+
+    Places are summed by their first 20 bits first, so that a task sorts only the rows of one such part."""
+    rows = rows.withColumn("part", F.conv(F.substring("place", 1, 5), 16, 10).cast("int"))
+    by = Window.partitionBy("rank").orderBy("part")
+    parts = rows.groupBy("rank", "limit", "part").agg(F.sum("size").alias("words"), F.max("place").alias("most"))
+    parts = cut(parts.withColumn("end", F.sum("words").over(by)).withColumn("begin", F.col("end") - F.col("words")), "mix-parts")
+    whole = parts.where("end <= limit").groupBy("rank").agg(F.max("most").alias("most"), F.max("end").alias("end"))
+    edge = parts.where("begin <= limit AND end > limit").select("rank", "part", "begin")
+    inner = rows.join(edge, ["rank", "part"]).groupBy("rank", "place", "begin", "limit").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.partitionBy("rank").orderBy("place")) + F.col("begin")
+    inner = inner.withColumn("upto", upto).where("upto <= limit").groupBy("rank").agg(F.max("place").alias("place"), F.max("upto").alias("upto"))
+    return whole.join(inner, "rank", "full_outer").select("rank", F.coalesce("place", "most").alias("last"), F.coalesce("upto", "end").alias("words"))
+
+
+def _taken(rules: Column, size: Column, place: Column) -> Column:
+    """Whether a rule takes a document."""
+    return F.exists(rules, lambda r: (size <= r["most"]) & (place <= r["upto"]))
+
+
+def narrow_gaps(docs: DataFrame, edges: DataFrame) -> DataFrame:
+    """edges (source, rank, at, last, target, gap) with rules, and what the documents that those take leave of the gap.
+
+    While a gap is more than FILL words, a prefix is taken of the documents after the edge that have at most a 32nd of it."""
+    edges = edges.withColumn("rules", F.array().cast(_RULES)).withColumn("open", F.lit(True))
+    while not edges.where(F.col("open") & (F.col("gap") > FILL)).isEmpty():
+        wide = edges.where(F.col("open") & (F.col("gap") > FILL)).withColumn("most", F.floor(F.col("gap") / 32)).withColumn("limit", F.col("gap") - F.col("most"))
+        after = F.coalesce(F.try_element_at("rules", F.lit(-1))["upto"], F.col("last"), F.lit(""))
+        same = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.block") >= F.col("e.at")) & (F.col("d.place") > F.col("e.after")) & (F.col("d.size") <= F.col("e.most")) & (F.col("d.size") > 0)
+        rows = docs.alias("d").join(wide.withColumn("after", after).alias("e"), same).select("rank", "d.place", "d.size", "limit")
+        x = edges.join(wide.select("rank", "most"), "rank", "left").join(_prefix(rows).withColumnRenamed("last", "upto"), "rank", "left")
+        found = F.col("upto").isNotNull()
+        rules = F.when(found, F.array_append("rules", F.struct("most", "upto"))).otherwise(F.col("rules"))
+        # Where the small documents do not last, there is nothing more to take by prefixes.
+        more = F.col("most").isNotNull() & found & (F.col("words") > 0)
+        edges = cut(x.select("source", "rank", "at", "last", "target", (F.col("gap") - F.coalesce("words", F.lit(0))).alias("gap"), rules.alias("rules"), more.alias("open")), "mix-rules")
+    return edges.drop("open")
 
 
 def fill(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rank, block, extra): places of documents after a source's edge (at, last) that fill its gap, by block.
+    """(rank, block, extra): places of documents after a source's edge (at, last), less those taken by rules, that fill its gap, by block.
 
     First fit in the order of places, or of lengths where this does not come close. Of documents of lengths within a power of two, only blocks up to the gap's words are
     looked at, since not all in them can fit; what remains is then less than twice the shortest document left, so that one
     more, sought among all, is the last that can fit."""
     after = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.block") >= F.col("e.at"))
-    x = docs.alias("d").join(edges.alias("e"), after).where("size > 0 AND size < 2 * gap AND (last IS NULL OR place > last)")
+    x = docs.alias("d").join(edges.alias("e"), after).where("size > 0 AND size < 2 * gap AND (last IS NULL OR place > last)").where(~_taken(F.col("rules"), F.col("size"), F.col("place")))
     x = cut(x.groupBy("rank", "gap", "target", "d.block", "place").agg(F.sum("size").alias("size")).withColumn("kind", F.length(F.bin("size"))), "mix-fits")
     fits = x.where("size <= gap")
     by = Window.partitionBy("rank", "kind").orderBy("block")
@@ -158,9 +240,10 @@ def fill(docs: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def mixing_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
-    """One row per source and block: source_size, target, and draws, an array of (pass, shard, last, extra).
+    """One row per source and block: source_size, target, and draws, an array of (pass, shard, last, extra, rules).
 
-    last is null where the whole block is drawn, else documents are drawn up to this place, and those at the places extra."""
+    last is null where the whole block is drawn, else documents are drawn up to this place, those at the places extra, and those
+    that a rule takes."""
     narrow = cut(docs.select("source", word_count(F.col("text")).alias("size"), _place(F.col("doc_id"), F.col("text")).alias("place")), "mix")
     narrow = narrow.withColumn("block", _block(F.col("place"), blocks))
     held = cut(narrow.groupBy("source", "block").agg(F.sum("size").alias("words"), F.max("size").alias("longest")), "mix-blocks")
@@ -177,40 +260,46 @@ def mixing_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, wei
     # The block in which a source's rest ends is cut at a document; documents after it fill what is left.
     edge = cut(x.where("state = 1").select("source", "rank", F.col("block").alias("at"), "begin", "until", "rest", "target"), "mix-edges")
     inner = narrow.alias("n").join(edge.alias("e"), F.col("n.source").eqNullSafe(F.col("e.source")) & (F.col("n.block") == F.col("e.at")))
-    inner = inner.groupBy("rank", "place", "begin", "until").agg(F.sum("size").alias("size"))
-    upto = F.sum("size").over(Window.partitionBy("rank").orderBy("place")) + F.col("begin")
-    first = inner.withColumn("upto", upto).where("upto <= until").groupBy("rank").agg(F.max("place").alias("last"), F.max("upto").alias("upto"))
-    edge = cut(edge.join(first, "rank", "left").select("source", "rank", "at", "last", "target", (F.col("rest") - F.coalesce("upto", "begin")).alias("gap")), "mix-gaps")
+    first = _prefix(inner.select("rank", "place", "size", (F.col("until") - F.col("begin")).alias("limit")))
+    edge = edge.join(first, "rank", "left").select("source", "rank", "at", "last", "target", (F.col("rest") - F.col("begin") - F.coalesce("words", F.lit(0))).alias("gap"))
+    edge = narrow_gaps(narrow, cut(edge, "mix-gaps"))
     extra = fill(narrow, edge)
-    x = x.join(edge.select("rank", "last"), "rank", "left").join(extra, ["rank", "block"], "left")
-    x = x.withColumn("last", F.when(F.col("state") == 1, F.col("last")))
-    x = cut(x.withColumn("state", F.when(F.col("state") == 2, 2).when(F.col("last").isNotNull() | F.col("extra").isNotNull(), 1).otherwise(0)), "mix-states")
+    far = _block(F.try_element_at("rules", F.lit(-1))["upto"], blocks)
+    ruled = edge.where(F.size("rules") > 0).select("rank", F.col("at").alias("from"), far.alias("far"), "rules")
+    x = x.join(edge.select("rank", "last"), "rank", "left").join(extra, ["rank", "block"], "left").join(ruled, "rank", "left")
+    x = x.withColumn("last", F.when(F.col("state") == 1, F.col("last"))).withColumn("rules", F.when((F.col("block") >= F.col("from")) & (F.col("block") <= F.col("far")), F.col("rules")))
+    some = F.col("last").isNotNull() | F.col("extra").isNotNull() | F.col("rules").isNotNull()
+    x = cut(x.withColumn("state", F.when(F.col("state") == 2, 2).when(some, 1).otherwise(0)), "mix-states")
     passes_of = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(passes)), lambda p: F.when(p < F.col("whole"), p).when((p == F.col("whole")) & (F.col("state") > 0), p)))
     draws = x.withColumn("pass", F.explode(passes_of))
     part = lambda c, none: F.when((F.col("state") == 1) & (F.col("pass") == F.col("whole")), F.coalesce(c, none)).alias(c)
-    draws = draws.select("rank", "block", "place_in", "pass", part("last", F.lit("")), part("extra", F.array().cast("array<string>")))
+    draws = draws.select("rank", "block", "place_in", "pass", part("last", F.lit("")), part("extra", F.array().cast("array<string>")), part("rules", F.array().cast(_RULES)))
     draws = cut(draws.withColumn("turn", F.row_number().over(Window.partitionBy("rank").orderBy("pass", "place_in")) - 1), "mix-draws")
     quotas = goal.select("rank").join(draws.groupBy("rank").agg(F.count("*").alias("quota")), "rank", "left").select("rank", F.coalesce("quota", F.lit(0)).alias("quota"))
     shares = cut(split_quotas(quotas, shards), "mix-shares")
     shares = shares.withColumn("to", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard"))).withColumn("from", F.col("to") - F.col("quota"))
     placed = draws.join(shares, "rank").where((F.col("turn") >= F.col("from")) & (F.col("turn") < F.col("to")))
-    placed = placed.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "last", "extra"))).alias("draws"))
-    none = F.array().cast("array<struct<pass:int,shard:int,last:string,extra:array<string>>>")
+    placed = placed.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "last", "extra", "rules"))).alias("draws"))
+    none = F.array().cast(f"array<struct<pass:int,shard:int,last:string,extra:array<string>,rules:{_RULES}>>")
     return x.select("source", "block", "source_size", "target", "rank").join(placed, ["rank", "block"], "left").withColumn("draws", F.coalesce("draws", none)).drop("rank")
 
 
 def mix(docs: DataFrame, **settings) -> DataFrame:
     """docs with size, source_size, target, taken and draws (pass, shard) of each document."""
-    blocks = settings.get("blocks", BLOCKS)
-    plan = cut(mixing_plan(docs, **settings), "mix-plan")
+    with scratch() as keep:
+        plan = keep(cut(mixing_plan(docs, **settings), "mix-plan"))
+    return _mixed(docs, plan, settings.get("blocks", BLOCKS))
+
+
+def _mixed(docs: DataFrame, plan: DataFrame, blocks: int) -> DataFrame:
     plan = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns))
     if plan.count() <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
-    own = docs.withColumn("_mix_place", _place(F.col("doc_id"), F.col("text")))
+    own = docs.withColumn("_mix_place", _place(F.col("doc_id"), F.col("text"))).withColumn("_mix_size", word_count(F.col("text")))
     own = own.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")) & (_block(F.col("_mix_place"), blocks) == F.col("_mix_block")))
-    taken = F.filter("_mix_draws", lambda d: d["last"].isNull() | (F.col("_mix_place") <= d["last"]) | F.array_contains(d["extra"], F.col("_mix_place")))
+    place, size = F.col("_mix_place"), F.col("_mix_size")
+    taken = F.filter("_mix_draws", lambda d: d["last"].isNull() | (place <= d["last"]) | F.array_contains(d["extra"], place) | _taken(d["rules"], size, place))
     draws = F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))
-    size = word_count(F.col("text"))
     more = {"size": size, "source_size": F.col("_mix_source_size"), "target": F.col("_mix_target"), "taken": size * F.size(draws), "draws": draws}
     own = own.withColumns({f"_mix_out_{k}": v for k, v in more.items()})
     return own.select(*docs.columns, *(F.col(f"_mix_out_{k}").alias(k) for k in more), F.col("_mix_place").alias("place"))
@@ -218,9 +307,16 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
 
 def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
     """The mix itself: documents as often as they were drawn, those of a shard together and shuffled within it."""
-    x = mix(docs.select(*(F.col(c).alias(f"_in_{c}") if c not in ("doc_id", "text", "source") else F.col(c) for c in docs.columns)), **settings)
-    x = x.withColumn("_draw", F.explode("draws"))
+    inner = docs.select(*(F.col(c).alias(f"_in_{c}") if c not in ("doc_id", "text", "source") else F.col(c) for c in docs.columns))
+    with scratch() as keep:
+        plan = keep(cut(mixing_plan(inner, **settings), "mix-plan"))
+    x = _mixed(inner, plan, settings.get("blocks", BLOCKS)).withColumn("_draw", F.explode("draws"))
     x = x.withColumn("_order", F.md5(F.concat_ws("|", "place", F.col("_draw.pass").cast("string")))).withColumn("_shard", F.col("_draw.shard"))
-    # A shard's documents are dealt to several tasks, each a run of its shuffled order, so a shard may outgrow one task.
-    x = x.repartition("_shard", F.substring("_order", 1, 1)).sortWithinPartitions("_shard", "_order")
+    # A shard's documents are dealt to as many tasks as its words need, each a run of its shuffled order.
+    shards = settings.get("shards", SHARDS)
+    words = plan.select("source", "target").distinct().agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+    runs = max(16, int(words / TASK_WORDS / shards) + 1)
+    run = (F.conv(F.substring("_order", 1, 8), 16, 10).cast("long") * runs / F.lit(16**8)).cast("long")
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(words / TASK_WORDS) + 1)
+    x = x.repartition(tasks, "_shard", run).sortWithinPartitions("_shard", "_order")
     return x.select(*(F.col(f"_in_{c}").alias(c) if c not in ("doc_id", "text", "source") else F.col(c) for c in docs.columns))

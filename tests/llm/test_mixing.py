@@ -104,3 +104,47 @@ def test_a_long_document_at_the_edge_does_not_end_the_filling(spark, long):
     out = mixing.mix(docs, share=0.5).collect()
     left = [r.size for r in out if not r.taken]
     assert sum(r.taken for r in out) == pytest.approx(target, abs=min(left)) and all(r.taken in (0, r.size) for r in out)
+
+
+@pytest.mark.parametrize(("long", "fill"), [(60_000, 500), (400, 60)])
+def test_gaps_are_narrowed_by_prefixes(spark, monkeypatch, long, fill):
+    """A document longer than the target, and a gap that takes several rules."""
+    monkeypatch.setattr(mixing, "FILL", fill)
+    sizes = [long] + [1 + 7 * i % 90 for i in range(1200)]
+    docs = spark.createDataFrame([(i, "w " * n, "a" if i % 5 else None) for i, n in enumerate(sizes)], "doc_id long, text string, source string").repartition(3)
+    out = mixing.mix(docs, share=0.4).collect()
+    for s in ("a", None):
+        mine = [r for r in out if r.source == s]
+        left = [r.size for r in mine if not r.taken]
+        assert sum(r.taken for r in mine) == pytest.approx(mine[0].target, abs=min(left))
+    assert all(r.taken in (0, r.size) for r in out)
+    again = mixing.mix(docs.repartition(5), share=0.4).collect()
+    assert sorted((r.doc_id, r.taken) for r in again) == sorted((r.doc_id, r.taken) for r in out)
+
+
+def test_many_sources(spark):
+    """More sources than one row may hold; targets and shards as with few."""
+    n = 5_000
+    docs = spark.range(3 * n).selectExpr("id AS doc_id", "repeat('w ', cast(1 + (id * 7) % 23 AS int)) AS text", f"concat('s', id % {n}) AS source")
+    out = mixing.mix(docs).select("source", "size", "target", "taken", "draws").collect()
+    sizes = {}
+    for r in out:
+        sizes[r.source] = sizes.get(r.source, 0) + r.size
+    want = level(sizes)
+    assert all(r.target == pytest.approx(want[r.source]) for r in out)
+    assert sum(r.taken for r in out) == pytest.approx(sum(want.values()), rel=0.02)
+    shards = [0] * mixing.SHARDS
+    for r in out:
+        for d in r.draws:
+            shards[d.shard] += 1
+    assert max(shards) - min(shards) <= 5 and max(shards) < 1.01 * min(shards)
+
+
+def test_groups_of_sources_keep_quotas(spark):
+    quotas = spark.createDataFrame([(i, i * i % 50) for i in range(37)], "rank int, quota long")
+    held, shard = {}, {}
+    for r in mixing.split_quotas(quotas, 6, 4).collect():
+        held[r["rank"]] = held.get(r["rank"], 0) + r.quota
+        shard[r.shard] = shard.get(r.shard, 0) + r.quota
+        assert r.quota >= 0
+    assert held == {i: i * i % 50 for i in range(37)} and max(shard.values()) - min(shard.values()) <= 3
