@@ -98,6 +98,11 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
             _open[-1].extend(kept)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a folder when the process ends."""
+    atexit.register(_delete, spark, path)
+
+
 def release(*frames: DataFrame) -> None:
     """Delete tables made by cut() that no later plan reads."""
     for df in frames:
@@ -161,13 +166,13 @@ def slices(texts: list, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
-def windows(text: memoryview | bytes, limit: int = SLICE_BYTES) -> Iterator[memoryview | bytes]:
-    """Parts of a text that end behind white space, of at most limit bytes where there is any."""
+def windows(text: memoryview | bytes, limit: int = SLICE_BYTES, gaps: np.ndarray = _SPACE) -> Iterator[memoryview | bytes]:
+    """Parts of a text that end behind white space (or other gaps), of at most limit bytes where there is any."""
     at = 0
     while len(text) - at > limit:
         end, step = 0, limit
         while not end and at + step < len(text):
-            space = np.flatnonzero(_SPACE[np.frombuffer(text, np.uint8, step if step == limit else limit, at + step - limit)])
+            space = np.flatnonzero(gaps[np.frombuffer(text, np.uint8, step if step == limit else limit, at + step - limit)])
             if len(space):
                 end = at + step - limit + 1 + int(space[-1] if step == limit else space[0])
             step = min(step + limit, max(step + 1, len(text) - at))

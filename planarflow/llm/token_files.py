@@ -6,8 +6,10 @@ the bit stream as big-endian 32-bit words; marks are the bit offsets of every ST
 lengths of all symbols describe it; they are in a second table, `<path>/code`. Any block can be decoded alone, and within a
 block every mark starts an independent lane, so that one table lookup decodes an id in each lane at once.
 
-Null texts count as empty: the end id alone. Rows with a null doc_id come first; repeated doc_ids stay beside each other in
-the order of their ids. An empty table writes no blocks and reads back as no rows. Further columns are not read.
+Rows are dealt by ranges of (doc_id, hash of the ids, row), as many as the ids need, so that a doc_id that many rows share is
+divided as well. A very long text makes a block of its own length; it is encoded, packed and decoded in windows.
+
+Null texts count as empty: the end id alone. Rows with a null doc_id come first; repeated doc_ids stay beside each other. An empty table writes no blocks and reads back as no rows. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -22,11 +24,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, release, shared_dir, small_batches, tokenizer_path, trim
-from .word_bpe import steps, tokenizer
+from .common import cut, forget, release, shared_dir, small_batches, tokenizer_path, trim, views, windows
+from .word_bpe import STEP_BYTES, steps, tokenizer
 
 #: Ids of a block before it ends with its document; ids between two marks; longest code in bits.
 BLOCK_IDS, STRIDE, MAX_BITS = 1 << 16, 256, 16
+#: Bytes of ids for a range, and ids that are packed or decoded at once.
+RANGE_BYTES, WINDOW = 1 << 27, 1 << 20
+_CUTS = np.zeros(256, bool)
+_CUTS[[0x20, 0x0A]] = True
 
 
 # --- code -----------------------------------------------------------------------------------------
@@ -93,6 +99,11 @@ def decode_table(lengths: np.ndarray, bits: int = MAX_BITS) -> np.ndarray:
 
 def pack(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Bit stream of ids in big-endian 32-bit words, and the bit offset of every STRIDE-th id."""
+    if len(ids) > WINDOW:
+        parts = [pack(ids[a : a + WINDOW], codes, lengths) for a in range(0, len(ids), WINDOW)]
+        first = np.cumsum([0, *(8 * len(w) for w, _ in parts[:-1])])
+        return b"".join(w for w, _ in parts), np.concatenate([m + f for (_, m), f in zip(parts, first)])
+    ids = ids.astype(np.int64)
     size = lengths[ids]
     ends = np.cumsum(size)
     at = ends - size
@@ -127,6 +138,16 @@ def unpack(blocks: list[tuple[bytes, np.ndarray, int]], table: np.ndarray, bits:
     return [out[:, a:b].T.reshape(-1)[:n] for a, b, (_, _, n) in zip(edges, edges[1:], blocks)]
 
 
+def windows_of(words: bytes, marks: np.ndarray, count: int, table: np.ndarray) -> Iterator[np.ndarray]:
+    """The ids of a long block, some at a time."""
+    lanes = WINDOW // STRIDE
+    for a in range(0, len(marks), lanes):
+        own = marks[a : a + lanes]
+        first = int(own[0]) // 32
+        last = len(words) // 4 if a + lanes >= len(marks) else int(marks[a + lanes]) // 32 + 2
+        yield unpack([(words[4 * first : 4 * last], own - 32 * first, min(WINDOW, count - a * STRIDE))], table)[0]
+
+
 # --- ids of texts ---------------------------------------------------------------------------------
 
 
@@ -140,7 +161,13 @@ def text_ids(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text:
         wide = np.dtype("<u2" if max(t.size, end_id + 1) <= 1 << 16 else "<u4")
         for batch in batches:
             for a, b in steps(batch.column(1)):
-                ids, count = t.flat(batch.column(1).slice(a, b - a))
+                own = batch.column(1).slice(a, b - a)
+                if b - a == 1 and len(text_ := views(own)[0]) > 2 * STEP_BYTES:
+                    # No rule looks across a space or a line break, so the ids of the parts are those of the whole.
+                    ids = np.concatenate([t.flat(pa.array([str(w, "utf-8")]))[0].astype(wide) for w in windows(text_, STEP_BYTES, _CUTS)])
+                    count = np.array([len(ids)])
+                else:
+                    ids, count = t.flat(own)
                 ends = np.cumsum(count + 1)
                 held = np.full(int(ends[-1]), end_id, wide)
                 body = np.ones(len(held), bool)
@@ -161,8 +188,9 @@ def id_counts(ids: DataFrame, size: int, wide: str) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for first in range(0, batch.num_rows, 1000):
-                held = b"".join(batch.column(0).slice(first, 1000).to_pylist())
-                total += np.bincount(np.frombuffer(held, wide), minlength=size)
+                held = np.frombuffer(b"".join(batch.column(0).slice(first, 1000).to_pylist()), wide)
+                for a in range(0, len(held), WINDOW):
+                    total += np.bincount(held[a : a + WINDOW], minlength=size)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
@@ -184,9 +212,11 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str | None = N
     size = max(tokenizer(file).size, end_id + 1)
     wide = "<u2" if size <= 1 << 16 else "<u4"
     ids = cut(text_ids(docs, file, end_id).withColumn("doc_id", F.col("doc_id").cast("long")), "ids")
-    lengths = code_lengths(id_counts(ids, size, wide))
+    counts = id_counts(ids, size, wide)
+    lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    need = int(counts.sum()) * np.dtype(wide).itemsize // RANGE_BYTES + 1
+    n = partitions or max(need, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -195,7 +225,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str | None = N
         pieces: list[np.ndarray] = []
 
         def row() -> pa.RecordBatch:
-            words, marks = pack(np.concatenate(pieces).astype(np.int64), codes, lengths)
+            words, marks = pack(np.concatenate(pieces), codes, lengths)
             values = [part, block, start, held, names, [len(x) for x in pieces], words, marks.tolist()]
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=["part", "block", "start", "n_tokens", "doc_ids", "doc_tokens", "words", "marks"])
@@ -213,8 +243,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_file: str | None = N
         if pieces:
             yield row()
 
-    ordered = ids.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    ordered.mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
+    by = F.col("doc_id").asc_nulls_first(), F.col("_hash"), F.col("_row")
+    ordered = ids.select("doc_id", "ids", F.xxhash64("ids").alias("_hash"), F.monotonically_increasing_id().alias("_row")).repartitionByRange(n, *by).sortWithinPartitions(*by)
+    ordered.select("doc_id", "ids").mapInArrow(run, BLOCKS).write.parquet(f"{path}/blocks")
     spark.createDataFrame(pa.table({"symbol": np.flatnonzero(lengths), "bits": lengths[lengths > 0]}), "symbol long, bits long").coalesce(1).write.parquet(f"{path}/code")
     release(ids)
 
@@ -237,10 +268,34 @@ def _documents(spark, path: str, keep: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = decode_table(lengths)
+
+        def long(r: dict, out: list[list]) -> None:
+            """The documents of a block that is decoded in windows."""
+            held, left = np.zeros(0, np.int32), windows_of(r["words"], np.array(r["marks"]), r["n_tokens"], table)
+            done = 0
+            for key, n in zip(r["doc_ids"], r["doc_tokens"]):
+                crc, need, kept = 0, n, []
+                while need:
+                    if not len(held):
+                        held = next(left)
+                    part, held = held[:need], held[need:]
+                    crc = zlib.crc32(part.astype("<u4").tobytes(), crc)
+                    need -= len(part)
+                    if keep:
+                        kept.append(part)
+                for column, value in zip(out, (r["part"], key, r["start"] + done, n, crc)):
+                    column.append(value)
+                if keep:
+                    out[5].append(np.concatenate(kept))
+                done += n
+
         for batch in batches:
             for at in range(0, batch.num_rows, 8):
                 rows = batch.slice(at, 8).to_pylist()
                 out: list[list] = [[], [], [], [], [], []]
+                for r in [r for r in rows if r["n_tokens"] > WINDOW]:
+                    rows.remove(r)
+                    long(r, out)
                 for r, ids in zip(rows, unpack([(r["words"], np.array(r["marks"]), r["n_tokens"]) for r in rows], table)):
                     raw, done = memoryview(ids.astype("<u4").tobytes()), 0
                     for key, n in zip(r["doc_ids"], r["doc_tokens"]):
@@ -264,5 +319,6 @@ def _documents(spark, path: str, keep: bool) -> DataFrame:
 def token_file_digests(docs: DataFrame) -> DataFrame:
     """Write all documents to files in the shared folder and describe them from what the files hold."""
     path = f"{shared_dir(docs.sparkSession)}/token-files-{uuid.uuid4().hex}"
+    forget(docs.sparkSession, path)
     write_token_files(docs, path)
     return read_token_files(docs.sparkSession, path)
