@@ -1,15 +1,16 @@
 """Sharding by a k-d tree: nodes are split at distributed weighted medians along their widest dimension.
 
-Every row has coordinates, by default ones that follow from its text (bytes, bytes per character, lines, checksum), so that
-equal texts lie at one point and stay in one shard. A node that still holds several shards' bytes is cut along the dimension
-in which its rows spread widest, at the weight quantile that gives either side its number of shards' bytes. The quantile is
+Every row has coordinates, by default metadata that follow from its text (bytes, bytes per character, lines, characters per word),
+so that equal texts lie at one point and stay in one shard. A coordinate counts by its place between the KNOTS quantiles of all
+rows, so that outliers do not make a dimension wide; a checksum of the text orders rows of equal coordinates. A node that still
+holds several shards' bytes is cut along the dimension in which its rows spread widest, at the weight quantile that gives either side its number of shards' bytes. The quantile is
 found by radix descent: counts of bytes by the next BITS bits of the sort key, for all nodes of a level at once, until the
 bucket that holds it weighs less than SLACK of a shard. If a single text's copies straddle the cut, it moves to their edge
 when that costs at most GROUP_SLACK of a shard, and else divides them by a hash of the doc_id: a hot group does not unbalance
 the shards. At most shards x 2^BITS sums reach the driver at once, whatever the input.
 
 Nulls: a null text has no bytes and the checksum of an empty one; a null doc_id is hashed as such. Rows that are equal in
-doc_id and text stay together. An empty table gives an empty table; further columns are not read.
+doc_id and text stay together. A document larger than a shard makes its shard too large by no more than itself. An empty table gives an empty table; further columns are not read.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from .common import cut, release
 SHARDS, BITS, SLACK, GROUP_SLACK = 24, 13, 0.001, 0.01
 #: Bits of a coordinate, of the checksum behind it, and of the hash that divides copies.
 _AXIS, _SUM, _COPY = 26, 32, 31
-_ROW_BYTES, _SLOT_ROWS = 8, 50_000
+_ROW_BYTES, _SLOT_ROWS, KNOTS = 8, 50_000, 32
 
 
 def row_size(text: Column) -> Column:
@@ -35,8 +36,20 @@ def text_dimensions(text: Column) -> dict[str, Column]:
     """The default coordinates of a text."""
     t = F.coalesce(text, F.lit(""))
     size, chars = F.octet_length(t).cast("double"), F.length(t).cast("double")
-    lines = F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit("")))
-    return {"size": F.log2(size + 1), "width": size / F.greatest(chars, F.lit(1.0)), "lines": F.log2(lines.cast("double") + 1), "checksum": F.crc32(t.cast("binary")).cast("double")}
+    count = lambda c: (F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit("")))).cast("double")
+    lines = count("\n")
+    return {"size": F.log2(size + 1), "width": size / F.greatest(chars, F.lit(1.0)), "lines": F.log2(lines + 1), "words": chars / (count(" ") + lines + 1)}
+
+
+def between(value: Column, knots: list[float]) -> Column:
+    """Where a value lies between ascending knots, 0 to 1; order is kept."""
+    knots = sorted(set(knots))
+    if len(knots) < 2:
+        return F.lit(0.0)
+    held = F.lit(knots)
+    at = F.least(F.greatest(F.size(F.filter(held, lambda k: k <= value)), F.lit(1)), F.lit(len(knots) - 1))
+    low, high = F.element_at(held, at), F.element_at(held, at + 1)
+    return (at - 1 + F.least(F.greatest((value - low) / (high - low), F.lit(0.0)), F.lit(1.0))) / (len(knots) - 1)
 
 
 @dataclass
@@ -141,9 +154,10 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, dimensions: dict[str,
     dims = list((dimensions or text_dimensions(text)).values())
     checksum = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
     copy = F.shiftrightunsigned(F.xxhash64("doc_id", checksum), 64 - _COPY)
-    raw = cut(docs.select("doc_id", row_size(text).alias("size"), checksum.alias("text_crc32"), copy.alias("copy"), *(F.coalesce(d.cast("double"), F.lit(0.0)).alias(f"d{a}") for a, d in enumerate(dims))), "points")
-    ends = raw.agg(F.count("*").alias("n"), *(f(f"d{a}").alias(f"{f.__name__}{a}") for a in range(len(dims)) for f in (F.min, F.max))).first()
-    scale = lambda a: (F.col(f"d{a}") - (ends[f"min{a}"] or 0.0)) / ((ends[f"max{a}"] or 0.0) - (ends[f"min{a}"] or 0.0) or 1.0)
+    raw = cut(docs.select("doc_id", row_size(text).alias("size"), checksum.alias("text_crc32"), copy.alias("copy"), *(F.coalesce(F.nanvl(d.cast("double"), F.lit(None)), F.lit(0.0)).alias(f"d{a}") for a, d in enumerate(dims))), "points")
+    knots = lambda c: F.array(F.min(c), *(F.percentile_approx(c, F.lit(k / KNOTS), F.lit(1000)) for k in range(1, KNOTS)), F.max(c))
+    ends = raw.agg(F.count("*").alias("n"), *(knots(f"d{a}").alias(f"k{a}") for a in range(len(dims)))).first()
+    scale = lambda a: between(F.col(f"d{a}"), [k for k in ends[f"k{a}"] if k is not None])
     axis = lambda a: F.shiftleft((scale(a) * ((1 << _AXIS) - 1)).cast("long"), _SUM) + F.col("text_crc32")
     points = raw.select("doc_id", "size", "text_crc32", "copy", *(axis(a).alias(f"k{a}") for a in range(len(dims))))
     placed = kd_tree(points, shards, len(dims)).select("doc_id", "size", "text_crc32", "copy", F.col("node").alias("shard"))
