@@ -1,16 +1,18 @@
 """Embedding near-duplicates by cover trees: exact threshold pairs from a dual traversal.
 
-Equal vectors become one. A bounded sample, searched for points far from each other, gives the top of the tree; every vector
-falls to its nearest top point, and a cell of many vectors is dealt to several blocks. Each block builds a cover tree, whose
-levels have halving radii and whose nodes keep their exact covering radius. Pairs of cells, then pairs of nodes, are dropped if
-their centres are farther apart than the threshold's distance and both radii; node pairs whose radii put every two points
-within it are linked as a whole; what is left is compared by cosine in double precision. The work on pairs is dealt to one task
-per pair of blocks. A task returns each vector's number of links and a spanning forest of its links, so what it returns grows
-with its vectors, not with their pairs.
+Equal vectors become one. The upper levels of the tree are tables: a cell of more than CELL vectors is split at points far from
+each other, chosen from a bounded sample of it, and every vector falls to the nearest; this goes on until the cells are small
+or too narrow to be worth it. Cells keep their centre and covering radius. Pairs of cells are followed down these levels by
+joins; a pair is dropped if the centres are farther apart than the threshold's distance and both radii, and is linked as a
+whole, without comparing its points, if these put every two points within it. Each cell that is left builds cover trees of
+at most BLOCK points that lie near each other, whose levels have halving radii and whose nodes keep their exact covering radius;
+pairs of nodes are dropped and linked by the same bounds, and what is left is compared by cosine in double precision. The
+work on pairs is dealt to one task per pair of cells. A task returns each vector's number of links and a spanning forest of
+its links, so what it returns grows with its vectors, not with their pairs.
 
 Vectors that are null, zero, or hold null or non-finite components link with nothing; others link with those of their own
-length. Repeated rows link with each other. A null vec_id takes part; a class's component_id is its least known
-one. An empty table gives an empty table; labels and further columns are not read.
+length, however small or large their finite components are. Repeated rows link with each other. A null vec_id takes part; a
+class's component_id is its least known one. An empty table gives an empty table; labels and further columns are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, release
+from .common import cut, scratch
 from .components import components
 
 COSINE = 0.9
-#: Vectors of a block; most cells at the top; vectors of the sample that they are chosen from; margin of bounds on distances.
-BLOCK, CELLS, SAMPLE, MARGIN = 4_096, 256, 8_192, 1e-5
+#: Points of a tree; vectors of a cell and their bytes; margin of bounds on distances.
+BLOCK, CELL, CELL_BYTES, MARGIN = 4_096, 16_384, 1 << 23, 1e-5
+#: Vectors of a cell's sample, most parts it is split into at once, vectors that one task moves, and levels of cells.
+SAMPLE, PARTS, CHUNK, DEPTH = 2_048, 64, 1 << 16, 12
 #: Directions that screen single points.
 AXES = 24
 _PAIR = 1 << 21
@@ -36,6 +40,7 @@ _PAIR = 1 << 21
 
 def unit(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that no square overflows or vanishes
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
@@ -257,7 +262,7 @@ def _vectors(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     e = F.col("embedding")
     dead = lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
@@ -266,81 +271,186 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, block: int = BLO
     rows = cut(rows.withColumn("embedding", F.col("embedding").cast("array<double>")), "vectors")
     widths = [r["n"] for r in rows.where("embedding IS NOT NULL").groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").collect()] or [0]
     whole = len(widths) == 1
-    parts = [_of_one_length(rows if whole else rows.where((F.size("embedding") == n) | (F.col("embedding").isNull() if n == widths[0] else F.lit(False))), n, cosine, block) for n in widths]
+    parts = [_of_one_length(rows if whole else rows.where((F.size("embedding") == n) | (F.col("embedding").isNull() if n == widths[0] else F.lit(False))), n, cosine, block, cell) for n in widths]
     return reduce(DataFrame.unionByName, parts)
 
 
-def _of_one_length(rows: DataFrame, usual: int, cosine: float, block: int) -> DataFrame:
+_FALLEN = "rep long, copies long, embedding array<double>, cell string, gap double"
+
+
+def _split(vectors: DataFrame, level: int, cell: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """The vectors (rep, copies, embedding, cell, n) of cells that are split, each in its new cell, and the new cells' centres."""
+
+    def choose(t: pa.Table) -> pa.Table:
+        x = _vectors(t["embedding"].combine_chunks())
+        n = t["n"][0].as_py()
+        order = np.argsort(t["rep"].to_numpy())  # the same centres whatever the order of rows
+        centres = x[order][spread(unit(x[order]), max(2, min(PARTS, 2 * -(-n // cell))), least)[0]]
+        return pa.table({"cell": pa.array([t["cell"][0].as_py()] * len(centres)), "part": pa.array(np.arange(len(centres)), pa.int32()), "centre": pa.array(list(centres), pa.list_(pa.float64()))})
+
+    chance = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(level), "rep")), 1, 8), 16, 10).cast("double") / F.lit(float(16**8))
+    centres = vectors.where(chance * F.col("n") < SAMPLE).groupBy("cell").applyInArrow(choose, "cell string, part int, centre array<double>")
+    centres = cut(centres, "centres")
+    # A cell's vectors are moved by several tasks; each gets the cell's centres.
+    salts = F.ceil(F.col("n") / CHUNK).cast("int")
+    asked = vectors.select("cell", salts.alias("salts")).distinct().join(centres, "cell").select(F.col("cell").alias("of"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("turn"), "part", "centre")
+    moved = vectors.withColumn("salt", F.pmod(F.xxhash64("rep", F.lit(level)), salts).cast("int"))
+
+    def fall(t: pa.Table, c: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return pa.table({"rep": pa.array([], pa.int64()), "copies": pa.array([], pa.int64()), "embedding": pa.array([], pa.list_(pa.float64())), "cell": pa.array([], pa.string()), "gap": pa.array([], pa.float64())})
+        part = c["part"].to_numpy()
+        centre = unit(_vectors(c["centre"].combine_chunks()))[np.argsort(part)]
+        d = gaps(unit(_vectors(t["embedding"].combine_chunks())), centre)
+        name = t["cell"][0].as_py()
+        return pa.table({"rep": t["rep"], "copies": t["copies"], "embedding": t["embedding"], "cell": pa.array([f"{name}.{k}" for k in d.argmin(axis=1)]), "gap": pa.array(d.min(axis=1), pa.float64())})
+
+    new = moved.groupBy("cell", "salt").cogroup(asked.groupBy("of", "turn")).applyInArrow(fall, _FALLEN)
+    return cut(new, "cells"), centres.select(F.concat_ws(".", "cell", F.col("part").cast("string")).alias("cell"), F.col("cell").alias("parent"), "centre")
+
+
+def _cells(alike: DataFrame, cell: int, reach: float) -> tuple[DataFrame, list[DataFrame]]:
+    """Vectors by their last cell, and the cells of each level: cell, parent, centre, radius, n, copies, root (least rep), split."""
+    total = (F.count("*").alias("n"), F.max("gap").alias("radius"), F.sum("copies").alias("copies"), F.min("rep").alias("root"))
+    open_ = alike.select("rep", "copies", "embedding", F.lit("0").alias("cell"), F.lit(2.0).alias("gap"))
+    done: list[DataFrame] = []
+    levels: list[DataFrame] = []
+    centres = None
+    while True:
+        stats = open_.groupBy("cell").agg(*total)
+        centre = F.lit(None).cast("array<double>")
+        stats = stats.join(centres, "cell") if centres is not None else stats.withColumn("parent", F.lit("")).withColumn("centre", centre)
+        wide = (F.col("n") > cell) & (F.col("radius") > reach / 4) & F.lit(len(levels) < DEPTH)
+        stats = cut(stats.withColumn("split", wide), "levels")
+        levels.append(stats)
+        big = stats.where("split").select("cell", "n")
+        if big.isEmpty():
+            done.append(open_)
+            return reduce(DataFrame.unionByName, done), levels
+        if len(levels) > 1:
+            done.append(open_.join(big, "cell", "left_anti"))
+        open_, centres = _split(open_.drop("gap").join(big, "cell"), len(levels), cell, reach / 8)
+
+
+def _near_cells(levels: list[DataFrame], reach: float) -> DataFrame:
+    """Pairs (a, b, whole) of last cells that may hold links, by following pairs of cells down the levels."""
+    own = ("cell", "centre", "radius")
+    pairs = levels[0].select(F.col("cell").alias("a"), F.col("cell").alias("b"), F.lit(False).alias("whole"))
+    last = levels[0].where("NOT split")
+    for stats in levels[1:]:
+        kids = stats.select(F.col("parent").alias("p"), *own).unionByName(last.select(F.col("cell").alias("p"), *own))
+        x = pairs.join(kids.select(F.col("p").alias("a"), F.struct(*own).alias("x")), "a").join(kids.select(F.col("p").alias("b"), F.struct(*own).alias("y")), "b")
+        x = x.where((F.col("a") != F.col("b")) | (F.col("x.cell") <= F.col("y.cell")))
+        unit_ = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, v: s + v * v))
+        dot = F.aggregate(F.zip_with("x.centre", "y.centre", lambda u, v: u * v), F.lit(0.0), lambda s, v: s + v)
+        gap = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * dot / (unit_(F.col("x.centre")) * unit_(F.col("y.centre")))))
+        x = x.withColumn("gap", F.when(F.col("x.cell") == F.col("y.cell"), F.lit(0.0)).otherwise(gap))
+        far = F.col("x.radius") + F.col("y.radius")
+        # A centre whose squares overflow gives no gap; such a pair is kept.
+        x = x.where((F.col("x.cell") == F.col("y.cell")) | ~F.coalesce(F.col("gap") > reach + far + MARGIN, F.lit(False)))
+        pairs = cut(x.select(F.least("x.cell", "y.cell").alias("a"), F.greatest("x.cell", "y.cell").alias("b"), F.coalesce(F.col("gap") + far <= reach - MARGIN, F.lit(False)).alias("whole")), "near")
+        last = last.unionByName(stats.where("NOT split"))
+    return pairs
+
+
+def _whole_links(fallen: DataFrame, last: DataFrame, whole: DataFrame) -> DataFrame:
+    """(rep, links, root) of all vectors in pairs of cells that are linked as a whole."""
+    both = whole.select("a", "b").unionByName(whole.where("a <> b").select(F.col("b").alias("a"), F.col("a").alias("b")))
+    known = last.select(F.col("cell").alias("b"), "copies", "root")
+    # Every vector of a links with all of b: with b's root, and the roots of all such b with a's.
+    sums = both.join(known, "b").groupBy("a").agg(F.sum("copies").alias("add"), F.min("root").alias("to"), F.max((F.col("a") == F.col("b")).cast("int")).alias("own"))
+    each = fallen.join(sums, F.col("cell") == F.col("a")).select("rep", (F.col("add") - F.when(F.col("own") == 1, F.col("copies")).otherwise(0)).alias("links"), F.col("to").alias("root"))
+    mine = last.select(F.col("cell").alias("a"), F.col("root").alias("rep"))
+    roots = both.join(known, "b").join(mine, "a").select("rep", F.lit(0).cast("long").alias("links"), "root")
+    return each.unionByName(roots)
+
+
+def _of_one_length(rows: DataFrame, usual: int, cosine: float, block: int, cell: int) -> DataFrame:
     """near_duplicates() of rows whose vectors have usual components or are null."""
-    spark = rows.sparkSession
     alike = rows.where("embedding IS NOT NULL").groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
     alike = cut(alike.withColumn("rep", F.monotonically_increasing_id()), "reps")
     count = alike.count()
     if not count:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    sample = alike.orderBy(F.xxhash64("embedding"), "rep").limit(SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
-    points = unit(_vectors(sample))
-    basis = principal(points)
-    points = points[spread(points, max(1, min(CELLS, -(-count // block))))[0]]
-
-    def fall(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d = gaps(unit(_vectors(batch.column(2))), points)
-            cell = d.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(cell, pa.int64()), pa.array(d.min(axis=1), pa.float64())], names=["rep", "copies", "embedding", "cell", "gap"])
-
-    fallen = cut(alike.select("rep", "copies", "embedding").mapInArrow(fall, "rep long, copies long, embedding array<double>, cell long, gap double"), "cells")
-    stats = {r["cell"]: r for r in fallen.groupBy("cell").agg(F.count("*").alias("n"), F.max("gap").alias("radius")).collect()}
-    shares = {c: -(-r["n"] // block) for c, r in stats.items()}
+    with scratch() as keep:
+        known = keep(cut(_linked(alike, usual, cosine, block, max(2, min(cell, CELL_BYTES // (8 * usual)))), "links"))
+    out = rows.join(known, "embedding", "left")
+    component = F.when(F.col("embedding").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+
+
+def _linked(alike: DataFrame, usual: int, cosine: float, block: int, cell: int) -> DataFrame:
+    """embedding, n_links and component_id of distinct vectors (embedding, least vec_id, copies, rep)."""
     reach = float(np.sqrt(2 - 2 * cosine))
-    near = [(a, b) for a in stats for b in stats if a <= b and gaps(points[a : a + 1], points[b : b + 1])[0, 0] <= reach + stats[a]["radius"] + stats[b]["radius"] + MARGIN]
-    table = spark.createDataFrame([(a, b, shares[a], shares[b]) for a, b in near], "a long, b long, na long, nb long")
-    pairs = table.select("a", "b", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("i"), "nb").select("a", "b", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("j"))
-    pairs = pairs.where("a < b OR i <= j").select(F.struct(F.col("a").alias("cell"), F.col("i").alias("share")).alias("x"), F.struct(F.col("b").alias("cell"), F.col("j").alias("share")).alias("y"))
-    parts = F.element_at(F.create_map(*(F.lit(v) for c, k in shares.items() for v in (c, k))), F.col("cell"))
-    blocks = fallen.withColumn("block", F.struct("cell", F.pmod(F.xxhash64("rep"), parts).alias("share")))
+    sample = alike.orderBy(F.xxhash64("embedding"), "rep").limit(4 * SAMPLE).select("embedding").toArrow()["embedding"].combine_chunks()
+    basis = principal(unit(_vectors(sample)))
+    fallen, levels = _cells(alike, cell, reach)
+    near = _near_cells(levels, reach)
+    last = reduce(DataFrame.unionByName, levels).where("NOT split").select("cell", "n", "copies", "root")
+    # Cells that stay large (DEPTH) are dealt in shares; pairs of shares meet in one task.
+    shares = last.select("cell", F.ceil(F.col("n") / cell).cast("int").alias("shares"))
+    mine = lambda side: shares.select(F.col("cell").alias(side), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias(f"s{side}"))
+    pairs = near.where("NOT whole").join(mine("a"), "a").join(mine("b"), "b").where("a < b OR sa <= sb")
+    pairs = cut(pairs.select(F.struct(F.col("a").alias("cell"), F.col("sa").alias("share")).alias("x"), F.struct(F.col("b").alias("cell"), F.col("sb").alias("share")).alias("y")), "pairs")
+    met = pairs.select("x.cell").unionByName(pairs.select("y.cell")).distinct()
+    blocks = fallen.join(shares.join(met, "cell"), "cell").withColumn("share", F.pmod(F.xxhash64("rep"), F.col("shares")).cast("int"))
 
     tree_columns = ("centre", "radius", "range", "kids", "kid_ends")
-    kind = "cell long, share long, reps binary, copies binary, data binary, " + ", ".join(f"{c} binary" for c in tree_columns)
+    kind = "cell string, share int, reps binary, copies binary, data binary, " + ", ".join(f"{c} binary" for c in tree_columns)
 
     def packed(t: pa.Table) -> pa.Table:
         x = np.ascontiguousarray(_vectors(t["embedding"].combine_chunks()))
-        tree = CoverTree(unit(x), reach)
-        first = t["block"][0].as_py()
-        x = x[tree.order]
-        short = x.astype(np.float32)
-        cells = {"reps": t["rep"].to_numpy()[tree.order].tobytes(), "copies": t["copies"].to_numpy()[tree.order].tobytes(), "data": (short if (short == x).all() else x).tobytes()} | tree.pack()
-        return pa.table({"cell": pa.array([first["cell"]], pa.int64()), "share": pa.array([first["share"]], pa.int64())} | {k: pa.array([v], pa.binary()) for k, v in cells.items()})
-
-    held = cut(blocks.select("block", "rep", "copies", "embedding").groupBy("block").applyInArrow(packed, kind), "blocks")
+        rep, copies = t["rep"].to_numpy(), t["copies"].to_numpy()
+        owner = np.zeros(len(x), np.int64)
+        if len(x) > block:  # trees of points that lie near each other, none of more than block
+            owner = spread(unit(x), 2 * -(-len(x) // block))[1]
+            order = np.argsort(owner, kind="stable")
+            start = np.r_[0, np.flatnonzero(np.diff(owner[order])) + 1]
+            place = np.arange(len(x)) - np.repeat(start, np.diff(np.r_[start, len(x)]))
+            owner[order] = owner[order] * len(x) + place // block
+        rows = []
+        for k in np.unique(owner):
+            at = np.flatnonzero(owner == k)
+            tree = CoverTree(unit(x[at]), reach)
+            at = at[tree.order]
+            short = x[at].astype(np.float32)
+            rows.append({"reps": rep[at].tobytes(), "copies": copies[at].tobytes(), "data": (short if (short == x[at]).all() else x[at]).tobytes()} | tree.pack())
+        names = {"cell": pa.array([t["cell"][0].as_py()] * len(rows)), "share": pa.array([t["share"][0].as_py()] * len(rows), pa.int32())}
+        return pa.table(names | {k: pa.array([r[k] for r in rows], pa.binary()) for k in ("reps", "copies", "data", *tree_columns)})
+
+    held = cut(blocks.select("cell", "share", "rep", "copies", "embedding").groupBy("cell", "share").applyInArrow(packed, kind), "blocks")
     sent = ("reps", "copies", "data", *tree_columns)
     held = held.select(F.struct("cell", "share").alias("block"), *sent)
     left = pairs.join(held, F.col("x") == F.col("block")).select("x", "y", F.lit(0).alias("side"), *sent)
     right = pairs.where("x <> y").join(held, F.col("y") == F.col("block")).select("x", "y", F.lit(1).alias("side"), *sent)
 
     def link(t: pa.Table) -> pa.Table:
-        sides = {}
+        sides: dict[int, list[tuple]] = {0: [], 1: []}
         for row in t.select(["side", *sent]).to_pylist():
             reps = np.frombuffer(row["reps"], np.int64)
             data = np.frombuffer(row["data"], np.float32 if len(row["data"]) == 4 * usual * len(reps) else np.float64)
-            sides[row["side"]] = reps, np.frombuffer(row["copies"], np.int64), CoverTree.unpack(unit(data.reshape(len(reps), -1)), row)
-        (ra, wa, ta), (rb, wb, tb) = sides[0], sides.get(1, sides[0])
-        found = traverse(ta, tb, wa, wb, cosine, 1 not in sides, basis)
-        if 1 not in sides:  # both halves are the same points
-            found.join(np.arange(len(ra)), len(ra) + np.arange(len(ra)))
-        rep, links = np.concatenate([ra, rb]), np.concatenate([found.a, found.b])
-        root = rep[found.roots(np.arange(len(rep)))]
-        some = links > 0
-        return pa.table({"rep": rep[some], "links": links[some], "root": root[some]})
-
-    links = cut(left.unionByName(right).groupBy("x", "y").applyInArrow(link, "rep long, links long, root long"), "links")
+            sides[row["side"]].append((reps, np.frombuffer(row["copies"], np.int64), CoverTree.unpack(unit(data.reshape(len(reps), -1)), row)))
+        alone = not sides[1]
+        out: list[tuple] = []
+        for i, (ra, wa, ta) in enumerate(sides[0]):
+            for j, (rb, wb, tb) in enumerate(sides[0] if alone else sides[1]):
+                if alone and j < i:
+                    continue
+                same = alone and i == j
+                found = traverse(ta, tb, wa, wb, cosine, same, basis)
+                if same:  # both halves are the same points
+                    found.join(np.arange(len(ra)), len(ra) + np.arange(len(ra)))
+                rep, links = np.concatenate([ra, rb]), np.concatenate([found.a, found.b])
+                root = rep[found.roots(np.arange(len(rep)))]
+                some = links > 0
+                out.append((rep[some], links[some], root[some]))
+        return pa.table({k: pa.array(np.concatenate([o[i] for o in out]), pa.int64()) for i, k in enumerate(("rep", "links", "root"))})
+
+    links = left.unionByName(right).groupBy("x", "y").applyInArrow(link, "rep long, links long, root long")
+    links = cut(links.unionByName(_whole_links(fallen, last, near.where("whole"))), "links")
     classes = components(links.select(F.col("rep").alias("u"), F.col("root").alias("v")))
     total = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = alike.select("embedding", "least", "copies", "rep").join(total, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left")
+    known = alike.join(total, "rep", "left").join(classes, F.col("rep") == F.col("node"), "left")
     known = known.withColumn("class", F.coalesce("component", "rep"))
     least = known.groupBy("class").agg(F.min("least").alias("component_id"))
-    known = known.join(least, "class").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
-    release(fallen, held)
-    out = rows.join(known, "embedding", "left")
-    component = F.when(F.col("embedding").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
+    return known.join(least, "class").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")

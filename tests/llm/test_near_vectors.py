@@ -6,9 +6,8 @@ from planarflow.llm import near_vectors as nv
 
 def brute(rows):
     sound = {i: np.array(v, float) for i, (_, v) in enumerate(rows) if v and None not in v and np.isfinite(v).all() and any(v)}
-    usual = max({len(v) for v in sound.values()}, key=lambda n: sum(len(v) == n for v in sound.values()), default=0)
-    sound = {i: v / np.linalg.norm(v) for i, v in sound.items() if len(v) == usual}
-    near = {i: [j for j in sound if j != i and sound[i] @ sound[j] >= 0.9] if i in sound else [] for i in range(len(rows))}
+    sound = {i: v / abs(v).max() / np.linalg.norm(v / abs(v).max()) for i, v in sound.items()}
+    near = {i: [j for j in sound if j != i and len(sound[i]) == len(sound[j]) and sound[i] @ sound[j] >= 0.9] if i in sound else [] for i in range(len(rows))}
     label = list(range(len(rows)))
     while True:
         new = [min([label[i], *(label[j] for j in near[i])]) for i in range(len(rows))]
@@ -29,14 +28,50 @@ def vectors(seed, n=300, d=8):
     return [(int(i), v.astype(np.float32).tolist()) for i, v in zip(rng.permutation(n), x)]
 
 
-@pytest.mark.parametrize("block", [20, 64, 4096])
-def test_links_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "cell"), [(20, 30), (64, 100), (16, 400), (4096, 16384)])
+def test_links_equal_brute_force(spark, block, cell):
     rows = vectors(block)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    got = sorted(tuple(r) for r in nv.near_duplicates(df, block=block).collect())
+    got = sorted(tuple(r) for r in nv.near_duplicates(df, block=block, cell=cell).collect())
     assert got == brute(rows)
 
 
+def test_dense_groups_are_linked_as_a_whole(spark, monkeypatch):
+    """Groups far narrower than a link's reach, next to each other and apart: no pair of their points is compared."""
+    rng = np.random.default_rng(4)
+    centres = np.array([[1, 0, 0, 0], [0.97, 0.24, 0, 0], [0, 0, 1, 0.0]])
+    x = [c + rng.normal(size=4) * 0.004 for c in centres for _ in range(70)] + [rng.normal(size=4) for _ in range(60)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(900, x[3].tolist()), (901, x[3].tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = []
+    real = nv._near_cells
+
+    def near(levels, reach):
+        out = real(levels, reach)
+        whole.append(out.where("whole").count())
+        return out
+
+    monkeypatch.setattr(nv, "_near_cells", near)
+    assert sorted(tuple(r) for r in nv.near_duplicates(df, block=8, cell=10).collect()) == brute(rows)
+    assert whole[0] > 3
+
+
+def test_levels_end_where_cells_cannot_be_split(spark, monkeypatch):
+    monkeypatch.setattr(nv, "DEPTH", 1)
+    rows = vectors(3, 200)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(tuple(r) for r in nv.near_duplicates(df, block=16, cell=20).collect()) == brute(rows)
+
+
+def test_tiny_and_huge_components(spark):
+    rows = [(0, [1e-170, 0.0]), (1, [5e-324, 0.0]), (2, [1e200, 0.0]), (3, [1.7e308, 1e307]), (4, [0.0, -3e-310]), (5, [0.0, -1.0]), (None, [1.0, 0.0]), (None, [-1.0, 0.0]), (None, [-2.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in nv.near_duplicates(df).collect() if r.vec_id is not None}
+    assert got == {0: (4, 0), 1: (4, 0), 2: (4, 0), 3: (4, 0), 4: (1, 4), 5: (1, 4)}
+    nameless = sorted((r.n_links, r.component_id, r.kept) for r in nv.near_duplicates(df).collect() if r.vec_id is None)
+    assert nameless[2] == (4, 0, False) and [x[:2] for x in nameless[:2]] == [(1, None)] * 2
+
+
 def test_unsound_vectors(spark):
     rows = [(0, None), (1, []), (2, [0.0, 0.0]), (3, [1.0, None]), (4, [1.0, float("nan")]), (5, [1.0, float("inf")]), (6, [1.0, 2.0]), (7, [2.0, 4.0]), (8, [1.0, 2.0]), (8, [1.0, 2.0]), (9, [1.0])]
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, n_links int")
