@@ -43,8 +43,8 @@ from .components import components
 WIDTH, PERCENT = 5, 75
 #: Bytes of text per fragment, and documents that share a shingle beyond which its pairs are dealt to several tasks.
 FRAGMENT_BYTES, HEAVY = 1 << 24, 512
-#: Rows that are sampled for shingles that many documents share, sampled rows that must hold one, and shingles kept at most (8 bytes each).
-SAMPLE, SAMPLED, COMMON = 10_000, 3, 1 << 20
+#: Rows that are sampled, of at most a share of all, for shingles that many documents share, sampled rows that must hold one, and shingles kept at most (8 bytes each).
+SAMPLE, SHARE, SAMPLED, COMMON = 10_000, 0.05, 3, 1 << 20
 #: Leading bits of a shingle by which fragments are dealt in one step.
 FLAT = 16
 #: Shingles that a task gathers before it deals them to fragments; with many fragments more, so that rows stay long.
@@ -141,7 +141,7 @@ def common_shingles(docs: DataFrame, width: int = WIDTH) -> Common:
                 yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64))], names=["token"])
 
     count = docs.count()
-    part = min(1.0, SAMPLE / max(1, count))
+    part = min(SHARE, SAMPLE / max(1, count))
     found = docs.select("text").sample(part, 7).mapInArrow(run, "token long").groupBy("token").agg(F.count("*").alias("n"))
     found = found.where(F.col("n") >= SAMPLED).orderBy(F.desc("n"), "token").limit(COMMON).toArrow()
     df = np.minimum(found["n"].to_numpy() / part, 1 << 30).astype(np.int32)

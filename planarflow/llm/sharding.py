@@ -155,11 +155,13 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, dimensions: dict[str,
     checksum = F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
     copy = F.shiftrightunsigned(F.xxhash64("doc_id", checksum), 64 - _COPY)
     raw = cut(docs.select("doc_id", row_size(text).alias("size"), checksum.alias("text_crc32"), copy.alias("copy"), *(F.coalesce(F.nanvl(d.cast("double"), F.lit(None)), F.lit(0.0)).alias(f"d{a}") for a, d in enumerate(dims))), "points")
-    knots = lambda c: F.array(F.min(c), *(F.percentile_approx(c, F.lit(k / KNOTS), F.lit(1000)) for k in range(1, KNOTS)), F.max(c))
+    knots = lambda c: F.concat(F.array(F.min(c)), F.percentile_approx(c, [k / KNOTS for k in range(1, KNOTS)], 1000), F.array(F.max(c)))
     ends = raw.agg(F.count("*").alias("n"), *(knots(f"d{a}").alias(f"k{a}") for a in range(len(dims)))).first()
-    scale = lambda a: between(F.col(f"d{a}"), [k for k in ends[f"k{a}"] if k is not None])
+    scale = lambda a: between(F.col(f"d{a}"), [k for k in ends[f"k{a}"] or () if k is not None])
     axis = lambda a: F.shiftleft((scale(a) * ((1 << _AXIS) - 1)).cast("long"), _SUM) + F.col("text_crc32")
     points = raw.select("doc_id", "size", "text_crc32", "copy", *(axis(a).alias(f"k{a}") for a in range(len(dims))))
+    points = cut(points, "points")
+    release(raw)
     placed = kd_tree(points, shards, len(dims)).select("doc_id", "size", "text_crc32", "copy", F.col("node").alias("shard"))
     # Slots are numbered within buckets of a shard, so that no task sorts a whole shard.
     bits = max(3, (ends["n"] // (shards * _SLOT_ROWS)).bit_length())

@@ -60,6 +60,7 @@ def corpus(seed, n=160):
 @pytest.mark.parametrize(("seed", "sample"), [(0, 10_000), (1, 40), (2, 1)])
 def test_classes_equal_brute_force(spark, monkeypatch, seed, sample):
     monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    monkeypatch.setattr(jaccard, "SHARE", 1.0)
     rows = corpus(seed)
     assert found(spark, rows) == classes(rows)
 
@@ -67,6 +68,7 @@ def test_classes_equal_brute_force(spark, monkeypatch, seed, sample):
 @pytest.mark.parametrize("flat", [0, 2])
 def test_fragments_dealt_in_two_steps(spark, monkeypatch, flat):
     monkeypatch.setattr(jaccard, "SAMPLE", 5)
+    monkeypatch.setattr(jaccard, "SHARE", 1.0)
     rows = corpus(5, 100)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = jaccard.similar_documents(df, flat=flat, fragment=1 << 10)
@@ -76,6 +78,7 @@ def test_fragments_dealt_in_two_steps(spark, monkeypatch, flat):
 @pytest.mark.parametrize("sample", [10_000, 30])
 def test_pairs_equal_brute_force(spark, monkeypatch, sample):
     monkeypatch.setattr(jaccard, "SAMPLE", sample)
+    monkeypatch.setattr(jaccard, "SHARE", 1.0)
     rows = corpus(7, 120)
     pairs, members = jaccard.similar_pairs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     under = {}
