@@ -35,7 +35,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def _kept(keyed: DataFrame, columns: list[str], keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     classes = cut(jaccard.similar_documents(keyed.select(F.col("_planarflow_key").alias("doc_id"), "text")).select(F.col("doc_id").alias("_planarflow_key"), F.col("component_id").alias("_class")), "near-classes")
     rows = cut(classes.distinct().join(keyed.select("_planarflow_key", F.col("doc_id").alias("_id")).distinct(), "_planarflow_key"), "near-rows")
-    best = rows.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_planarflow_key")).alias("b")).select("b._key")
+    best = rows.groupBy("_class").agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_planarflow_key")).alias("b")).select("b._planarflow_key")
     gone = keep(cut(rows.join(best, "_planarflow_key", "left_anti").select("_planarflow_key"), "gone"))
     repeated = keep(cut(classes.groupBy("_planarflow_key").count().where("count > 1").select("_planarflow_key"), "repeated"))
     kept = keyed.join(gone, "_planarflow_key", "left_anti")
