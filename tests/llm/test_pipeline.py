@@ -53,3 +53,30 @@ def test_rows_are_told_by_doc_id_and_text(spark):
     rows = [(1, one), (2, one + " x"), (2, other), (3, one + " y"), (3, one + " z"), (None, other + " n"), (None, "c d e f g h"), (None, "c d e f g h")]
     kept = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([(1, one), (2, other), (None, "c d e f g h")], key=str)
+
+
+def written(spark, folder, docs):
+    labels = spark.createDataFrame([(0, 1, 1), (3, 0, 0), (None, None, 1), (9, None, None)], "doc_id long, quality int, toxic int")
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_awkward_documents_through_all_stages(spark, docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    long = spark.range(1).selectExpr("50L AS doc_id", "repeat('very long words ', 300000) AS text", "'en' AS lang", "CAST(NULL AS STRING) AS source")
+    more = {c: F.lit("other") for c in set(docs.columns) - set(long.columns)}
+    both = docs.unionByName(long.withColumns(more)).withColumn("_planarflow", F.lit(1)).withColumn("_draw", F.lit(2))
+    folder = written(spark, tmp_path, both)
+    out = corpus_pipeline.run(spark, folder).collect()
+    assert out and {r.doc_id for r in out} <= {r.doc_id for r in both.collect()}
+    held = both
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        held = stage(spark, held, folder)
+        assert held.columns == both.columns
+    assert held.where("_draw = 2 AND size = 'other'").count() == held.count()
+
+
+def test_no_documents(spark, no_docs, tmp_path):
+    assert corpus_pipeline.run(spark, written(spark, tmp_path, no_docs)).count() == 0
