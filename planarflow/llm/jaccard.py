@@ -472,7 +472,8 @@ def similar_documents(docs: DataFrame, width: int = WIDTH, percent: int = PERCEN
         every = cut(components(edges.unionByName(more.select(F.col("a").alias("u"), F.col("b").alias("v")))), "classes")
         class_of = alike.join(every, F.col("rep") == F.col("node"), "left").select("n", "m2", "m3", F.coalesce("component", "rep").alias("class"))
         x = keep(cut(_members(sets, class_of, kind), "members"))
-    least = x.groupBy("class").agg(F.min("doc_id").alias("component_id"))
+        # Written, so that the join with it can split a class of many rows.
+        least = keep(cut(x.groupBy("class").agg(F.min("doc_id").alias("component_id")), "least"))
     return x.join(least, "class").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
