@@ -108,7 +108,8 @@ def classes(spark: SparkSession, m: int, n: int, root: str | None = None, tasks:
         # Parents differ much in cost and are few at first: deal them out singly.
         found = reduce_classes(expand(frontier.repartition(tasks), m, n, stage))
         if path:
-            found.repartition("crossings", F.pmod(F.xxhash64("form"), F.lit(8))).write.mode("overwrite").partitionBy("crossings").parquet(path)
+            # Rows of a crossing count go to as many tasks as their bytes need.
+            found.hint("rebalance", "crossings").write.mode("overwrite").partitionBy("crossings").parquet(path)
             frontier = spark.read.schema(CLASS).parquet(path)
         else:
             frontier = found.persist() if stage + 1 < last else found

@@ -109,6 +109,30 @@ def operation_timings(timings: DataFrame, k: int | None = None) -> DataFrame:
     return x if k is None else x.limit(k)
 
 
+def stage_rates(events: DataFrame) -> DataFrame:
+    """stage_summary with candidates a second and the share that was submitted; null where nothing was seen or no time passed."""
+    x = stage_summary(events)
+    return x.withColumn("seen_per_second", ratio(F.col("seen"), F.col("span_seconds"))).withColumn("submitted_share", ratio(F.col("submitted"), F.col("seen")))
+
+
+def active_workers(events: DataFrame, worker: Column, now: float, within: float = 120.0) -> DataFrame:
+    """Workers with a sign of life within so many seconds of now, and their last one."""
+    x = events.withColumn("worker", worker).where(F.col("worker").isNotNull())
+    return x.groupBy("worker").agg(F.max("timestamp").alias("last_seen")).where(F.col("last_seen") >= now - within)
+
+
+def requeued(leases: DataFrame, now: float) -> DataFrame:
+    """The work table after leases that have passed are given back: their status is pending, their owner and time null."""
+    gone = (F.col("status") == "leased") & (F.col("lease_until") < F.lit(now))
+    return leases.withColumns({"status": F.when(gone, F.lit("pending")).otherwise(F.col("status")), "owner": F.when(~F.coalesce(gone, F.lit(False)), F.col("owner")), "lease_until": F.when(~F.coalesce(gone, F.lit(False)), F.col("lease_until"))})
+
+
+def throughput_mb(spans: DataFrame, size: str, begin: str, end: str, *keys: str) -> DataFrame:
+    """MB, seconds from the first begin to the last end, and MB a second, by key."""
+    x = spans.groupBy(*keys).agg((F.sum(size) / 1e6).alias("mb"), (F.max(end) - F.min(begin)).alias("seconds"))
+    return x.withColumn("mb_per_second", ratio(F.col("mb"), F.col("seconds")))
+
+
 def expired(leases: DataFrame, now: float) -> DataFrame:
     """Leased work whose time has passed."""
     return leases.where((F.col("status") == "leased") & (F.col("lease_until") < F.lit(now)))

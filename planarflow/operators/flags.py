@@ -6,6 +6,8 @@ edge first; a four-vertex token has the four labels ascending. Both lose the ord
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ from planarflow.plans.graph import Census, Points
 KINDS = ("crossing", "four")
 
 
+def checked_colors(colors: Sequence[int], m: int, n: int) -> tuple[int, ...]:
+    """The colors of a graph's vertices if m of them are of one and n of the other color, in either order; others raise."""
+    held = tuple(colors)
+    sizes = sorted((held.count(c) for c in set(held)))
+    if len(held) != m + n or sizes != sorted((m, n)) or set(held) != {1, 2}:
+        raise ValueError(f"{held} colors no K({m},{n})")
+    return held
+
+
 def label(vertex: int, offset: int) -> int:
     if not 0 <= vertex + offset <= 9:
         raise ValueError(f"label {vertex + offset} is not one digit")

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import resource
+import subprocess
+import sys
 import time
 from collections.abc import Callable
 from dataclasses import asdict
@@ -42,9 +45,16 @@ class Folder:
         out = fs.create(beside, True)
         out.write(bytearray(text.encode()))
         out.close()
-        fs.delete(target, False)
-        if not fs.rename(beside, target):
-            raise OSError(f"cannot rename to {target}")
+        kinds = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        how[0] = kinds.OVERWRITE
+        # Replaces the target in one step, so that a crash leaves the old file or the new one.
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.makeQualified(fs.getUri(), fs.getWorkingDirectory()).toUri(), self._conf).rename(beside, target, how)
+
+    def append(self, name: str, row: dict) -> None:
+        """One line of JSON more, in a file of lines."""
+        held = self.read(name) if self.has(name) else ""
+        self.write(name, held + json.dumps(row, sort_keys=True) + "\n")
 
     def read(self, name: str) -> str:
         where, fs = self._at(name)
@@ -73,6 +83,27 @@ def plan_record(c: Census) -> dict:
     }
 
 
+def usage() -> dict[str, float]:
+    """CPU seconds and peak memory (KiB) of the driver's Python so far."""
+    used = resource.getrusage(resource.RUSAGE_SELF)
+    return {"cpu_seconds": used.ru_utime + used.ru_stime, "max_rss_kib": used.ru_maxrss // (1024 if sys.platform == "darwin" else 1)}
+
+
+def time_report(text: str) -> dict[str, str]:
+    """The "key: value" lines that GNU time writes; the last colon followed by a space parts them."""
+    pairs = (line.strip().rpartition(": ") for line in text.splitlines())
+    return {k: v.strip() for k, _, v in pairs if k}
+
+
+def git_revision(folder: str = ".") -> str:
+    """The commit that is checked out in folder, or "unknown"."""
+    try:
+        got = subprocess.run(["git", "-C", folder, "rev-parse", "HEAD"], capture_output=True, text=True, timeout=20)
+    except (OSError, subprocess.TimeoutExpired):
+        return "unknown"
+    return got.stdout.strip() or "unknown"
+
+
 class Run:
     """The parts of a run and their record in run.json."""
 
@@ -98,14 +129,16 @@ class Run:
         done = self.record["parts"].get(name, {})
         if done.get("status") == "done":
             return done["result"]
-        began = time.time()
+        began, before = time.time(), usage()
         try:
             result = make()
         except Exception as error:
             self.record["parts"][name] = {"status": "failed", "error": repr(error)[:500], "seconds": time.time() - began, "ended": utc_now()}
             self._save()
             raise
-        self.record["parts"][name] = {"status": "done", "result": result, "seconds": time.time() - began, "ended": utc_now()}
+        after = usage()
+        spent = {"cpu_seconds": after["cpu_seconds"] - before["cpu_seconds"], "max_rss_kib": after["max_rss_kib"]}
+        self.record["parts"][name] = {"status": "done", "result": result, "seconds": time.time() - began, "driver": spent, "ended": utc_now()}
         self._save()
         return result
 
@@ -161,6 +194,10 @@ class Run:
         return self.part(f"flags-only-{kind}", make)
 
     def stage_counts(self) -> list[dict]:
+        """Classes and crossings of each stage."""
+        return self.part("stages", self._stage_counts)
+
+    def _stage_counts(self) -> list[dict]:
         out = []
         for stage in range(len(self.census.stages)):
             path = census.stage_path(f"{self.folder.path}/classes", self.m, self.n, stage)
@@ -168,24 +205,42 @@ class Run:
             out.append({"stage": stage} | rows.agg(F.count("*").alias("classes"), F.min("crossings").alias("least_crossings"), F.max("crossings").alias("most_crossings")).first().asDict())
         return out
 
-    def run(self, reduce_flags: bool = True) -> dict:
-        """All parts, summary.json and report.md; returns the summary."""
+    def cleanup(self) -> list[int]:
+        """Delete the tables of all stages but the last, once the classes are done; returns the stages deleted.
+
+        Resumption of the classes needs them no more; stage_counts() keeps what it counted in the record."""
+        if self.record["parts"].get("classes", {}).get("status") != "done":
+            raise ValueError("the classes are not done")
+        self.stage_counts()
+        gone = [s for s in range(len(self.census.stages) - 1) if self.folder.has(f"classes/K_{self.m}_{self.n}/stage={s}")]
+        for s in gone:
+            self.folder.delete(f"classes/K_{self.m}_{self.n}/stage={s}")
+        return gone
+
+    def run(self, reduce_flags: bool = True, keep_stages: bool = True) -> dict:
+        """All parts, summary.json and report.md; returns the summary. Without keep_stages earlier stages' tables are deleted."""
         summary = {"m": self.m, "n": self.n, "strong": self.classes(), "exported_rows": self.export()}
         if reduce_flags:
             summary |= {k: self.flag_classes(k) for k in flags.KINDS}
         summary["stages"] = self.stage_counts()
         summary["checks"] = [list(v) for v in verdicts(summary)]
         self.folder.write("summary.json", json.dumps(summary, indent=1, sort_keys=True))
-        self.folder.write("report.md", report(summary))
+        self.folder.write("report.md", report(summary, self.record["parts"]))
+        self.folder.append("log.jsonl", {"ended": utc_now(), "checks": summary["checks"]})
+        if not keep_stages:
+            self.cleanup()
         return summary
 
 
-def report(summary: dict) -> str:
+def report(summary: dict, parts: dict | None = None) -> str:
     lines = [f"# Census of K({summary['m']},{summary['n']})", "", "| count | color-preserving | color-blind |", "|---|---:|---:|"]
     for name in ("strong", *flags.KINDS):
         if got := summary.get(name):
             lines.append(f"| {name} | {got['color_preserving']} | {got['color_blind']} |")
     lines += ["", "| stage | classes | crossings |", "|---:|---:|---|"]
     lines += [f"| {s['stage']} | {s['classes']} | {s['least_crossings']}-{s['most_crossings']} |" for s in summary["stages"]]
+    if parts:
+        lines += ["", "| part | seconds | driver CPU seconds | driver peak MiB |", "|---|---:|---:|---:|"]
+        lines += [f"| {k} | {p['seconds']:.1f} | {p.get('driver', {}).get('cpu_seconds', 0):.1f} | {p.get('driver', {}).get('max_rss_kib', 0) // 1024} |" for k, p in parts.items()]
     lines += ["", *(f"- {v}: {name} {got} (published {want})" for v, name, got, want in summary["checks"])]
     return "\n".join(lines) + "\n"

@@ -7,9 +7,13 @@ travel as one binary row each.
 from __future__ import annotations
 
 import gzip
+import uuid
 from collections.abc import Iterator
+from itertools import islice
+from pathlib import Path
 
 import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,14 +24,21 @@ from planarflow.sources import codec
 
 def read_record_files(spark: SparkSession, path: str) -> DataFrame:
     """path and record of every record of gzip record files."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gds.gz").option("recursiveFileLookup", True).load(path)
+    return records_of(files)
+
+
+def records_of(files: DataFrame) -> DataFrame:
+    """path and record of every record of files (path, content); they are unzipped as they are read, some records at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column(0), batch.column(1)):
-                records = list(codec.split_records(gzip.decompress(content.as_py())))
-                yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(records), pa.string()), pa.array(records, pa.binary())], names=["path", "record"])
+                with gzip.open(pa.BufferReader(content.as_buffer()), "rb") as f:
+                    records = codec.stream_records(f)
+                    while held := list(islice(records, 4096)):
+                        yield pa.RecordBatch.from_arrays([pa.array([name.as_py()] * len(held), pa.string()), pa.array(held, pa.binary())], names=["path", "record"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gds.gz").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInArrow(run, "path string, record binary")
 
 
@@ -53,6 +64,26 @@ def pack_record_files(records: DataFrame, per_file: int = 5_000) -> DataFrame:
     return records.select("record").mapInArrow(run, "name string, content binary, records long")
 
 
+def write_record_files(records: DataFrame, path: str, per_file: int = 5_000) -> int:
+    """Write gzip record files under path, a folder that all executors reach, or a store that pyarrow opens; returns their number.
+
+    Files are named by their content and moved when they are whole, so a task that runs again writes the same files."""
+    target = path if "://" in path else Path(path).absolute().as_uri()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, folder = FileSystem.from_uri(target)
+        store.create_dir(folder, recursive=True)
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                beside = f"{folder}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(beside, compression=None) as out:
+                    out.write(content)
+                store.move(beside, f"{folder}/{name}")
+                yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    return pack_record_files(records, per_file).select("name", "content").mapInArrow(run, "name string").distinct().count()
+
+
 def _by_form(df: DataFrame, kind: str, make) -> DataFrame:
     spark_type = {"binary": pa.binary(), "string": pa.string()}[kind]
 

@@ -72,3 +72,25 @@ def test_labels(spark):
     assert flags.token(points, points.crossing_id[((3, 1), (2, 0))], "crossing") == "1324"
     with pytest.raises(ValueError):
         flags.label(9, 1)
+
+
+def test_stages_are_deleted_when_read(spark, tmp_path):
+    run = Run(spark, str(tmp_path / "r"), 2, 4)
+    first = run.run(keep_stages=False)
+    left = [p.name for p in (tmp_path / "r" / "classes" / "K_2_4").iterdir()]
+    assert left == ["stage=1"] and [s["classes"] for s in first["stages"]] == [6, 40]
+    assert Run(spark, str(tmp_path / "r"), 2, 4).run() == first
+    text = (tmp_path / "r" / "report.md").read_text()
+    assert "| classes |" in text and len((tmp_path / "r" / "log.jsonl").read_text().splitlines()) == 2
+    assert run.record["parts"]["classes"]["driver"]["max_rss_kib"] > 0
+
+
+def test_small_helpers(tmp_path):
+    from planarflow.plans.run import git_revision, time_report
+
+    assert time_report("\tMaximum resident set size (kbytes): 12\n\tElapsed (wall clock) time (h:mm:ss or m:ss): 0:01.5\nno colon") == {"Maximum resident set size (kbytes)": "12", "Elapsed (wall clock) time (h:mm:ss or m:ss)": "0:01.5"}
+    assert git_revision(str(tmp_path)) == "unknown"
+    assert flags.checked_colors((1, 1, 2, 2, 2), 2, 3) == (1, 1, 2, 2, 2) == flags.checked_colors([1, 1, 2, 2, 2], 3, 2)
+    for wrong in ((1, 2, 2, 2, 2), (1, 1, 2, 2), (1, 1, 3, 3, 3)):
+        with pytest.raises(ValueError):
+            flags.checked_colors(wrong, 2, 3)

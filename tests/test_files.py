@@ -54,3 +54,42 @@ def test_bucket_hash_is_invariant():
     d = next(iter(extend_stage(c.points, seeds(c)[1], c.stages[0])))
     hashes = {canonical.bucket_hash(relabel(d, c.points, move), c.points) for move in c.stage_group(0)}
     assert len(hashes) == 1
+
+
+def test_record_files_are_written_by_tasks(spark, tmp_path):
+    classes = census.classes(spark, 2, 4)
+    target = tmp_path / "out" / "crossings-1"
+    written = files.write_record_files(files.compact_records(classes, 2, 4, 1).repartition(3), str(target), 7)
+    again = files.write_record_files(files.compact_records(classes, 2, 4, 1).repartition(3), str(target), 7)
+    assert written >= 6 and again >= 6 and not [f for f in target.iterdir() if f.name.startswith(".") and f.suffix != ".crc"]
+    back = files.read_record_files(spark, str(tmp_path / "out"))
+    assert files.classes_of_records(back, 2, 4, 1).count() == 40
+
+
+def test_flags_only_run_has_the_classes_of_a_full_one(spark, tmp_path):
+    full, short = Run(spark, str(tmp_path / "r"), 3, 3), Run(spark, str(tmp_path / "s"), 3, 3)
+    full.classes(), full.export()
+    from planarflow.operators import flags
+
+    for kind in flags.KINDS:
+        short.flags_only(kind)
+        field = F.split("flag", " ")
+        tokens = F.slice(field, 6 + 4, F.size(field))
+        lines = files.read_flags(spark, str(tmp_path / "s" / f"flags-only-{kind}")).select(F.lit(kind).alias("kind"), "flag", tokens.alias("tokens"))
+        a, b = ({tuple(r.canon) for r in flags.flag_classes(x, full.census, kind, True).collect()} for x in (flags.labeled(full.table("exported")), lines))
+        assert a == b
+
+
+def test_streamed_records_are_cut_off():
+    import io
+
+    import pytest
+
+    out = bytearray()
+    for r in (b"", b"x" * 300, b"ab"):
+        codec.put_varint(len(r), out)
+        out += r
+    assert list(codec.stream_records(io.BytesIO(out))) == [b"", b"x" * 300, b"ab"] == list(codec.split_records(bytes(out)))
+    for end in (len(out) - 1, 2):
+        with pytest.raises(ValueError):
+            list(codec.stream_records(io.BytesIO(out[:end])))
