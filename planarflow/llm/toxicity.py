@@ -26,6 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -154,9 +155,11 @@ def _features(docs: DataFrame) -> DataFrame:
             new = [i for i, n in enumerate(names) if n not in seen and not seen.add(n)]
             batch = batch.take(pa.array(new, pa.int64()))
             for a, b, doc, bucket in sliced_features(views(batch.column(3))):
-                rows = np.split(bucket.astype(np.int32), np.searchsorted(doc, np.arange(1, b - a)))
-                digests = pa.array([hashlib.sha256(r.tobytes()).hexdigest() for r in rows])
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), digests, pa.array(rows, pa.list_(pa.int32()))], names=["positive", "doc_id", "print", "digest", "buckets"])
+                bucket = bucket.astype(np.int32)
+                ends = np.searchsorted(doc, np.arange(b - a + 1)).astype(np.int32)
+                digests = pa.array([hashlib.sha256(bucket[u:v].tobytes()).hexdigest() for u, v in zip(ends, ends[1:])])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(3)), digests, pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket))], names=["positive", "doc_id", "print", "digest", "buckets"])
+        trim()
 
     found = docs.select("positive", "doc_id", "print", "text").mapInArrow(run, f"positive boolean, doc_id {kind}, print long, digest string, buckets array<int>")
     return found.dropDuplicates(["positive", "doc_id", "print"])
@@ -169,8 +172,13 @@ def _kept(rows: DataFrame, buckets: np.ndarray) -> tuple[list[bool], list[np.nda
         chosen = np.zeros(BUCKETS, bool)
         chosen[buckets] = True
         for batch in batches:
-            held = [np.array(x, np.int32) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x[chosen[x]] for x in held], pa.list_(pa.int32()))], names=["positive", "digest", "buckets"])
+            flat = batch.column(2).flatten().to_numpy()
+            good = chosen[flat]
+            ends = np.cumsum(pc.list_value_length(batch.column(2)).to_numpy())
+            ends = np.r_[0, np.cumsum(good)][np.r_[0, ends]].astype(np.int32)
+            held = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat[good], pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), held], names=["positive", "digest", "buckets"])
+        trim()
 
     got = rows.select("positive", "digest", "buckets").mapInArrow(run, "positive boolean, digest string, buckets array<int>").toArrow()
     mark, name, cells = (got[c].to_pylist() for c in got.column_names)
