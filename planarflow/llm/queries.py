@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, chat, html_text, jaccard, mixing, near_vectors, pieces, sharding, token_files, toxicity
+from . import audio, centroids, chat, exact_dedup, html_text, jaccard, mixing, near_vectors, pieces, sharding, token_files, toxicity
 from .common import table
 
 
@@ -57,9 +57,17 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.media_columns(table(spark, sf_dir, "documents"))
 
 
+def op11_yinyang(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_digests(table(spark, sf_dir, "embeddings"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_kd_shards, op2_mix_sources, op3_near_vectors, op4_sentencepiece, op5_chat_format, op6_jaccard_join, op7_html_text, op8_toxicity, op9_token_files, op10_media)
+    for f in (op1_kd_shards, op2_mix_sources, op3_near_vectors, op4_sentencepiece, op5_chat_format, op6_jaccard_join, op7_html_text, op8_toxicity, op9_token_files, op10_media, op11_yinyang, op12_exact_dedup)
 }
 
 _ESCAPED = r"replace(replace(replace(coalesce(text, ''), '\', '\b'), '<', '\l'), '#', '\h')"
@@ -69,7 +77,33 @@ _REACH = """
 reach(a, b) AS (SELECT id, id FROM node UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
 least AS (SELECT a AS id, min(b) AS component_id FROM reach GROUP BY a)"""
 
+
+def _lloyd(rounds: int) -> str:
+    """Plain rounds of assignment to the nearest centroid and exact means."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""
+a{i} AS MATERIALIZED (SELECT r, min({{'d': list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c), 'k': k}}) AS m FROM vec, c{i} GROUP BY r),
+s{i} AS (SELECT m.k AS k, p.range AS p, floor(sum(v[p.range]) / count(*)) AS x FROM a{i} JOIN vec USING (r), range(1, 65) p GROUP BY ALL),
+c{i + 1} AS MATERIALIZED (SELECT o.k, coalesce(n.c, o.c) AS c FROM c{i} o LEFT JOIN (SELECT k, list(x ORDER BY p) AS c FROM s{i} GROUP BY k) n USING (k))""")
+    return ",".join(steps)
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_yinyang": f"""
+WITH vec AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256(concat('2:', vec_id)), v) - 1 AS k, v AS c FROM vec ORDER BY k LIMIT 40), {_lloyd(5)}
+SELECT vec_id, CAST(m.k AS INTEGER) AS cluster, CAST(m.d AS BIGINT) AS distance, CAST(sum(m.d) OVER (PARTITION BY m.k) AS BIGINT) AS cluster_inertia, CAST(sum(m.d) OVER () AS BIGINT) AS inertia,
+  sha256(array_to_string(list_transform(c, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+FROM a5 JOIN vec USING (r) JOIN c5 ON m.k = c5.k
+""",
+    "op12_exact_dedup": r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS chars, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS bare FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY bare) AS group_size, row_number() OVER w = 1 AS kept, sha256(bare) AS text_sha256
+FROM t WINDOW w AS (PARTITION BY bare ORDER BY chars DESC, doc_id NULLS LAST)
+""",
     "op3_near_vectors": f"""
 WITH RECURSIVE sound AS (
   SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
