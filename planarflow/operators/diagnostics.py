@@ -136,3 +136,16 @@ def throughput_mb(spans: DataFrame, size: str, begin: str, end: str, *keys: str)
 def expired(leases: DataFrame, now: float) -> DataFrame:
     """Leased work whose time has passed."""
     return leases.where((F.col("status") == "leased") & (F.col("lease_until") < F.lit(now)))
+
+
+def silences(events: DataFrame, keys: Sequence[str], at: str, lease: float) -> DataFrame:
+    """Per keys: how often more than lease seconds lie between two events that follow each other.
+
+    Gaps are counted within hours, and between hours from each one's first and last event, so that a key of very many events is
+    sorted in parts; a key has at most one row per hour in the second step."""
+    x = events.select(*keys, F.date_trunc("hour", at).alias("_hour"), F.col(at).alias("_at"))
+    late = lambda a, b: ((F.unix_micros(F.col(b).cast("timestamp")) - F.unix_micros(F.col(a).cast("timestamp"))) > F.lit(int(lease * 1e6)))
+    inside = Window.partitionBy(*keys, "_hour").orderBy("_at")
+    hours = x.withColumn("_before", F.lag("_at").over(inside)).groupBy(*keys, "_hour").agg(F.count_if(late("_before", "_at")).alias("_n"), F.min("_at").alias("_first"), F.max("_at").alias("_last"))
+    across = Window.partitionBy(*keys).orderBy("_hour")
+    return hours.withColumn("_before", F.lag("_last").over(across)).groupBy(*keys).agg((F.sum("_n") + F.count_if(late("_before", "_first"))).alias("silences"))

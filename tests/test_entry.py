@@ -3,7 +3,10 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from planarflow.queries import ORACLE_SQL, QUERIES
+from planarflow import queries, table_queries
+
+QUERIES = queries.QUERIES | table_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | table_queries.ORACLE_SQL
 
 DATA = os.environ.get("TESTDATA", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
