@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planarflow.operators import ordered, stored
+from planarflow.operators import digests, graphs, ordered, stored, ties
 from planarflow.sources.folders import new_folder
+from planarflow.sources.record_source import RecordSource
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,3 +122,92 @@ def size_bounded_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = ordered.deal_by_bytes(ordered.numbered(spark.read.schema("text string, n long, _at long").parquet(path)), size, SHARD)
     whole = dealt.groupBy("shard").agg((F.sum(size) <= SHARD).alias("_fits"))
     return dealt.join(whole, "shard").select(F.sha2("text", 256).alias("text_sha256"), "row", "shard", "offset", (F.col("_fits") | (F.col("shard") < 0)).alias("fits"))
+
+
+# --- digests, ties, graphs ---------------------------------------------------------------------------
+
+
+def _by_digest(digits: int) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Distinct texts by a digest of so many hex digits, with proof that those of one digest are equal."""
+        found = digests.distinct_by_digest(table(spark, sf_dir, "documents"), "text", digests.short_digest("text", digits))
+        return found.select("digest", F.sha2("payload", 256).alias("text_sha256"), "n", "collided")
+
+    return run
+
+
+for _digits in (2, 5, 16):
+    QUERIES[f"digest_distinct_{4 * _digits}"] = _by_digest(_digits)
+    ORACLE_SQL[f"digest_distinct_{4 * _digits}"] = f"SELECT substr(sha256(text), 1, {_digits}) AS digest, sha256(text) AS text_sha256, count(*) AS n, count(*) OVER (PARTITION BY substr(sha256(text), 1, {_digits})) > 1 AS collided FROM documents GROUP BY text"
+
+
+@query("""WITH o AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1), c AS (SELECT *, coalesce(n, 0) AS m FROM customer LEFT JOIN o ON c_custkey = o_custkey)
+SELECT c_nationkey, c_custkey, m AS n FROM (SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY c_mktsegment, m DESC, floor(c_acctbal / 2500) DESC) AS k FROM c) WHERE k = 1""")
+def best_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each nation's best customers, with ties: the first segment, of it most orders, of these the highest step of balance."""
+    orders = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"))
+    x = table(spark, sf_dir, "customer").join(orders, "c_custkey", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    tiers = [(F.col("c_mktsegment"), "min"), (F.col("n"), "max"), (F.floor(F.col("c_acctbal") / 2500), "max")]
+    return ties.best_rows(x, ["c_nationkey"], tiers).select("c_nationkey", "c_custkey", "n")
+
+
+#: Rounds that the SQL is unrolled to: more than any distance in this graph.
+STEPS = 7
+_PURCHASE = "SELECT DISTINCT 2 * o_custkey AS c, 2 * l_partkey + 1 AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey"
+_LABELS = ",".join(f"\nl{i + 1} AS MATERIALIZED (SELECT id, min(x) AS x FROM (SELECT * FROM l{i} UNION ALL SELECT e.u, x FROM e JOIN l{i} ON e.v = id) GROUP BY id)" for i in range(STEPS))
+_DEPTHS = ",".join(f"\nd{i + 1} AS MATERIALIZED (SELECT id, min(depth) AS depth FROM (SELECT * FROM d{i} UNION ALL SELECT e.v, depth + 1 FROM e JOIN d{i} ON e.u = id) GROUP BY id)" for i in range(STEPS))
+
+
+@query(f"""WITH g AS ({_PURCHASE}), e AS MATERIALIZED (SELECT c AS u, p AS v FROM g UNION ALL SELECT p, c FROM g), l0 AS (SELECT DISTINCT u AS id, u AS x FROM e), {_LABELS},
+d0 AS (SELECT min(u) AS id, 0 AS depth FROM e), {_DEPTHS}
+SELECT l{STEPS}.id AS vertex, x AS component, d.depth, (SELECT min(b.id) FROM e JOIN d{STEPS} b ON e.u = b.id WHERE e.v = d.id AND b.depth = d.depth - 1) AS parent FROM l{STEPS} LEFT JOIN d{STEPS} d USING (id)""")
+def graph_frontiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and parts that purchases connect: components, and the order in which they are reached from the first customer."""
+    sold = table(spark, sf_dir, "lineitem").select("l_orderkey", (2 * F.col("l_partkey") + 1).alias("v"))
+    edges = sold.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (2 * F.col("o_custkey")).alias("u")), "l_orderkey").select("u", "v").distinct()
+    found = graphs.components(edges)
+    return found.join(graphs.distances(edges, found.agg(F.min("vertex").alias("vertex"))), "vertex", "left").select("vertex", "component", "depth", "parent")
+
+
+@query("""WITH e AS MATERIALIZED (SELECT DISTINCT 2 * l_suppkey AS s, 2 * l_partkey + 1 AS p FROM lineitem), w AS (SELECT a.s AS x, b.s AS y, a.p FROM e a JOIN e b ON a.p = b.p AND a.s < b.s),
+c AS (SELECT x, y, count(*) AS n FROM w GROUP BY ALL HAVING n > 1), v AS (SELECT p.p AS x, q.p AS y, count(*) AS n FROM e p JOIN e q ON p.s = q.s AND p.p < q.p GROUP BY ALL HAVING n > 1),
+f AS (SELECT x, y FROM (SELECT x, y FROM c UNION ALL SELECT x, y FROM v) ORDER BY x, y LIMIT 1),
+m AS (SELECT list_sort(list_intersect(i.near, j.near)) AS met FROM f JOIN (SELECT u, list(v) AS near FROM (SELECT s AS u, p AS v FROM e UNION ALL SELECT p, s FROM e) GROUP BY u) i ON i.u = x
+JOIN (SELECT u, list(v) AS near FROM (SELECT s AS u, p AS v FROM e UNION ALL SELECT p, s FROM e) GROUP BY u) j ON j.u = y)
+SELECT (SELECT CAST(sum(n * (n - 1) // 2) AS BIGINT) FROM c) AS cycles, x, y, met[1] AS a, met[2] AS b FROM f, m""")
+def graph_four_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """4-cycles of suppliers and parts that were sold together, and the first of them."""
+    return graphs.four_cycles(table(spark, sf_dir, "lineitem").select((2 * F.col("l_suppkey")).alias("u"), (2 * F.col("l_partkey") + 1).alias("v")))
+
+
+# --- record files ------------------------------------------------------------------------------------
+
+
+def _records(spark: SparkSession):
+    spark.dataSource.register(RecordSource)
+    return spark.read.format("records")
+
+
+@query("SELECT coalesce(lang, 'none') AS lang, sha256(text) AS text_sha256, count(*) AS n FROM documents GROUP BY ALL")
+def record_files_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written as gzip record files in a folder of each language, and read from them."""
+    reader, path = _records(spark), new_folder(spark, "records")
+    rows = table(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("record"), F.coalesce("lang", F.lit("none")).alias("lang"))
+    rows.sortWithinPartitions("lang").write.format("records").option("key", "lang").mode("append").save(path)
+    return reader.option("key", "lang").load(path).groupBy("lang", F.sha2("record", 256).alias("text_sha256")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders")
+def record_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON records, a commit for each status; a stream reads the first commits, then a restarted one the others."""
+    _records(spark)
+    home = new_folder(spark, "record-stream")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    schema = "o_orderkey long, o_custkey long, o_orderstatus string"
+    for statuses in (["F"], ["O"]), (["P", None],):
+        for held in statuses:
+            mine = F.col("o_orderstatus").isin([s for s in held if s]) | (F.col("o_orderstatus").isNull() if None in held else F.lit(False))
+            orders.where(mine).select(F.to_json(F.struct("*")).cast("binary").alias("record")).write.format("records").mode("append").save(f"{home}/in")
+        stream = spark.readStream.format("records").load(f"{home}/in").select(F.from_json(F.col("record").cast("string"), schema).alias("o")).select("o.*")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{home}/marks").trigger(availableNow=True).start(f"{home}/out").awaitTermination()
+    return spark.read.schema(schema).parquet(f"{home}/out")
