@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from planarflow.functions import canonical
 from planarflow.functions.drawing import Drawing, extend_stage, seeds, stage_crossings
 from planarflow.plans.graph import Census
+from planarflow.sources.folders import written
 
 #: Distinct forms that a task holds before it passes them on.
 FLUSH = 20_000
@@ -95,8 +96,8 @@ def _done(spark: SparkSession, path: str) -> bool:
 def classes(spark: SparkSession, m: int, n: int, root: str | None = None, tasks: int | None = None, stages: int | None = None) -> DataFrame:
     """Classes of K(m,n) after all stages or the first few.
 
-    Stages that a table under root exists for are not run again; tables are partitioned by crossing count. Without root, for
-    small graphs, intermediate classes are persisted."""
+    Stages that a table under root exists for are not run again; tables are partitioned by crossing count. Without root, intermediate
+    classes are tables in the shared folder that go when the process ends."""
     frontier = seed_classes(spark, m, n)
     tasks = tasks or max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     last = len(census_of(m, n).stages) if stages is None else stages
@@ -112,7 +113,7 @@ def classes(spark: SparkSession, m: int, n: int, root: str | None = None, tasks:
             found.hint("rebalance", "crossings").write.mode("overwrite").partitionBy("crossings").parquet(path)
             frontier = spark.read.schema(CLASS).parquet(path)
         else:
-            frontier = found.persist() if stage + 1 < last else found
+            frontier = written(found, "classes") if stage + 1 < last else found
     return frontier
 
 

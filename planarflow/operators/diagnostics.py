@@ -41,14 +41,12 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def latest(df: DataFrame, key: str, order: str, *ties: str) -> DataFrame:
     """The last row of each key: what an upsert leaves."""
-    by = Window.partitionBy(key).orderBy(F.col(order).desc(), *(F.col(t).desc() for t in ties))
-    return df.withColumn("_place", F.row_number().over(by)).where("_place = 1").drop("_place")
+    return df.groupBy(key).agg(F.max_by(F.struct(*df.columns), F.struct(order, *ties)).alias("_row")).select("_row.*")
 
 
 def first_wins(df: DataFrame, key: str, order: str, *ties: str) -> DataFrame:
     """The first row of each key: what inserting without replacing leaves."""
-    by = Window.partitionBy(key).orderBy(F.col(order), *ties)
-    return df.withColumn("_place", F.row_number().over(by)).where("_place = 1").drop("_place")
+    return df.groupBy(key).agg(F.min_by(F.struct(*df.columns), F.struct(order, *ties)).alias("_row")).select("_row.*")
 
 
 def least_payload(df: DataFrame, keys: Sequence[str], payload: str) -> DataFrame:
@@ -115,10 +113,10 @@ def stage_rates(events: DataFrame) -> DataFrame:
     return x.withColumn("seen_per_second", ratio(F.col("seen"), F.col("span_seconds"))).withColumn("submitted_share", ratio(F.col("submitted"), F.col("seen")))
 
 
-def active_workers(events: DataFrame, worker: Column, now: float, within: float = 120.0) -> DataFrame:
-    """Workers with a sign of life within so many seconds of now, and their last one."""
-    x = events.withColumn("worker", worker).where(F.col("worker").isNotNull())
-    return x.groupBy("worker").agg(F.max("timestamp").alias("last_seen")).where(F.col("last_seen") >= now - within)
+def active_workers(events: DataFrame, worker: Column, now: DataFrame, within: float = 120.0) -> DataFrame:
+    """Workers with a sign of life within so many seconds of now, one row with that column, and their last one."""
+    x = events.withColumn("worker", worker).where(F.col("worker").isNotNull()).groupBy("worker").agg(F.max("timestamp").alias("last_seen"))
+    return x.join(F.broadcast(now), F.col("last_seen") >= F.col("now") - within).select("worker", "last_seen")
 
 
 def requeued(leases: DataFrame, now: float) -> DataFrame:

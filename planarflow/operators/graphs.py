@@ -6,6 +6,8 @@ repeat write a table in the shared folder after each round, which ends the linea
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,33 +17,33 @@ from planarflow.sources.folders import written
 HUB = 10_000
 
 
-def undirected(edges: DataFrame) -> DataFrame:
+def undirected(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     """Each edge once, the larger end as u."""
-    x = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    x = edges.select(*within, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     return x.where("u <> v").distinct()
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+def both_ways(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    return edges.select(*within, "u", "v").unionByName(edges.select(*within, F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """vertex and component, its least vertex that edges lead to; for vertices with an edge.
+def components(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+    """vertex and component, its least vertex that edges lead to; for vertices with an edge. With further columns, those of many graphs at once.
 
     Each round every vertex takes the least label among its own and its neighbours', then the label of its label, which halves the
     way that is left; it ends when no label changes. Labels meet by minima that combine before the shuffle, so a hub's neighbours
     are gathered nowhere."""
-    edges = written(both_ways(undirected(edges)), "edges")
-    labels = written(edges.select(F.col("u").alias("vertex")).distinct().withColumn("component", F.col("vertex")), "labels")
+    within = list(within)
+    edges = written(both_ways(undirected(edges, within), within), "edges")
+    labels = written(edges.select(*within, F.col("u").alias("vertex")).distinct().withColumn("component", F.col("vertex")), "labels")
     while True:
-        seen = edges.join(labels, edges["v"] == labels["vertex"]).select(F.col("u").alias("vertex"), "component")
-        near = seen.unionByName(labels).groupBy("vertex").agg(F.min("component").alias("near"))
-        near = written(near, "near")
-        jump = near.select(F.col("vertex").alias("near"), F.col("near").alias("far"))
-        new = near.join(jump, "near", "left").select("vertex", F.least("near", "far").alias("component"))
-        new = written(new.join(labels.withColumnRenamed("component", "_old"), "vertex"), "labels")
+        seen = edges.withColumnRenamed("v", "vertex").join(labels, [*within, "vertex"]).select(*within, F.col("u").alias("vertex"), "component")
+        near = written(seen.unionByName(labels).groupBy(*within, "vertex").agg(F.min("component").alias("near")), "near")
+        jump = near.select(*within, F.col("vertex").alias("near"), F.col("near").alias("far"))
+        new = near.join(jump, [*within, "near"], "left").select(*within, "vertex", F.least("near", "far").alias("component"))
+        new = written(new.join(labels.withColumnRenamed("component", "_old"), [*within, "vertex"]), "labels")
         changed = not new.where("component <> _old").isEmpty()
-        labels = new.select("vertex", "component")
+        labels = new.select(*within, "vertex", "component")
         if not changed:
             return labels
 

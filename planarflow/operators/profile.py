@@ -6,7 +6,8 @@ import time
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from planarflow.functions import canonical
@@ -46,3 +47,37 @@ def profile_stage(frontier: DataFrame, m: int, n: int, stage: int) -> DataFrame:
 def step_totals(profile: DataFrame) -> DataFrame:
     """Sums and maxima over parents by step."""
     return profile.groupBy("step").agg(*(F.sum(c).alias(c) for c in _NAMES[1:]), F.max("drawings").alias("most_drawings"), F.max("seconds").alias("longest"))
+
+
+class Measures:
+    """Sums and extremes that the steps of a plan take while its result is written, without a pass of their own.
+
+        steps = Measures()
+        rows = steps.at(rows, "read", rows_read=F.count("*"))
+        rows.where(...).write.parquet(path)
+        steps.found()
+
+    One action runs the plan; a step that the plan drops, as Spark does with what has no rows, measured nothing and gives nulls."""
+
+    def __init__(self) -> None:
+        self._steps: list[tuple[str, tuple[str, ...]]] = []
+        self._seen: dict[str, Observation] = {}
+
+    def at(self, df: DataFrame, step: str, **measures: Column) -> DataFrame:
+        """df, measured where it stands."""
+        if any(step == name for name, _ in self._steps):
+            raise ValueError(f"step {step} is measured already")
+        self._steps.append((step, tuple(measures)))
+        self._seen[step] = Observation(step)
+        return df.observe(self._seen[step], *(c.alias(k) for k, c in measures.items()))
+
+    def found(self) -> dict[str, object]:
+        """All measures by name; waits for the action, which must have been started."""
+        out: dict[str, object] = {}
+        for step, names in self._steps:
+            try:
+                held = self._seen[step].get
+            except Py4JJavaError:  # no such step was run
+                held = {}
+            out |= {n: held.get(n) for n in names}
+        return out

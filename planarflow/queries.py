@@ -6,7 +6,6 @@ stat_* and text_* apply the diagnostics' and the flags' relational operators to
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -14,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planarflow.functions import canonical
+from planarflow.functions import canonical, formats
 from planarflow.functions.drawing import Extender, check, relabel, seeds
 from planarflow.operators import census, diagnostics, flags, profile
 from planarflow.plans import graph
@@ -316,15 +315,12 @@ def _mapped(df: DataFrame, schema: str, make: Callable[..., tuple]) -> DataFrame
 @query("""SELECT o_orderkey, o_orderkey AS back, CASE WHEN o_orderkey < 128 THEN printf('%02x', o_orderkey) WHEN o_orderkey < 16384 THEN printf('%02x%02x', o_orderkey % 128 + 128, o_orderkey // 128)
 ELSE printf('%02x%02x%02x', o_orderkey % 128 + 128, o_orderkey // 128 % 128 + 128, o_orderkey // 16384) END AS varint FROM orders""")
 def codec_varints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make(key: int) -> tuple:
-        out = bytearray()
-        codec.put_varint(key, out)
-        return key, out.hex(), codec.get_varint(bytes(out), 0)[0]
+    key = F.col("o_orderkey")
+    packed = table(spark, sf_dir, "orders").select(key, formats.varint(key).alias("v"))
+    return packed.select(key, F.lower(F.hex("v")).alias("varint"), formats.unvarint(F.col("v")).alias("back"))
 
-    return _mapped(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey long, varint string, back long", make)
 
-
-@query("SELECT sha256(text) AS record_sha256, count(*) AS n FROM documents GROUP BY 1")
+@query("SELECT sha256(text) AS record_sha256, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1")
 def codec_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts packed into gzip record files and read from them."""
     packed = files.pack_record_files(table(spark, sf_dir, "documents").select(F.col("text").cast("binary").alias("record")), 100)
@@ -335,25 +331,24 @@ def codec_record_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT c_custkey, sha256(c_name) AS report_hash, sha256(c_mktsegment) AS work_hash, c_name AS payload, sha256(c_name) AS bucket, c_mktsegment AS invariant, c_name AS flag, 'fallback' AS bare_bucket, '' AS bare_invariant FROM customer")
 def codec_shard_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reduced, raw and flag records, written and read; a raw record and a flag without their headers."""
-
-    def make(key: int, name: str, segment: str) -> tuple:
-        reduced = codec.Reduced.decode(codec.Reduced(codec.digest(name.encode()), codec.digest(segment.encode()), name.encode()).encode())
-        raw = codec.Raw.decode(codec.Raw(codec.digest(name.encode()), name.encode()).encode())
-        flag = codec.Flagged.decode(codec.Flagged(codec.digest(name.encode()), segment, name).encode())
-        bare, plain = codec.Raw.decode(name.encode(), "fallback"), codec.Flagged.decode(name.encode())
-        return key, reduced.report_hash, reduced.work_hash, reduced.payload.decode(), raw.bucket_hash, flag.invariant, flag.flag, bare.bucket_hash, plain.invariant
-
-    schema = "c_custkey long, report_hash string, work_hash string, payload string, bucket string, invariant string, flag string, bare_bucket string, bare_invariant string"
-    return _mapped(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), schema, make)
+    name, segment = F.col("c_name"), F.col("c_mktsegment")
+    payload, hashes = F.encode(name, "utf-8"), (F.sha2(name, 256), F.sha2(segment, 256))
+    x = table(spark, sf_dir, "customer").select(
+        "c_custkey",
+        formats.reduced_parts(formats.reduced(*hashes, payload)).alias("r"),
+        formats.raw_parts(formats.raw(hashes[0], payload), F.lit("none")).alias("w"),
+        formats.flagged_parts(formats.flagged(hashes[0], segment, name)).alias("f"),
+        formats.raw_parts(payload, F.lit("fallback")).alias("bare"),
+        formats.flagged_parts(payload).alias("plain"),
+    )
+    return x.select("c_custkey", "r.report_hash", "r.work_hash", F.decode("r.payload", "utf-8").alias("payload"), F.col("w.bucket_hash").alias("bucket"), "f.invariant", "f.flag", F.col("bare.bucket_hash").alias("bare_bucket"), F.col("plain.invariant").alias("bare_invariant"))
 
 
 @query("SELECT doc_id, sha256(text) AS digest, base64(encode(text)) AS blob FROM documents")
 def codec_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def make(key: int, text: str) -> tuple:
-        back = codec.inflate(codec.deflate(text.encode()))
-        return key, codec.digest(back), codec.blob_text(back)
-
-    return _mapped(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id long, digest string, blob string", make)
+    """Texts deflated and inflated, then digested."""
+    back = _mapped(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id long, back binary", lambda key, text: (key, None if text is None else codec.inflate(codec.deflate(text.encode()))))
+    return back.select("doc_id", F.sha2("back", 256).alias("digest"), F.translate(F.base64("back"), "\r\n", "").alias("blob"))
 
 
 def _round_trips(m: int, n: int):
@@ -538,7 +533,7 @@ def run_step_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT concat('w', user_id % 6) AS worker, round(max(epoch(ts)), 3) AS last_seen FROM events GROUP BY user_id % 6 HAVING max(epoch(ts)) >= (SELECT max(epoch(ts)) FROM events) - 3600")
 def run_active_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _run_events(table(spark, sf_dir, "events"))
-    now = x.agg(F.max("timestamp")).first()[0]
+    now = x.agg(F.max("timestamp").alias("now"))
     return diagnostics.active_workers(x, F.get_json_object("payload_json", "$.worker_id"), now, 3600.0).withColumn("last_seen", F.round("last_seen", 3))
 
 
@@ -582,7 +577,7 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _drained(spark: SparkSession, df: DataFrame, mode: str = "complete") -> DataFrame:
-    return streams.drain(df, f"drained_{uuid.uuid4().hex}", mode)
+    return streams.drain(df, mode)
 
 
 @query("SELECT event_type, CAST(user_id % 4 AS INTEGER) AS stage_index, count(*) AS tasks, CAST(sum(event_id % 100) AS BIGINT) AS seen, CAST(sum(event_id % 7) AS BIGINT) AS submitted FROM events GROUP BY event_type, user_id % 4")

@@ -48,13 +48,13 @@ def crossing_count_of(path):
 
 
 def pack_record_files(records: DataFrame, per_file: int = 5_000) -> DataFrame:
-    """name and content of gzip record files that hold the column record, per_file at most in each."""
+    """name and content of gzip record files that hold the column record, per_file at most in each; nulls are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, per_file):
                 held = bytearray()
-                rows = batch.column(0).slice(at, per_file).to_pylist()
+                rows = [r for r in batch.column(0).slice(at, per_file).to_pylist() if r is not None]
                 for r in rows:
                     codec.put_varint(len(r), held)
                     held += r

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from planarflow.operators.diagnostics import EVENT, PAYLOAD
+from planarflow.sources.folders import exists, new_folder
 
 #: Seconds after which work that shows no sign of life is given to others; longest delay of an event.
 LEASE, LATE = 300, "10 minutes"
@@ -41,8 +42,17 @@ def distinct_flags(rows: DataFrame) -> DataFrame:
     return rows.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["flag"])
 
 
-def drain(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over what is there now and return its result as a table."""
-    query: StreamingQuery = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
+    """Run a stream over what is there now and return its result, a table in the shared folder.
+
+    In the mode append the rows are written as they come; in complete each batch's result replaces the one before."""
+    spark, home = df.sparkSession, new_folder(df.sparkSession, "stream")
+    out = df.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/marks").trigger(availableNow=True)
+    if mode == "append":
+        query: StreamingQuery = out.format("parquet").start(f"{home}/out")
+    else:
+        query = out.foreachBatch(lambda rows, number: rows.write.mode("overwrite").parquet(f"{home}/out")).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    if not exists(spark, f"{home}/out"):  # a stream without batches
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(f"{home}/out")

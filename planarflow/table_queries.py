@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planarflow.operators import digests, graphs, ordered, stored, ties
+from planarflow.operators import digests, graphs, labelling, ordered, profile, stored, ties
+from planarflow.sources import shards
+from planarflow.sources.chunk_source import ChunkSource, file_facts
 from planarflow.sources.folders import new_folder
 from planarflow.sources.record_source import RecordSource
+from planarflow.streaming import heartbeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -211,3 +214,97 @@ def record_files_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         stream = spark.readStream.format("records").load(f"{home}/in").select(F.from_json(F.col("record").cast("string"), schema).alias("o")).select("o.*")
         stream.writeStream.format("parquet").option("checkpointLocation", f"{home}/marks").trigger(availableNow=True).start(f"{home}/out").awaitTermination()
     return spark.read.schema(schema).parquet(f"{home}/out")
+
+
+# --- shapes of small graphs, signs of life, measures taken on the way --------------------------------
+
+
+def purchase_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers whose orders share parts in the same way: isomorphism classes of their graphs of orders and parts, with their sizes."""
+    sold = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
+    edges = sold.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    edges = edges.select(F.col("o_custkey").alias("graph"), (2 * F.col("l_orderkey")).alias("u"), (2 * F.col("l_partkey") + 1).alias("v"))
+    ends = edges.select("graph", F.explode(F.array(F.struct(F.col("u").alias("vertex"), F.lit("order").alias("colour")), F.struct(F.col("v").alias("vertex"), F.lit("part").alias("colour")))).alias("e")).select("graph", "e.*").distinct()
+    found = labelling.graph_forms(ends, edges)
+    return found.groupBy(F.sha2("form", 256).alias("shape")).agg(F.count("*").alias("customers"), F.min("graph").alias("first_customer"))
+
+
+QUERIES["purchase_shapes"] = purchase_shapes  # no SQL: graph isomorphism; the tests hold it to brute force
+
+#: Seconds without an event after which a user has fallen silent: longer than most of their gaps.
+SILENT = 7_200
+
+
+@query(f"""WITH e AS (SELECT user_id, epoch_us(ts) AS t, ts FROM events), g AS (SELECT *, coalesce(t - lag(t) OVER (PARTITION BY user_id ORDER BY t) > {SILENT}000000, true) AS starts FROM e),
+s AS (SELECT *, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY user_id ORDER BY t) AS k FROM g)
+SELECT user_id AS worker, CAST(min(t) AS BIGINT) AS began, CAST(max(t) AS BIGINT) AS ended, count(*) AS beats FROM s GROUP BY user_id, k
+HAVING max(t) + {SILENT}000000 < (SELECT max(t) // 1000 - 600000 FROM e) * 1000""")
+def stream_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stretches of life of each user that are over by the end of the stream, from state with timers."""
+    key, home = "spark.sql.streaming.stateStore.providerClass", new_folder(spark, "stretches")
+    before = spark.conf.get(key)
+    spark.conf.set(key, heartbeats.STORE)
+    try:
+        schema = table(spark, sf_dir, "events").schema
+        events = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").select(F.col("user_id").alias("worker"), F.col("ts").cast("timestamp").alias("ts"))
+        heartbeats.stretches(events, SILENT).writeStream.format("parquet").option("checkpointLocation", f"{home}/marks").trigger(availableNow=True).start(f"{home}/out").awaitTermination()
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(heartbeats.STRETCH).parquet(f"{home}/out").select("worker", F.unix_micros("began").alias("began"), F.unix_micros("ended").alias("ended"), "beats")
+
+
+@query("""WITH x AS (SELECT l_suppkey, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1)
+SELECT l_suppkey, n, quantity, (SELECT count(*) FROM lineitem) AS rows_read, (SELECT count(*) FROM lineitem WHERE l_returnflag IS NULL) AS null_flags, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS rows_kept,
+(SELECT count(*) FROM x) AS groups, (SELECT max(n) FROM x) AS largest FROM x""")
+def measured_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An aggregate that is written once, with what its steps measured on the way."""
+    path = new_folder(spark, "measured")
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_quantity", "l_returnflag")
+    steps = profile.Measures()
+    rows = steps.at(rows, "read", rows_read=F.count("*"), null_flags=F.count_if(F.col("l_returnflag").isNull()))
+    kept = steps.at(rows.where("l_returnflag = 'R'"), "kept", rows_kept=F.count("*"))
+    out = kept.groupBy("l_suppkey").agg(F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("quantity"))
+    steps.at(out, "grouped", groups=F.count("*"), largest=F.max("n")).write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path).select("*", *(F.lit(v).cast("long").alias(k) for k, v in steps.found().items()))
+
+
+# --- shards and whole files --------------------------------------------------------------------------
+
+
+def _shards(kind: str, columns: dict[str, str]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Customers as records of one kind in shards by bucket, scanned again."""
+        path = new_folder(spark, f"shards-{kind}")
+        rows = table(spark, sf_dir, "customer").select(*(F.expr(e).alias(c) for c, e in columns.items()))
+        shards.write_shards(rows, path, kind)
+        found = shards.scan_shards(spark, path, kind).drop("file")
+        return found.withColumn("payload", F.decode("payload", "utf-8")) if "payload" in columns else found
+
+    return run
+
+
+for _kind, _columns in (
+    ("raw", {"bucket_hash": "sha2(c_mktsegment, 256)", "payload": "encode(c_name, 'utf-8')"}),
+    ("reduced", {"report_hash": "sha2(c_name, 256)", "work_hash": "sha2(c_mktsegment, 256)", "payload": "encode(c_name, 'utf-8')"}),
+    ("flag", {"flag_hash": "sha2(c_name, 256)", "invariant": "c_mktsegment", "flag": "c_name"}),
+):
+    QUERIES[f"shard_scan_{_kind}"] = _shards(_kind, _columns)
+    _sql = {c: e.replace("sha2(", "sha256(").replace(", 256)", ")").replace("encode(c_name, 'utf-8')", "c_name") for c, e in _columns.items()}
+    ORACLE_SQL[f"shard_scan_{_kind}"] = f"SELECT substr({next(iter(_sql.values()))}, 1, 2) AS prefix, {', '.join(f'{e} AS {c}' for c, e in _sql.items())} FROM customer"
+
+#: Bytes of a chunk of the files that file_digests reads.
+CHUNK = 4_096
+
+
+@query(f"""WITH f AS (SELECT event_type, string_agg(event_id || ',' || user_id || chr(10), '' ORDER BY event_id) AS body FROM events GROUP BY 1),
+c AS (SELECT event_type, body, list_transform(range(0, (length(body) + {CHUNK - 1}) // {CHUNK}), lambda i: sha256(substr(body, CAST(i * {CHUNK} + 1 AS BIGINT), {CHUNK}))) AS parts FROM f)
+SELECT event_type, length(body) AS size, length(body) - length(replace(body, chr(10), '')) AS lines, CAST(len(parts) AS BIGINT) AS chunks, sha256(array_to_string(parts, '')) AS sha256 FROM c""")
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text file of each event type, digested in chunks, with its lines counted."""
+    spark.dataSource.register(ChunkSource)
+    path = new_folder(spark, "digested")
+    rows = table(spark, sf_dir, "events").select("event_type", "event_id", F.concat_ws(",", "event_id", "user_id").alias("value"))
+    # One file per type, by its nature; the digest below has no need of that.
+    rows.repartition("event_type").sortWithinPartitions("event_type", "event_id").select("event_type", "value").write.partitionBy("event_type").text(path)
+    facts = file_facts(spark.read.format("chunks").option("chunkBytes", CHUNK).load(path))
+    return facts.select(F.regexp_extract("file", "event_type=([^/]*)/", 1).alias("event_type"), "size", "lines", "chunks", "sha256")

@@ -45,9 +45,9 @@ def test_ratio_and_leases(spark):
 def test_streams(spark, tmp_path):
     (tmp_path / "e.json").write_text("".join(json.dumps({"timestamp": t, "event_type": e, "payload_json": p}) + "\n" for t, e, p in ROWS))
     events = stream.read_events(spark, str(tmp_path))
-    (r,) = stream.drain(stream.stage_progress(events), "progress").collect()
+    (r,) = stream.drain(stream.stage_progress(events)).collect()
     assert (r.tasks, r.seen, r.submitted) == (2, 22, 15)
-    assert {x.event_type: x.n for x in stream.drain(stream.throughput(stream.read_events(spark, str(tmp_path))), "throughput").collect()} == {"job_result": 2, "note": 2}
-    assert stream.drain(stream.sessions(stream.read_events(spark, str(tmp_path))), "sessions").count() == 2
+    assert {x.event_type: x.n for x in stream.drain(stream.throughput(stream.read_events(spark, str(tmp_path)))).collect()} == {"job_result": 2, "note": 2}
+    assert stream.drain(stream.sessions(stream.read_events(spark, str(tmp_path)))).count() == 2
     flags = stream.read_events(spark, str(tmp_path)).withColumn("flag", F.col("event_type"))
-    assert stream.drain(stream.distinct_flags(flags), "flags", "append").count() == 2
+    assert stream.drain(stream.distinct_flags(flags), "append").count() == 2
