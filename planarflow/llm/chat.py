@@ -3,7 +3,9 @@
 TEMPLATE names for each role whether its text is trained on, and the strings around a turn; NEXT lists for each state (the
 last role, or start) the roles that may follow. A conversation's turns run through the machine, which yields whether their
 order is valid and the first turn that is not; its text is emitted as segments with a loss flag each, and formatted is the
-segments joined. Texts and roles are escaped so that they hold no control string, and reading restores them exactly.
+segments joined. Texts and roles are escaped so that they hold no control string, and reading restores them exactly: the first
+characters of the template's strings, and the backslash that marks an escape, do not occur in an escaped text. A template whose
+strings could be taken for each other, or begin with a letter or digit, is refused.
 
 Nulls: a null text or role counts as empty, a null conv_id is a conversation of its own. Turns are ordered by turn (null
 first), ties by role and text; repeated rows are turns of their own. Conversations that break the order are formatted as
@@ -13,6 +15,7 @@ rows without a conv_id, too, form one. An empty table gives an empty table; furt
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -20,21 +23,40 @@ from pyspark.sql import functions as F
 
 TEMPLATE = {"head": "### ", "mid": ": ", "tail": "</turn>\n", "loss": ("assistant",)}
 NEXT = {"start": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user",)}
-#: Each escaped character and its letter after a backslash; the backslash itself goes first when escaping, last when reading.
-ESCAPES = (("\\", "b"), ("<", "l"), ("#", "h"), (":", "c"), ("\n", "n"))
-_ROLE, _TEXT = ESCAPES, ESCAPES[:3]
+#: Letters after a backslash that stand for escaped characters; other characters have their code there.
+LETTERS = {"\\": "b", "<": "l", "#": "h", ":": "c", "\n": "n"}
 
 
-def escape(text: Column, rules=_TEXT) -> Column:
-    return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit("\\" + r[1])), rules, text)
+def _rules(*characters: str) -> tuple[tuple[str, str], ...]:
+    """Each escaped character and what stands for it; the backslash itself goes first when escaping, last when reading."""
+    return tuple((c, "\\" + LETTERS.get(c, f"u{ord(c):x};")) for c in dict.fromkeys(("\\", *characters)))
 
 
-def unescape(text: Column, rules=_TEXT) -> Column:
-    return reduce(lambda c, r: F.replace(c, F.lit("\\" + r[1]), F.lit(r[0])), reversed(rules), text)
+def escapes(template: dict) -> tuple[tuple, tuple]:
+    """The rules for texts and for roles, from the template's strings; a template that cannot be read back raises."""
+    head, mid, tail = (template[k] for k in ("head", "mid", "tail"))
+    if not mid or not tail or any(s[0].isalnum() or s[0] in "\\;" for s in (head, mid, tail) if s):
+        raise ValueError("mid and tail must not be empty, and no string may begin with a letter, a digit, a semicolon or a backslash")
+    for s in (head, mid):
+        for i in range(len(s)):
+            # What begins inside the string and runs on into a role or a text could be the end of a turn.
+            if tail.startswith(s[i:]) or s[i:].startswith(tail):
+                raise ValueError(f"the end of a turn could begin in {s!r}")
+    first = [tail[0], *head[:1]]
+    return _rules(*first), _rules(*first, mid[0], "\n")
+
+
+def escape(text: Column, rules: tuple) -> Column:
+    return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), rules, text)
+
+
+def unescape(text: Column, rules: tuple) -> Column:
+    return reduce(lambda c, r: F.replace(c, F.lit(r[1]), F.lit(r[0])), reversed(rules), text)
 
 
 def format_chats(turns: DataFrame, template: dict = TEMPLATE, following: dict = NEXT) -> DataFrame:
     """conv_id, formatted, segments (text, loss), valid, bad_turn (0-based, null if valid)."""
+    of_text, of_role = escapes(template)
     blank = F.lit("")
     row = F.struct("turn", F.coalesce("role", blank).alias("role"), F.coalesce("text", blank).alias("text"))
     chats = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
@@ -48,8 +70,8 @@ def format_chats(turns: DataFrame, template: dict = TEMPLATE, following: dict =
 
     def emit(t: Column) -> Column:
         part = lambda text, loss: F.struct(text.alias("text"), loss.alias("loss"))
-        head = F.concat(F.lit(template["head"]), escape(t["role"], _ROLE), F.lit(template["mid"]))
-        return F.array(part(head, F.lit(False)), part(escape(t["text"]), t["role"].isin(*template["loss"])), part(F.lit(template["tail"]), F.lit(False)))
+        head = F.concat(F.lit(template["head"]), escape(t["role"], of_role), F.lit(template["mid"]))
+        return F.array(part(head, F.lit(False)), part(escape(t["text"], of_text), t["role"].isin(*template["loss"])), part(F.lit(template["tail"]), F.lit(False)))
 
     segments = F.flatten(F.transform("turns", emit))
     out = chats.select("conv_id", segments.alias("segments"), F.aggregate("turns", start, advance, lambda a: a["bad"]).alias("bad_turn"))
@@ -59,13 +81,15 @@ def format_chats(turns: DataFrame, template: dict = TEMPLATE, following: dict =
 
 def read_turns(formatted: Column, template: dict = TEMPLATE) -> Column:
     """The turns (role, text) of a formatted conversation."""
-    parts = F.split(formatted, template["tail"], -1)
-    skip = len(template["head"]) + 1
+    of_text, of_role = escapes(template)
+    parts = F.split(formatted, re.escape(template["tail"]), -1)
+    skip, mid = len(template["head"]) + 1, template["mid"]
 
     def turn(p: Column) -> Column:
-        at = F.instr(p, F.lit(template["mid"]))
-        role, text = F.substr(p, F.lit(skip), at - skip), F.substr(p, at + len(template["mid"]))
-        return F.struct(unescape(role, _ROLE).alias("role"), unescape(text).alias("text"))
+        body = F.substr(p, F.lit(skip))
+        at = F.instr(body, F.lit(mid))
+        role, text = F.substr(body, F.lit(1), at - 1), F.substr(body, at + len(mid))
+        return F.struct(unescape(role, of_role).alias("role"), unescape(text, of_text).alias("text"))
 
     return F.transform(F.slice(parts, 1, F.size(parts) - 1), turn)
 
@@ -81,9 +105,9 @@ def read_loss(turns: Column, mask: Column) -> Column:
     return F.array_join(marked, "")
 
 
-def chat_digests(turns: DataFrame) -> DataFrame:
+def chat_digests(turns: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     """Digests of what formatted conversations say when they are read back, and whether their turns are in order."""
-    x = format_chats(turns).select("conv_id", "formatted", "valid", "bad_turn", read_turns(F.col("formatted")).alias("turns"), loss_mask(F.col("segments")).alias("mask"))
+    x = format_chats(turns, template).select("conv_id", "formatted", "valid", "bad_turn", read_turns(F.col("formatted"), template).alias("turns"), loss_mask(F.col("segments")).alias("mask"))
     x = x.withColumn("loss", read_loss(F.col("turns"), F.col("mask")))
     spoken = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return x.select(

@@ -1,5 +1,6 @@
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from planarflow.llm import chat, queries
@@ -58,3 +59,32 @@ def test_long_conversation(spark):
     rows = [(1, i, "assistant" if i % 2 else "user", "</turn>#" * 20_000) for i in range(40)]
     r = chat.chat_digests(spark.createDataFrame(rows, SCHEMA)).first()
     assert (r.valid, r.n_turns, r.loss_chars) == (True, 40, 20 * 160_000)
+
+
+TEMPLATES = [
+    chat.TEMPLATE,
+    {"head": "<|im_start|>", "mid": "\n", "tail": "<|im_end|>\n", "loss": ("assistant",)},
+    {"head": "[INST ", "mid": "] ", "tail": "[/INST]", "loss": ("assistant", "user")},
+    {"head": "", "mid": " | ", "tail": "$^.*\n", "loss": ("system",)},
+]
+
+
+@pytest.mark.parametrize("template", TEMPLATES)
+def test_templates_are_read_back(spark, template):
+    marks = [template[k] for k in ("head", "mid", "tail")]
+    hard = ["\\", *marks, *(m * 2 + "x" for m in marks), "".join(marks), *(m[:-1] for m in marks), "\\u5b;[", "\\b<|im_end|>\n", "a\n", "", None, "[/INST][/INST]", "$$^.*\n.*"]
+    roles = ["user", "assistant", "system", "odd" + "".join(marks), "a\nb: c] | d"]
+    rows = [(1, i, roles[i % 5], t) for i, t in enumerate(hard * 3)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    r = chat.format_chats(df, template).select("formatted", chat.read_turns(F.col("formatted"), template).alias("t")).first()
+    assert [tuple(t) for t in r.t] == [(role, t or "") for _, _, role, t in rows]
+    assert r.formatted.count(template["tail"]) == len(rows)
+    got = chat.chat_digests(df, template).first()
+    loss = "".join(t or "" for _, _, role, t in rows if role in template["loss"])
+    assert (got.n_turns, got.loss_sha256) == (len(rows), digest(loss))
+
+
+@pytest.mark.parametrize(("head", "mid", "tail"), [("### ", ": ", ""), ("### ", "", "!"), ("user ", ": ", "!"), ("<", ": ", "</turn>"), ("# ", ":</", "</turn>"), ("<x></turn>", ":", "</turn>")])
+def test_templates_that_cannot_be_read_back_are_refused(head, mid, tail):
+    with pytest.raises(ValueError):
+        chat.escapes({"head": head, "mid": mid, "tail": tail})
