@@ -1,7 +1,7 @@
 """HTML extraction by deducing each host's template from classes of tokens that occur alike on its pages.
 
-A token is a start tag with its class and id (numbers in them replaced by #) or a run of text, each with the path of tags above
-it. Its occurrence vector has its count on every page of the host; vectors are compared by a sum of hashes of (page, count),
+A token is a start tag with its class and id or a run of text, each with the path of tags above it. Numbers in classes and ids are
+replaced by #, since they often differ from page to page; siblings that only differ by them are told apart by their order. Its occurrence vector has its count on every page of the host; vectors are compared by a sum of hashes of (page, count),
 which adds up in any order, so no page list is gathered. Tokens of equal vectors on half of the pages or more form a class,
 parted by the slot that its tokens lie in; classes whose places follow their nesting are valid. They nest in each other, a class
 in the slot of the token above it, and make the template. What its text tokens say on page after page is part of the template; the
@@ -10,7 +10,7 @@ rest fills its slots.
 The main slot is the article: an element named as one that holds half of the slots' text outside of links or more, else the
 innermost container that holds all of it. A page's text is what fills the main slot and the slots nested in it: text that is
 part of the template goes if its element has a class or id of its own or it is a link, and says the same wherever it occurs. Where
-less than a tenth of a host's text varies (copies of one page), and on hosts of fewer than LEAST pages, no text counts as part of
+less than a tenth of a host's text varies (copies of one page), and on hosts of a single page, no text counts as part of
 the template; a page that would lose more than it keeps loses nothing.
 
 Names break ties: elements that name themselves menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or comments
@@ -38,8 +38,8 @@ from .common import cut, small_batches
 
 #: Templates of so many numbers in all are broadcast (8 bytes each); more are joined by a shuffle.
 BROADCAST_NUMBERS = 2_000_000
-#: Pages on which a text must stand to be part of a host's template.
-LEAST = 3
+#: Pages on which a text must stand to be part of a host's template: what stands once has no like to be compared with.
+LEAST = 2
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg math select".split())
 BLOCK = frozenset("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -66,11 +66,12 @@ def host_of(url: Column) -> Column:
 class Element:
     """An open element: its token's key and what holds for all that stands in it."""
 
-    __slots__ = ("tag", "key", "above", "marked", "aside", "weak", "main", "slot", "inside", "link", "heading", "block", "plain", "linked", "lines", "parts")
+    __slots__ = ("tag", "key", "above", "marked", "aside", "weak", "main", "slot", "inside", "link", "heading", "block", "plain", "linked", "lines", "parts", "forms")
 
     def __init__(self, tag: str, attrs: str, above: Element | None, main: int | None):
         self.tag, self.above = tag, above
         self.plain = self.linked = 0
+        self.forms: dict[str, dict[str, int]] | None = None  # labels of children: their spellings with numbers, in order
         if above is None:
             self.key, self.marked, self.aside, self.weak = 0, False, False, None
             self.main = self.slot = self.inside = self.link = self.heading = self.block = False
@@ -80,7 +81,13 @@ class Element:
             found = [v.strip("\"'").lower() for _, v in _MARKS.findall(attrs)]
             classes = " ".join(found).split()
             words = frozenset(w for c in classes for w in re.split(r"[^a-z0-9]+", c) if w)
-            label += "." + re.sub("[0-9]+", "#", ".".join(classes))
+            spelled = ".".join(classes)
+            label += "." + re.sub("[0-9]+", "#", spelled)
+            if "#" in label:
+                above.forms = above.forms or {}
+                known = above.forms.setdefault(label, {})
+                if order := known.setdefault(spelled, len(known)):
+                    label += f"~{order}"
         self.marked = bool(classes)
         self.key = _signed(xxhash.xxh64_intdigest(label, above.key % (1 << 64)))
         named = tag in ("article", "main") or bool(words & MAIN_WORDS)

@@ -198,3 +198,23 @@ def test_articles_whose_id_varies_by_page(spark, mark):
     assert all(r.text == f"T{r.page_id}\n{LONG.strip()}" for r in h.page_texts(df).collect())
     template = h.deduce([t for t in rows_of(spark, rows) if t["pages"] >= 3], 6)
     assert (template["main"] == key("html", "body", "article.post-#")) == (mark == "post-{i}")
+
+
+@pytest.mark.parametrize(("box", "menu"), [("qa", "qb"), ("q1", "q9"), ("7", "8"), ("post-1", "post-2")])
+@pytest.mark.parametrize("count", [2, 3, 6])
+@pytest.mark.parametrize("flip", [False, True])
+def test_unnamed_siblings_on_small_hosts(spark, box, menu, count, flip):
+    """The article, all of it and nothing else, whatever the number of pages and though classes differ by a digit only."""
+    words = "alpha bravo charlie delta echo foxtrot".split()
+    rows = []
+    for i in range(count):
+        parts = [f"<div class='{menu}'><p>Pages of the site</p><p>Home</p></div>", f"<div class='{box}'><p>Same lead on all pages.</p><h2>About {words[i]}</h2><p>The story of {words[i]} goes on.</p></div>"]
+        rows.append((i, "https://small.example/x", f"<html><body>{''.join(parts[:: -1 if flip else 1])}</body></html>"))
+    got = {r.page_id: r.text for r in h.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Same lead on all pages.\nAbout {words[i]}\nThe story of {words[i]} goes on." for i in range(count)}
+
+
+def test_ids_that_vary_by_page_are_one_token(spark):
+    rows = [(i, "https://small.example/x", f"<html><body><div id='p{i * 7}'><p>Text {'abc'[i]} here</p></div><div id='p{i * 7 + 1}'><p>Pages</p></div></body></html>") for i in range(3)]
+    got = {r.page_id: r.text for r in h.page_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Text {'abc'[i]} here" for i in range(3)}
