@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 
 from planarflow.functions import canonical, formats
 from planarflow.functions.drawing import Extender, check, relabel, seeds
-from planarflow.operators import census, diagnostics, flags, profile
+from planarflow.operators import census, diagnostics, flags, profile, stored
 from planarflow.plans import graph
 from planarflow.plans.golden import COUNTS
 from planarflow.sources import codec, files
+from planarflow.sources.folders import new_folder, written
 from planarflow.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -433,7 +434,7 @@ def _bucketed(m: int, n: int, kind: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Flag classes counted bucket by bucket: no class lies in two buckets."""
         c = census.census_of(m, n)
-        rows = flags.labeled(flags.exported(_sets(spark, m, n), c)).withColumn("bucket", flags.flag_bucket(F.col("flag"), False))
+        rows = written(flags.labeled(flags.exported(_sets(spark, m, n), c)).withColumn("bucket", flags.flag_bucket(F.col("flag"), False)), "flags")
         names, moves = flags.token_moves(c, kind, False)
         found = flags.flag_classes(rows, c, kind, False)
         ids = F.transform("tokens", lambda t: F.array_position(F.lit(names), t).cast("int"))
@@ -552,7 +553,12 @@ def run_expired_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT o_orderkey, CASE WHEN e THEN 'pending' ELSE status END AS status, CASE WHEN NOT e THEN owner END AS owner, CASE WHEN NOT e THEN lease_until END AS lease_until FROM (SELECT *, status = 'leased' AND lease_until < 150000 AS e FROM ({_LEASES}))")
 def run_requeued_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return diagnostics.requeued(_leases(spark, sf_dir), 150000.0)
+    """Leases that have passed, given back in the stored table; only the partitions that hold such ones are rewritten."""
+    path, none = new_folder(spark, "leases"), F.lit(None)
+    stored.insert_new(_leases(spark, sf_dir), path, ["o_orderkey"], 0)
+    passed = (F.col("status") == "leased") & (F.col("lease_until") < 150000.0)
+    stored.update(spark, path, passed, {"status": F.lit("pending"), "owner": none.cast("long"), "lease_until": none.cast("double")}, 1)
+    return stored.read(spark, path)
 
 
 @query("SELECT l_returnflag AS operation, count(*) AS n, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total, max(CAST(l_quantity AS BIGINT)) AS longest FROM lineitem GROUP BY 1 ORDER BY total DESC, operation LIMIT 2")

@@ -105,6 +105,17 @@ def test_a_batch_that_failed_half_way_is_run_again(spark, places, monkeypatch):
     assert found(spark, out) == expected(events(0, 120))
 
 
+def test_a_lost_checkpoint_gives_the_same(spark, places, tmp_path):
+    """All files come again, in other batches than before."""
+    log, out, marks = places
+    config = run_status.settings(None, "run_status.json")
+    for i in range(3):
+        put(spark, events(i * 50, 60), log, f"f{i}")
+        run_status.run(spark, log, out, marks, config)
+    assert run_status.run(spark, log, out, str(tmp_path / "new"), config | {"files_per_batch": 2})["batches"] == 2
+    assert found(spark, out) == expected(events(0, 160))
+
+
 def test_events_without_a_time_only(spark, places):
     log, out, marks = places
     put(spark, [(1, None, 1, "a", 1.0, None)] * 3, log, "a")
