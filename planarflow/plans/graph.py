@@ -6,11 +6,11 @@ comparing integers compares points. All of this is small and known before a run;
 
 from __future__ import annotations
 
-from collections import deque
+from collections import defaultdict
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
-from itertools import combinations, permutations
+from itertools import combinations
 
 Edge = tuple[int, int]
 Crossing = tuple[Edge, Edge]
@@ -102,29 +102,31 @@ def normalize_graph(edges: Iterable[Edge]) -> tuple[tuple[int, ...], tuple[Edge,
     return tuple(sorted({v for e in edges for v in e})), edges
 
 
-def require_connected(vertices: Sequence[int], edges: Sequence[Edge]) -> None:
-    if not vertices:
-        raise ValueError("the graph is empty")
-    near: dict[int, list[int]] = {v: [] for v in vertices}
+def neighbours(edges: Iterable[Edge]) -> dict[int, set[int]]:
+    near: dict[int, set[int]] = defaultdict(set)
     for u, v in edges:
-        near[u].append(v)
-        near[v].append(u)
-    seen, todo = {vertices[0]}, deque(vertices[:1])
-    while todo:
-        for v in near[todo.popleft()]:
-            if v not in seen:
-                seen.add(v)
-                todo.append(v)
-    if len(seen) < len(vertices):
-        raise ValueError("the graph is not connected")
+        near[u].add(v)
+        near[v].add(u)
+    return near
+
+
+def require_connected(vertices: Sequence[int], edges: Iterable[Edge]) -> None:
+    """Raise unless merging the ends of edges leaves one set of vertices."""
+    parts = {v: {v} for v in vertices}
+    for u, v in edges:
+        if parts[u] is not parts[v]:
+            whole = parts[u] | parts[v]
+            parts |= dict.fromkeys(whole, whole)
+    if len({id(p) for p in parts.values()}) != 1:
+        raise ValueError("the graph is not connected" if parts else "the graph is empty")
 
 
 def base_cycle(vertices: Sequence[int], edges: Iterable[Edge]) -> tuple[int, int, int, int]:
-    """The first 4-cycle in lexicographic order."""
-    held = {edge(*e) for e in edges}
-    for p in permutations(vertices, 4):
-        if all(edge(p[i], p[(i + 1) % 4]) in held for i in range(4)):
-            return p
+    """The first 4-cycle in lexicographic order: opposite vertices have two common neighbours."""
+    near = neighbours(edges)
+    found = ((a, b, c, d) for a in sorted(vertices) for b in sorted(near[a]) for c in sorted(near[b] - {a}) for d in sorted(near[a] & near[c] - {b}))
+    for cycle in found:
+        return cycle
     raise ValueError("the graph has no 4-cycle")
 
 
@@ -148,10 +150,7 @@ def build_stages(edges: Iterable[Edge]) -> tuple[tuple[int, int, int, int], tupl
 
 def automorphisms(vertices: Sequence[int], edges: Iterable[Edge]) -> tuple[tuple[int, ...], ...]:
     """All images of the vertices (in order) that keep the edges, sorted; partial images are extended one vertex at a time."""
-    near = {v: set() for v in vertices}
-    for u, v in edges:
-        near[u].add(v)
-        near[v].add(u)
+    near = neighbours(edges)
     found: list[tuple[int, ...]] = [()]
     for i, v in enumerate(vertices):
         found = [
@@ -163,15 +162,6 @@ def automorphisms(vertices: Sequence[int], edges: Iterable[Edge]) -> tuple[tuple
     return tuple(sorted(found))
 
 
-def keeps_edges(image: dict[int, int], edges: Iterable[Edge]) -> bool:
-    held = {edge(*e) for e in edges}
-    return {edge(image[u], image[v]) for u, v in held} == held
-
-
-def fixes_edges(image: dict[int, int], edges: Iterable[Edge]) -> bool:
-    return all(edge(image[u], image[v]) == edge(u, v) for u, v in edges)
-
-
 @dataclass(frozen=True)
 class Census:
     """Everything static about the census of K(m,n)."""
@@ -207,13 +197,13 @@ class Census:
 
     def stage_group(self, stage: int) -> tuple[tuple[int, ...], ...]:
         """Automorphisms of the whole graph that keep the stage's edges, one for each action on its vertices, as point relabelings."""
-        edges = self.stage_edges(stage)
-        built = sorted({v for e in edges for v in e})
-        actions: dict[tuple[int, ...], tuple[int, ...]] = {}
-        for p in self.group:
-            if keeps_edges(dict(enumerate(p)), edges):
-                actions.setdefault(tuple(p[v] for v in built), p)
-        return tuple(self.points.relabeling(dict(enumerate(p))) for _, p in sorted(actions.items()))
+        held = frozenset(self.stage_edges(stage))
+        built = sorted(neighbours(held))
+        first: dict[tuple[int, ...], tuple[int, ...]] = {}
+        for p in reversed(self.group):  # of those that act alike the least is put last and stays
+            if held == {edge(p[u], p[v]) for u, v in held}:
+                first[tuple(p[v] for v in built)] = p
+        return tuple(self.points.relabeling(dict(enumerate(first[action]))) for action in sorted(first))
 
     def color_group(self, blind: bool) -> tuple[tuple[int, ...], ...]:
         """Vertex images that keep the colors, with blind also those that exchange them."""

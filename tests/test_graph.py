@@ -1,6 +1,6 @@
 import pytest
 
-from planarflow.plans.graph import Census, Points, automorphisms, build_stages, complete_bipartite, crossing, edge, fixes_edges, keeps_edges, normalize_graph, require_connected, sides
+from planarflow.plans.graph import Census, Points, automorphisms, build_stages, complete_bipartite, crossing, base_cycle, edge, normalize_graph, require_connected, sides
 
 
 def test_layout():
@@ -48,5 +48,23 @@ def test_other_graphs():
 def test_symmetries():
     square = [(0, 1), (1, 2), (2, 3), (3, 0)]
     group = automorphisms(range(4), square)
-    assert len(group) == 8 and all(keeps_edges(dict(enumerate(p)), square) for p in group)
-    assert sum(fixes_edges(dict(enumerate(p)), square) for p in group) == 1
+    assert len(group) == 8 and all({edge(p[u], p[v]) for u, v in square} == {edge(*e) for e in square} for p in group)
+    assert sum(p == tuple(range(4)) for p in group) == 1
+
+
+def test_base_cycle_is_the_first_one():
+    from itertools import combinations, permutations
+
+    import random
+
+    r = random.Random(5)
+    for _ in range(60):
+        n = r.randrange(4, 8)
+        edges = [e for e in combinations(range(n), 2) if r.random() < 0.5]
+        held = {edge(*e) for e in edges}
+        want = next((p for p in permutations(range(n), 4) if all(edge(p[i], p[(i + 1) % 4]) in held for i in range(4))), None)
+        if want:
+            assert base_cycle(range(n), edges) == want
+        else:
+            with pytest.raises(ValueError):
+                base_cycle(range(n), edges)
