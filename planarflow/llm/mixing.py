@@ -2,11 +2,12 @@
 
 Each source's documents fall into blocks by a hash, which is a random permutation of them. A source's target fixes its
 quota of blocks: every block once for each whole pass over the source, then a prefix of the blocks, of which the last is cut
-at a document, so that at least the longest document's length is left. While more than FILL words are left, a further prefix
-is taken of documents of at most a 32nd of what is left, as rules (size, place). The rest is filled from all further blocks in
-their order: documents that do not fit are skipped. Where this order misses the target by more than CLOSE of it, the longest go
-first. One more document is added if the sum comes nearer by it. So in the end a source's words are off its target by less than
-the shortest document left out.
+at a document, so that at least the longest document's length, or FILL words, is left. The rest is filled from the documents
+after it in their order: those that do not fit are skipped. Where this misses the target by more than CLOSE of it, which takes a
+small source, the longest of these last ones go first. Where more than 2 * FILL words are left, prefixes are taken first of the
+documents of at most a 32nd of it, as rules (size, place); this happens only next to a document (or copies of one) of more than
+FILL words, and concerns at most as many words. One more document is added if the sum comes nearer by it. So in the end a
+source's words are off its target by less than the shortest document left out.
 
 The quotas of all sources are split among the output shards by a tree: at each node every source's count for the left half is a
 draw from the hypergeometric distribution given what the sources before it have drawn, so a node's halves have exact sizes and a
@@ -16,9 +17,10 @@ shard then draws its own run of each source's permuted blocks, disjoint from tho
 within the shard. Sources are ranked and targets found by prefix sums over ranges, so no task holds all sources.
 
 Nulls: a null source is a source of its own, last in order; a null text has size 0; a null doc_id is hashed as empty.
-Repeated rows (same doc_id and text) have one hash, so they are taken together or not at all. Sources without words have the
-target 0. A document longer than its source's target is left out of the prefix and taken only if the sum comes nearer by it; the
-sum is then off by less than the longest document. An empty table gives an empty table. Further columns are kept; clashing names
+Repeated rows (same doc_id and text) have one hash and are counted: at the edge as many of them are taken as fit, which are then
+told apart by their numbers in the table; where they differ in further columns, which of them are taken depends on the table's
+files. Sources without words have the target 0. A document longer than its source's target is left out of the prefix and taken
+only if the sum comes nearer by it; the sum is then off by less than the longest document. An empty table gives an empty table. Further columns are kept; clashing names
 cannot occur, since the plan's own columns are prefixed with `_mix_` until the end. Nothing depends on partitioning: reruns agree.
 """
 
@@ -38,13 +40,15 @@ BLOCKS, SHARDS, WEIGHTS, SHARE, PASSES = 1024, 16, (3, 1, 2), 1.5, 2
 BROADCAST_ROWS = 200_000
 #: Share of a target by which documents in random order may miss it; beyond that, the longest of the last ones go first.
 CLOSE = 0.001
-#: Words that are filled by document; more are taken by prefixes first.
-FILL = 1 << 15
+#: Words that are filled by document; more than twice as many are taken by prefixes first.
+FILL = 1 << 14
 #: Sources that are drawn in one row, and standard deviations of a draw beyond which nothing is looked for (less than 1e-30).
 GROUP, WIDE = 256, 12
 #: Words of the mix for a task that writes it (about 100 MB).
 TASK_WORDS = 1 << 24
 _RULES = "array<struct<most:bigint,upto:string>>"
+#: Documents taken one by one: how many of the copies at a place, null for all.
+_EXTRA = "array<struct<place:string,copies:bigint>>"
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,7 +62,7 @@ def _unit(*parts: Column) -> Column:
 
 
 def _place(doc_id: Column, text: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit("mix"), F.coalesce(doc_id.cast("string"), F.lit("")), F.coalesce(F.crc32(text.cast("binary")).cast("string"), F.lit(""))))
+    return F.md5(F.concat_ws("|", F.lit("mix"), F.coalesce(doc_id.cast("string"), F.lit("")), F.xxhash64(text).cast("string")))
 
 
 def _block(place: Column, blocks: int) -> Column:
@@ -193,10 +197,10 @@ def _taken(rules: Column, size: Column, place: Column) -> Column:
 def narrow_gaps(docs: DataFrame, edges: DataFrame) -> DataFrame:
     """edges (source, rank, at, last, target, gap) with rules, and what the documents that those take leave of the gap.
 
-    While a gap is more than FILL words, a prefix is taken of the documents after the edge that have at most a 32nd of it."""
+    While a gap is more than 2 * FILL words, a prefix is taken of the documents after the edge that have at most a 32nd of it."""
     edges = edges.withColumn("rules", F.array().cast(_RULES)).withColumn("open", F.lit(True))
-    while not edges.where(F.col("open") & (F.col("gap") > FILL)).isEmpty():
-        wide = edges.where(F.col("open") & (F.col("gap") > FILL)).withColumn("most", F.floor(F.col("gap") / 32)).withColumn("limit", F.col("gap") - F.col("most"))
+    while not edges.where(F.col("open") & (F.col("gap") > 2 * FILL)).isEmpty():
+        wide = edges.where(F.col("open") & (F.col("gap") > 2 * FILL)).withColumn("most", F.floor(F.col("gap") / 32)).withColumn("limit", F.col("gap") - F.col("most"))
         after = F.coalesce(F.try_element_at("rules", F.lit(-1))["upto"], F.col("last"), F.lit(""))
         same = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.block") >= F.col("e.at")) & (F.col("d.place") > F.col("e.after")) & (F.col("d.size") <= F.col("e.most")) & (F.col("d.size") > 0)
         rows = docs.alias("d").join(wide.withColumn("after", after).alias("e"), same).select("rank", "d.place", "d.size", "limit")
@@ -209,41 +213,47 @@ def narrow_gaps(docs: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.drop("open")
 
 
-def fill(docs: DataFrame, edges: DataFrame) -> DataFrame:
-    """(rank, block, extra): places of documents after a source's edge (at, last), less those taken by rules, that fill its gap, by block.
+def fill(docs: DataFrame, edges: DataFrame, blocks: int = BLOCKS) -> DataFrame:
+    """(rank, block, extra): documents after a source's edge (at, last), less those taken by rules, that fill its gap, by block.
 
-    First fit in the order of places, or of lengths where this does not come close. Of documents of lengths within a power of two, only blocks up to the gap's words are
-    looked at, since not all in them can fit; what remains is then less than twice the shortest document left, so that one
+    First fit in the order of places, or of lengths where this does not come close. Of documents of lengths within a power of two, only those up to the gap's words are
+    looked at, since not all of them can fit; what remains is then less than twice the shortest document left, so that one
     more, sought among all, is the last that can fit."""
     after = F.col("d.source").eqNullSafe(F.col("e.source")) & (F.col("d.block") >= F.col("e.at"))
     x = docs.alias("d").join(edges.alias("e"), after).where("size > 0 AND size < 2 * gap AND (last IS NULL OR place > last)").where(~_taken(F.col("rules"), F.col("size"), F.col("place")))
-    x = cut(x.groupBy("rank", "gap", "target", "d.block", "place").agg(F.sum("size").alias("size")).withColumn("kind", F.length(F.bin("size"))), "mix-fits")
-    fits = x.where("size <= gap")
+    x = cut(x.groupBy("rank", "gap", "target", "d.block", "place", "size").agg(F.count("*").alias("copies")).withColumn("kind", F.length(F.bin("size"))), "mix-fits")
+    fits, words = x.where("size <= gap"), F.sum(F.col("size") * F.col("copies"))
     by = Window.partitionBy("rank", "kind").orderBy("block")
-    near = fits.groupBy("rank", "gap", "kind", "block").agg(F.sum("size").alias("words")).withColumn("before", F.sum("words").over(by) - F.col("words"))
-    near = near.where("before < gap").select("rank", "kind", "block")
-    lists = fits.join(near, ["rank", "kind", "block"]).groupBy("rank", "gap", "target").agg(F.sort_array(F.collect_list(F.struct("place", "size"))).alias("docs"))
+    near = fits.groupBy("rank", "gap", "kind", "block").agg(words.alias("words")).withColumn("before", F.sum("words").over(by) - F.col("words"))
+    within = Window.partitionBy("rank", "kind", "block").orderBy("place", "size").rowsBetween(Window.unboundedPreceding, -1)
+    near = fits.join(near.where("before < gap").select("rank", "kind", "block", "before"), ["rank", "kind", "block"])
+    near = near.withColumn("before", F.col("before") + F.coalesce(words.over(within), F.lit(0))).where("before < gap")
+    lists = near.groupBy("rank", "gap", "target").agg(F.sort_array(F.collect_list(F.struct("place", "size", "copies"))).alias("docs"))
 
     def take(a: Column, d: Column) -> Column:
-        return F.when(d["size"] <= a["left"], F.struct((a["left"] - d["size"]).alias("left"), F.array_append(a["took"], d["place"]).alias("took"))).otherwise(a)
+        fit = F.least(d["copies"], F.floor(a["left"] / d["size"])).cast("long")
+        more = F.struct((a["left"] - fit * d["size"]).alias("left"), F.array_append(a["took"], F.struct(d["place"].alias("place"), d["size"].alias("size"), fit.alias("took"), d["copies"].alias("copies"))).alias("took"))
+        return F.when(d["size"] <= a["left"], more).otherwise(a)
 
-    start = F.struct(F.col("gap").alias("left"), F.array().cast("array<string>").alias("took"))
-    longest = F.sort_array(F.transform("docs", lambda d: F.struct((-d["size"]).alias("less"), d["place"].alias("place"), d["size"].alias("size"))))
+    start = F.struct(F.col("gap").cast("double").alias("left"), F.array().cast("array<struct<place:string,size:bigint,took:bigint,copies:bigint>>").alias("took"))
+    longest = F.array_sort("docs", lambda d, e: F.when(d["size"] > e["size"], -1).when(d["size"] < e["size"], 1).when(d["place"] < e["place"], -1).otherwise(1))
     lists = lists.withColumn("a", F.aggregate("docs", start, take)).withColumn("b", F.aggregate(longest, start, take))
     better = (F.col("a.left") > CLOSE * F.col("target")) & (F.col("b.left") < F.col("a.left"))
-    took = cut(lists.select("rank", F.when(better, F.col("b")).otherwise(F.col("a")).alias("a")).select("rank", "a.left", "a.took"), "mix-took")
-    more = x.join(took, "rank", "left").withColumn("left", F.coalesce("left", "gap")).withColumn("off", F.abs(F.col("size") - F.col("left")))
-    more = more.where("off < left").where(F.col("took").isNull() | ~F.array_contains("took", F.col("place")))
-    more = more.groupBy("rank").agg(F.min(F.struct("off", "place", "block")).alias("m")).select("rank", "m.block", "m.place")
-    extra = x.join(took.select("rank", F.explode("took").alias("place")), ["rank", "place"]).select("rank", "block", "place").unionByName(more)
-    return extra.groupBy("rank", "block").agg(F.sort_array(F.collect_list("place")).alias("extra"))
+    lists = cut(lists.select("rank", F.when(better, F.col("b")).otherwise(F.col("a")).alias("a")).select("rank", "a.left", "a.took"), "mix-took")
+    took = lists.select("rank", F.inline("took"))
+    left = x.join(lists.select("rank", "left"), "rank", "left").withColumn("left", F.coalesce("left", "gap")).withColumn("off", F.abs(F.col("size") - F.col("left"))).where("off < left")
+    left = left.join(took.select("rank", "place", "size", "took"), ["rank", "place", "size"], "left").where("took IS NULL OR took < copies")
+    more = left.groupBy("rank").agg(F.min(F.struct("off", "place", "size", "copies")).alias("m")).select("rank", "m.place", "m.size", F.lit(1).cast("long").alias("took"), "m.copies")
+    extra = took.unionByName(more).groupBy("rank", "place", "size", "copies").agg(F.sum("took").alias("took"))
+    extra = extra.select("rank", _block(F.col("place"), blocks).alias("block"), F.struct("place", F.when(F.col("took") < F.col("copies"), F.col("took")).alias("copies")).alias("e"))
+    return extra.groupBy("rank", "block").agg(F.sort_array(F.collect_list("e")).alias("extra"))
 
 
 def mixing_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, weights: Sequence[float] = WEIGHTS, share: float = SHARE, passes: int = PASSES) -> DataFrame:
     """One row per source and block: source_size, target, and draws, an array of (pass, shard, last, extra, rules).
 
-    last is null where the whole block is drawn, else documents are drawn up to this place, those at the places extra, and those
-    that a rule takes."""
+    last is null where the whole block is drawn, else documents are drawn up to this place, those at the places of extra (so many
+    copies, or all), and those that a rule takes."""
     narrow = cut(docs.select("source", word_count(F.col("text")).alias("size"), _place(F.col("doc_id"), F.col("text")).alias("place")), "mix")
     narrow = narrow.withColumn("block", _block(F.col("place"), blocks))
     held = cut(narrow.groupBy("source", "block").agg(F.sum("size").alias("words"), F.max("size").alias("longest")), "mix-blocks")
@@ -254,16 +264,17 @@ def mixing_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, wei
     x = held.alias("h").join(goal.alias("g"), same).select("h.source", "h.block", "h.words", "h.longest", "g.source_size", "g.target", "g.rank", "g.whole", "g.rest")
     by = Window.partitionBy("rank").orderBy("block")
     x = x.withColumn("end", F.sum("words").over(by)).withColumn("begin", F.col("end") - F.col("words")).withColumn("place_in", F.row_number().over(by) - 1)
-    x = x.withColumn("until", F.greatest(F.col("rest") - F.max("longest").over(Window.partitionBy("rank")), F.lit(0.0)))
-    x = x.withColumn("state", F.when(F.col("end") <= F.col("until"), 2).when((F.col("begin") <= F.col("until")) & (F.col("end") > F.col("until")) & (F.col("rest") > 0), 1).otherwise(0))
+    room = F.least(F.max("longest").over(Window.partitionBy("rank")), F.lit(FILL))
+    x = x.withColumn("until", F.greatest(F.col("rest") - room, F.lit(0.0)))
+    x = x.withColumn("state", F.when(F.col("end") <= F.col("until"), 2).when((F.col("begin") <= F.col("until")) & (F.col("rest") > 0), 1).otherwise(0))
     x = cut(x, "mix-spans")
     # The block in which a source's rest ends is cut at a document; documents after it fill what is left.
-    edge = cut(x.where("state = 1").select("source", "rank", F.col("block").alias("at"), "begin", "until", "rest", "target"), "mix-edges")
+    edge = x.where("state = 1").select("source", "rank", F.col("block").alias("at"), "begin", "until", "rest", "target")
     inner = narrow.alias("n").join(edge.alias("e"), F.col("n.source").eqNullSafe(F.col("e.source")) & (F.col("n.block") == F.col("e.at")))
     first = _prefix(inner.select("rank", "place", "size", (F.col("until") - F.col("begin")).alias("limit")))
     edge = edge.join(first, "rank", "left").select("source", "rank", "at", "last", "target", (F.col("rest") - F.col("begin") - F.coalesce("words", F.lit(0))).alias("gap"))
     edge = narrow_gaps(narrow, cut(edge, "mix-gaps"))
-    extra = fill(narrow, edge)
+    extra = fill(narrow, edge, blocks)
     far = _block(F.try_element_at("rules", F.lit(-1))["upto"], blocks)
     ruled = edge.where(F.size("rules") > 0).select("rank", F.col("at").alias("from"), far.alias("far"), "rules")
     x = x.join(edge.select("rank", "last"), "rank", "left").join(extra, ["rank", "block"], "left").join(ruled, "rank", "left")
@@ -273,14 +284,14 @@ def mixing_plan(docs: DataFrame, blocks: int = BLOCKS, shards: int = SHARDS, wei
     passes_of = F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(passes)), lambda p: F.when(p < F.col("whole"), p).when((p == F.col("whole")) & (F.col("state") > 0), p)))
     draws = x.withColumn("pass", F.explode(passes_of))
     part = lambda c, none: F.when((F.col("state") == 1) & (F.col("pass") == F.col("whole")), F.coalesce(c, none)).alias(c)
-    draws = draws.select("rank", "block", "place_in", "pass", part("last", F.lit("")), part("extra", F.array().cast("array<string>")), part("rules", F.array().cast(_RULES)))
-    draws = cut(draws.withColumn("turn", F.row_number().over(Window.partitionBy("rank").orderBy("pass", "place_in")) - 1), "mix-draws")
+    draws = draws.select("rank", "block", "place_in", "pass", part("last", F.lit("")), part("extra", F.array().cast(_EXTRA)), part("rules", F.array().cast(_RULES)))
+    draws = draws.withColumn("turn", F.row_number().over(Window.partitionBy("rank").orderBy("pass", "place_in")) - 1)
     quotas = goal.select("rank").join(draws.groupBy("rank").agg(F.count("*").alias("quota")), "rank", "left").select("rank", F.coalesce("quota", F.lit(0)).alias("quota"))
     shares = cut(split_quotas(quotas, shards), "mix-shares")
     shares = shares.withColumn("to", F.sum("quota").over(Window.partitionBy("rank").orderBy("shard"))).withColumn("from", F.col("to") - F.col("quota"))
     placed = draws.join(shares, "rank").where((F.col("turn") >= F.col("from")) & (F.col("turn") < F.col("to")))
     placed = placed.groupBy("rank", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "last", "extra", "rules"))).alias("draws"))
-    none = F.array().cast(f"array<struct<pass:int,shard:int,last:string,extra:array<string>,rules:{_RULES}>>")
+    none = F.array().cast(f"array<struct<pass:int,shard:int,last:string,extra:{_EXTRA},rules:{_RULES}>>")
     return x.select("source", "block", "source_size", "target", "rank").join(placed, ["rank", "block"], "left").withColumn("draws", F.coalesce("draws", none)).drop("rank")
 
 
@@ -291,14 +302,35 @@ def mix(docs: DataFrame, **settings) -> DataFrame:
     return _mixed(docs, plan, settings.get("blocks", BLOCKS))
 
 
+def _numbered(own: DataFrame) -> DataFrame:
+    """own with the numbers from 1 of equal rows of which only some are drawn; those rows are written, and none else is moved.
+
+    Numbers run through the parts in which the rows were written, so no task holds more of them than were read by one."""
+    place = F.col("_mix_place")
+    some = F.exists("_mix_draws", lambda d: F.exists(d["extra"], lambda e: (e["place"] == place) & e["copies"].isNotNull()))
+    rows = cut(own.where(some).withColumn("_mix_row", F.monotonically_increasing_id()), "mix-copies")
+    rows = rows.withColumn("_mix_part", F.shiftright("_mix_row", 33))
+    parts = rows.groupBy("_mix_source", "_mix_place", "_mix_part").agg(F.count("*").alias("_mix_held"))
+    by = Window.partitionBy("_mix_source", "_mix_place").orderBy("_mix_part")
+    parts = parts.select(F.col("_mix_source").alias("_mix_s"), F.col("_mix_place").alias("_mix_p"), F.col("_mix_part").alias("_mix_q"), (F.sum("_mix_held").over(by) - F.col("_mix_held")).alias("_mix_before"))
+    same = F.col("_mix_source").eqNullSafe(F.col("_mix_s")) & (place == F.col("_mix_p")) & (F.col("_mix_part") == F.col("_mix_q"))
+    within = Window.partitionBy("_mix_source", "_mix_place", "_mix_part").orderBy("_mix_row")
+    number = (F.row_number().over(within) + F.col("_mix_before")).alias("_mix_number")
+    return own.where(~some).withColumn("_mix_number", F.lit(None).cast("long")).unionByName(rows.join(parts, same).select(*own.columns, number))
+
+
 def _mixed(docs: DataFrame, plan: DataFrame, blocks: int) -> DataFrame:
     plan = plan.select(*(F.col(c).alias(f"_mix_{c}") for c in plan.columns))
-    if plan.count() <= BROADCAST_ROWS:
+    some = F.exists("_mix_draws", lambda d: F.exists(d["extra"], lambda e: e["copies"].isNotNull()))
+    rows, split = plan.agg(F.count("*"), F.coalesce(F.bool_or(some), F.lit(False))).first()
+    if rows <= BROADCAST_ROWS:
         plan = F.broadcast(plan)
     own = docs.withColumn("_mix_place", _place(F.col("doc_id"), F.col("text"))).withColumn("_mix_size", word_count(F.col("text")))
     own = own.join(plan, F.col("source").eqNullSafe(F.col("_mix_source")) & (_block(F.col("_mix_place"), blocks) == F.col("_mix_block")))
-    place, size = F.col("_mix_place"), F.col("_mix_size")
-    taken = F.filter("_mix_draws", lambda d: d["last"].isNull() | (place <= d["last"]) | F.array_contains(d["extra"], place) | _taken(d["rules"], size, place))
+    own = _numbered(own) if split else own.withColumn("_mix_number", F.lit(None).cast("long"))
+    place, size, number = F.col("_mix_place"), F.col("_mix_size"), F.col("_mix_number")
+    one = lambda d: F.exists(d["extra"], lambda e: (e["place"] == place) & (e["copies"].isNull() | (number <= e["copies"])))
+    taken = F.filter("_mix_draws", lambda d: d["last"].isNull() | (place <= d["last"]) | one(d) | _taken(d["rules"], size, place))
     draws = F.transform(taken, lambda d: F.struct(d["pass"].alias("pass"), d["shard"].alias("shard")))
     more = {"size": size, "source_size": F.col("_mix_source_size"), "target": F.col("_mix_target"), "taken": size * F.size(draws), "draws": draws}
     own = own.withColumns({f"_mix_out_{k}": v for k, v in more.items()})

@@ -148,3 +148,73 @@ def test_groups_of_sources_keep_quotas(spark):
         shard[r.shard] = shard.get(r.shard, 0) + r.quota
         assert r.quota >= 0
     assert held == {i: i * i % 50 for i in range(37)} and max(shard.values()) - min(shard.values()) <= 3
+
+
+@pytest.mark.parametrize(("copies", "size", "share", "want"), [(300, 10, 2500 / 3000, 2500), (300, 10, 2504 / 3000, 2500), (300, 10, 1.5, 4500), (300, 10, 0.5 / 3000, 0), (50, 700, 0.5, 17500)])
+@pytest.mark.parametrize("fill", [1 << 14, 100])
+def test_copies_of_one_row_are_counted(spark, monkeypatch, copies, size, share, want, fill):
+    """Rows equal in doc_id and text: as many as fit are taken, whatever other columns say."""
+    monkeypatch.setattr(mixing, "FILL", fill)
+    rows = spark.range(copies).selectExpr("7L AS doc_id", f"repeat('w ', {size}) AS text", "'a' AS source", "id AS lang").repartition(4)
+    out = mixing.mix(rows, share=share).collect()
+    assert len(out) == copies and sum(r.taken for r in out) == want and all(r.taken <= 2 * r.size for r in out)
+    assert len({r.lang for r in out}) == copies
+    assert mixing.mixed_rows(rows, share=share).count() == want // size
+
+
+def plain_mix(rows, target, blocks=mixing.BLOCKS, fill=mixing.FILL):
+    """taken by place of one source's rows (place, size), target by target, without rules."""
+    held = {}
+    for place, size in rows:
+        held.setdefault((place, size), []).append(size)
+    total = sum(size for _, size in rows)
+    whole = int(target // total)
+    rest, order = target - whole * total, sorted(held)
+    block = lambda place: int(place[:8], 16) * blocks >> 32
+    until = max(rest - min(max(s for _, s in rows), fill), 0.0)
+    at, took, left = 0, dict.fromkeys(order, 0), rest
+    while at < len(order) and rest - left + sum(held[order[at]]) <= until:
+        took[order[at]] = len(held[order[at]])
+        left -= sum(held[order[at]])
+        at += 1
+    after, gap, near, upto = [k for k in order[at:] if k[1]], left, [], {}
+    for k in after:
+        if k[1] <= gap and upto.get(k[1].bit_length(), 0) < gap:
+            near.append(k)
+            upto[k[1].bit_length()] = upto.get(k[1].bit_length(), 0) + sum(held[k])
+
+    def fitted(docs):
+        room, out = gap, {}
+        for k in docs:
+            out[k] = min(len(held[k]), int(room // k[1]))
+            room -= out[k] * k[1]
+        return room, out
+
+    left, more = fitted(near)
+    other = fitted(sorted(near, key=lambda k: (-k[1], k[0])))
+    if left > mixing.CLOSE * target and other[0] < left:
+        left, more = other
+    took.update(more)
+    last = [(abs(k[1] - left), *k) for k in after if abs(k[1] - left) < left and took[k] < len(held[k])]
+    if last:
+        took[min(last)[1:]] += 1
+    assert all(block(a) <= block(b) for (a, _), (b, _) in zip(order, order[1:]))
+    return {k: sorted((1 + whole if i < took[k] else whole) * k[1] for i in range(len(held[k]))) for k in order}
+
+
+@pytest.mark.parametrize("share", [0.3, 0.77, 1.5])
+def test_taken_equals_a_plain_mix_row_by_row(spark, share):
+    """Sources with long documents, copies and empty texts against the same order in plain Python."""
+    sizes = [1 + 37 * i % 300 for i in range(900)] + [5000, 9000, 0, 0]
+    rows = [(i, "w " * n, "abc"[i % 3]) for i, n in enumerate(sizes)] + [(5000 + i % 2, "v " * (40 + 31 * (i % 2)), "ab"[i % 2]) for i in range(500)]
+    rows += [(6000, "u " * 90, "d")] * 200 + [(None, "x " * 17, None)] * 90 + [(i, "y " * (i % 50), None) for i in range(7000, 7400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    out = mixing.mix(docs, share=share).select("source", "size", "target", "taken", "place").collect()
+    assert len(out) == len(rows)
+    for s in {r.source for r in out}:
+        mine = [r for r in out if r.source == s]
+        want = plain_mix([(r.place, r.size) for r in mine], mine[0].target)
+        got = {}
+        for r in mine:
+            got.setdefault((r.place, r.size), []).append(r.taken)
+        assert {k: sorted(v) for k, v in got.items()} == want
