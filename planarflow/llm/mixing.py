@@ -307,7 +307,9 @@ def _numbered(own: DataFrame) -> DataFrame:
 
     Numbers run through the parts in which the rows were written, so no task holds more of them than were read by one."""
     place = F.col("_mix_place")
-    some = F.exists("_mix_draws", lambda d: F.exists(d["extra"], lambda e: (e["place"] == place) & e["copies"].isNotNull()))
+    # Draws of whole blocks have no extra, so the inner answer may be null.
+    one = lambda d: F.coalesce(F.exists(d["extra"], lambda e: (e["place"] == place) & e["copies"].isNotNull()), F.lit(False))
+    some = F.exists("_mix_draws", one)
     rows = cut(own.where(some).withColumn("_mix_row", F.monotonically_increasing_id()), "mix-copies")
     rows = rows.withColumn("_mix_part", F.shiftright("_mix_row", 33))
     parts = rows.groupBy("_mix_source", "_mix_place", "_mix_part").agg(F.count("*").alias("_mix_held"))
