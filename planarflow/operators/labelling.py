@@ -1,7 +1,8 @@
 """Isomorphism classes of many small graphs, by colour refinement over tables and branching only where symmetry is left.
 
-Graphs are rows of edges (graph, u, v) and vertices (graph, vertex, colour); an isomorphism keeps colours. Each graph is cut into its
-components, whose forms, sorted, are the graph's form. All components are refined at once: a vertex's next colour is a digest of its own
+Graphs are rows of edges (graph, u, v) and vertices (graph, vertex, colour); an isomorphism keeps colours. Leaves go first: a vertex's text
+counts those at it by colour, which settles all that are stars or single vertices. What is left of each graph is cut into its
+components, whose forms, sorted together with those of the settled vertices, are the graph's form. All components are refined at once: a vertex's next colour is a digest of its own
 and its neighbours' sorted colours, so equal colours mean the same in every graph, and rounds go on until no colour class splits. Vertices
 of one colour with the same neighbours can change places freely and are told apart by numbers. Components in which two vertices still
 share a colour are copied, once for each vertex of their first smallest class, which gets a colour of its own; this goes on until all
@@ -78,14 +79,34 @@ def _forms(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return names.join(lines, COPY, "left").withColumn("form", text).groupBy(*PIECE).agg(F.min("form").alias("form"))
 
 
+def _folded(vertices: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Vertices (graph, vertex, given, busy) without the leaves, which the given text of their only neighbour counts by colour, and the edges that are left.
+
+    Of two vertices that only meet each other, the one with the lesser text stays. A vertex is busy if edges are left to it."""
+    ends = both_ways(edges, ["graph"]).select("graph", F.col("u").alias("vertex"), F.col("v").alias("near"), F.lit(1).alias("degree"), F.lit(None).cast("string").alias("colour"))
+    named = vertices.select("graph", "vertex", F.lit(None).cast("long").alias("near"), F.lit(0).alias("degree"), F.col("colour").cast("string").alias("colour"))
+    known = ends.unionByName(named).groupBy("graph", "vertex").agg(F.sum("degree").alias("degree"), F.max("near").alias("near"), F.min("colour").alias("colour"))
+    known = written(known.withColumn("given", F.coalesce(F.concat(F.lit("c"), F.hex("colour")), F.lit("n"))).drop("colour"), "ends")
+    # Leaves of one colour are counted before they meet, so a hub's are gathered nowhere.
+    leaves = known.where("degree = 1").groupBy("graph", F.col("near").alias("vertex"), F.col("given").alias("leaf")).agg(F.count("*").alias("n"))
+    held = leaves.groupBy("graph", "vertex").agg(F.sort_array(F.collect_list(F.struct("leaf", "n"))).alias("_held"), F.sum("n").alias("_folded"))
+    x = known.join(held, ["graph", "vertex"], "left")
+    first = F.col("_held").isNotNull() & (F.struct("given", "vertex") < F.struct(F.col("_held")[0]["leaf"], F.col("near")))
+    text = F.concat("given", F.lit("("), F.array_join(F.transform("_held", lambda h: F.concat_ws(":", h["leaf"], h["n"])), "."), F.lit(")"))
+    core = x.where((F.col("degree") != 1) | first).select("graph", "vertex", F.coalesce(text, "given").alias("given"), (F.col("degree") > F.coalesce("_folded", F.lit(0))).alias("busy"))
+    core = written(core, "core")
+    busy = core.where("busy")
+    for end in ("u", "v"):
+        edges = edges.join(busy.select("graph", F.col("vertex").alias(end)), ["graph", end], "left_semi")
+    return core, written(edges.select("graph", "u", "v"), "core-edges")
+
+
 def graph_forms(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     """graph and form; graphs with equal forms are isomorphic, and no others."""
-    edges = undirected(edges, ["graph"])
-    ends = both_ways(edges, ["graph"]).select("graph", F.col("u").alias("vertex")).distinct()
-    known = vertices.groupBy("graph", "vertex").agg(F.min(F.col("colour").cast("string")).alias("colour"))
-    whole = ends.join(known, ["graph", "vertex"], "full").withColumn("given", F.coalesce(F.concat(F.lit("c"), F.hex("colour")), F.lit("n"))).drop("colour")
+    core, edges = _folded(vertices, written(undirected(edges, ["graph"]), "edges"))
+    forms = core.where("not busy").select("graph", F.concat_ws("|", "given", F.lit("")).alias("form"))
     parts = components(edges, ["graph"]).withColumnRenamed("component", "piece")
-    whole = whole.join(parts, ["graph", "vertex"], "left").withColumn("piece", F.coalesce("piece", "vertex"))
+    whole = core.where("busy").select("graph", "vertex", "given").join(parts, ["graph", "vertex"])
     open_ = written(whole.withColumns({"colour": F.col("given"), "copy": F.lit("")}), "vertices")
     lines = written(both_ways(edges, ["graph"]).join(open_.select("graph", "piece", F.col("vertex").alias("u")), ["graph", "u"]), "lines")
     closed = None
@@ -94,6 +115,6 @@ def graph_forms(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         done, open_ = _branched(open_)
         done = written(done, "labelled")
         closed = done if closed is None else closed.unionByName(done)
-    if closed is None:
-        return open_.select("graph", F.lit("").alias("form"))
-    return _forms(closed, lines).groupBy("graph").agg(F.array_join(F.sort_array(F.collect_list("form")), ";").alias("form"))
+    if closed is not None:
+        forms = forms.unionByName(_forms(closed, lines).select("graph", "form"))
+    return forms.groupBy("graph").agg(F.array_join(F.sort_array(F.collect_list("form")), ";").alias("form"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from planarflow.operators import digests, graphs, labelling, ordered, profile, stored, ties
 from planarflow.sources import shards
 from planarflow.sources.chunk_source import ChunkSource, file_facts
-from planarflow.sources.folders import new_folder
+from planarflow.sources.folders import new_folder, written
 from planarflow.sources.record_source import RecordSource
 from planarflow.streaming import heartbeats
 
@@ -223,8 +223,8 @@ def purchase_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers whose orders share parts in the same way: isomorphism classes of their graphs of orders and parts, with their sizes."""
     sold = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
     edges = sold.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
-    edges = edges.select(F.col("o_custkey").alias("graph"), (2 * F.col("l_orderkey")).alias("u"), (2 * F.col("l_partkey") + 1).alias("v"))
-    ends = edges.select("graph", F.explode(F.array(F.struct(F.col("u").alias("vertex"), F.lit("order").alias("colour")), F.struct(F.col("v").alias("vertex"), F.lit("part").alias("colour")))).alias("e")).select("graph", "e.*").distinct()
+    edges = written(edges.select(F.col("o_custkey").alias("graph"), (2 * F.col("l_orderkey")).alias("u"), (2 * F.col("l_partkey") + 1).alias("v")), "sold")
+    ends = edges.select("graph", F.explode(F.array(F.struct(F.col("u").alias("vertex"), F.lit("order").alias("colour")), F.struct(F.col("v").alias("vertex"), F.lit("part").alias("colour")))).alias("e")).select("graph", "e.*")
     found = labelling.graph_forms(ends, edges)
     return found.groupBy(F.sha2("form", 256).alias("shape")).agg(F.count("*").alias("customers"), F.min("graph").alias("first_customer"))
 

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+from planarflow.operators import labelling
 from planarflow.operators.labelling import graph_forms
 
 
@@ -76,3 +77,22 @@ def test_ends_without_a_vertex_row_and_no_graphs(spark):
     found = {r.graph: r.form for r in graph_forms(v, e).collect()}
     assert found[2] == found[3] != found[1] and len(found) == 3
     assert graph_forms(v.where("false"), e.where("false")).count() == 0
+
+
+def test_leaves_are_settled_before_any_round(spark, monkeypatch):
+    """Stars, pairs and single vertices take part in no round; the classes are those of brute force."""
+    rows = []
+    plain = labelling._refined
+    monkeypatch.setattr(labelling, "_refined", lambda x, lines: rows.append(x.count()) or plain(x, lines))
+    r = random.Random(4)
+    graphs = {}
+    for g in range(60):
+        n = r.randrange(1, 7)
+        centres = [0] if g % 2 else [0, 1]
+        graphs[g] = ({x: r.choice(["red", "blue", None]) for x in range(n)}, [(x, r.choice(centres)) for x in range(len(centres), n) if r.random() < 0.8])
+    assert classes(forms(spark, graphs)) == classes({g: brute(*x) for g, x in graphs.items()})
+    assert not rows
+    # A triangle with a leaf at one corner or two: only the corners are left.
+    tri = [(0, 1), (1, 2), (2, 0)]
+    some = {0: (dict.fromkeys(range(5), "x"), [*tri, (3, 0), (4, 0)]), 1: (dict.fromkeys(range(5), "x"), [*tri, (3, 0), (4, 1)]), 2: (dict.fromkeys(range(5), "x"), [*tri, (3, 2), (4, 2)])}
+    assert classes(forms(spark, some)) == [[0, 2], [1]] and rows[0] == 9
