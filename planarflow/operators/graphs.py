@@ -15,6 +15,8 @@ from planarflow.sources.folders import written
 
 #: Neighbours of a vertex beyond which its wedges are dealt to several tasks.
 HUB = 10_000
+#: Wedges of a task: each can be a pair of its own in the task's memory.
+WEDGES = 4_000_000
 
 
 def undirected(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
@@ -74,7 +76,8 @@ def opposite_pairs(edges: DataFrame, hub: int = HUB) -> DataFrame:
     """v, w and paths: vertices with that many common neighbours a, w and a both before v in the order by degree.
 
     A 4-cycle is counted at its last vertex alone. The neighbours of a vertex of many edges are mostly before it, so it is the middle
-    of few wedges: their number stays below the edges times the square root of twice their number. The wedges of a hub are dealt out by salts."""
+    of few wedges: their number stays below the edges times the square root of twice their number. They travel as lists of w to the task
+    of their v, where alone they are counted; there are as many tasks as keep each to about WEDGES. Those of a hub, as middle or as v, are dealt to several."""
     edges = written(undirected(edges), "edges")
     ranked = written(both_ways(edges).groupBy("u").agg(F.count("*").alias("degree")), "degrees")
     ends = edges.join(ranked.select("u", F.col("degree").alias("du")), "u").join(ranked.select(F.col("u").alias("v"), F.col("degree").alias("dv")), "v")
@@ -84,10 +87,17 @@ def opposite_pairs(edges: DataFrame, hub: int = HUB) -> DataFrame:
     down = written(ends.select(pick("u", "v").alias("v"), pick("du", "dv").alias("dv"), pick("v", "u").alias("a"), pick("dv", "du").alias("da")), "down")
     salts = F.ceil(F.col("da") / hub).cast("int")
     first = down.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("a", "salt", "v", "dv")
-    second = down.select("a", "da", F.col("v").alias("w"), F.col("dv").alias("dw")).unionByName(down.select(F.col("v").alias("a"), F.col("dv").alias("da"), F.col("a").alias("w"), F.col("da").alias("dw")))
-    second = second.withColumn("salt", F.pmod(F.xxhash64("w"), salts).cast("int")).drop("da")
-    wedges = first.join(second, ["a", "salt"]).where(F.struct("dv", "v") > F.struct("dw", "w"))
-    return wedges.groupBy("v", "w").agg(F.count("*").alias("paths"), F.min("a").alias("least"))
+    second = down.select("a", "da", F.struct(F.col("dv").alias("d"), "v").alias("w")).unionByName(down.select(F.col("v").alias("a"), F.col("dv").alias("da"), F.struct(F.col("da").alias("d"), F.col("a").alias("v")).alias("w")))
+    second = second.withColumn("salt", F.pmod(F.xxhash64("w.v"), salts).cast("int")).groupBy("a", "salt").agg(F.collect_list("w").alias("near"))
+    before = F.transform(F.filter("near", lambda w: w < F.struct("dv", "v")), lambda w: w["v"])
+    lists = first.join(second, ["a", "salt"]).select("v", F.ceil(F.col("dv") / hub).cast("int").alias("parts"), "a", before.alias("near"))
+    lists = lists.withColumn("near", F.explode(F.when(F.col("parts") == 1, F.array("near")).otherwise(F.transform("near", lambda w: F.array(w))))).where(F.size("near") > 0)
+    lists = lists.withColumn("part", F.when(F.col("parts") == 1, F.lit(0)).otherwise(F.pmod(F.xxhash64(F.col("near")[0]), F.col("parts")).cast("int")))
+    # A vertex has at most da wedges over each a before it.
+    most = down.agg(F.coalesce(F.sum("da"), F.lit(0))).first()[0]
+    tasks = max(int(down.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-most // WEDGES))
+    wedges = lists.repartition(tasks, "v", "part").select("v", "part", F.explode("near").alias("w"), "a")
+    return wedges.groupBy("v", "part", "w").agg(F.count("*").alias("paths"), F.min("a").alias("least")).drop("part")
 
 
 def four_cycles(edges: DataFrame, hub: int = HUB) -> DataFrame:

@@ -62,6 +62,21 @@ def test_four_cycles(spark, seed, n, m, hub, limit):
     assert [tuple(r) for r in got] == [(sum(len(c) * (len(c) - 1) // 2 for c in pairs.values()) // 4, *((*first, *pairs[first][:2]) if first else (None,) * 4))]
 
 
+def test_wedges_are_dealt_to_tasks_of_bounded_work(spark, monkeypatch):
+    """K(20,30): 5,700 wedges, four tasks by the session's setting, more by the work; hubs as v and as middle."""
+    edges = frame(spark, [(a, 100 + b) for a in range(20) for b in range(30)])
+    monkeypatch.setattr(graphs, "WEDGES", 1_000, raising=False)
+    for hub in (10_000, 7):
+        pairs = graphs.opposite_pairs(edges, hub)
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            assert pairs.rdd.getNumPartitions() >= 8
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        got = [(min(r.v, r.w), max(r.v, r.w), r.paths) for r in pairs.collect()]
+        assert len(got) == len(set(got)) and sum(n * (n - 1) // 2 for *_, n in got) == 190 * 435
+
+
 def test_digests_keep_colliding_payloads_apart(spark):
     rows = [None, "", *(f"p{i % 70}" for i in range(400)), *["hot"] * 300]
     df = spark.createDataFrame([(r,) for r in rows], "text string").repartition(4)
