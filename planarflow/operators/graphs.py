@@ -29,32 +29,43 @@ def both_ways(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
     return edges.select(*within, "u", "v").unionByName(edges.select(*within, F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(edges: DataFrame, within: Sequence[str] = ()) -> DataFrame:
+def components(edges: DataFrame, within: Sequence[str] = (), simple: bool = False) -> DataFrame:
     """vertex and component, its least vertex that edges lead to; for vertices with an edge. With further columns, those of many graphs at once.
 
-    Each round every vertex takes the least label among its own and its neighbours', then the label of its label, which halves the
-    way that is left; it ends when no label changes. Labels meet by minima that combine before the shuffle, so a hub's neighbours
-    are gathered nowhere."""
+    Each round every vertex hooks onto its least lesser neighbour, hooks jump to their ends, and edges become those between ends: the number
+    of vertices that still have edges at least halves in two rounds, and the edges of a round are read once. Hooks meet by minima that
+    combine before the shuffle, so a hub's neighbours are gathered nowhere. simple: edges are a table that undirected() gave."""
     within = list(within)
-    edges = written(both_ways(undirected(edges, within), within), "edges")
-    labels = written(edges.select(*within, F.col("u").alias("vertex")).distinct().withColumn("component", F.col("vertex")), "labels")
+    edges = edges if simple else written(undirected(edges, within), "edges")
+    labels = None
     while True:
-        seen = edges.withColumnRenamed("v", "vertex").join(labels, [*within, "vertex"]).select(*within, F.col("u").alias("vertex"), "component")
-        near = written(seen.unionByName(labels).groupBy(*within, "vertex").agg(F.min("component").alias("near")), "near")
-        jump = near.select(*within, F.col("vertex").alias("near"), F.col("near").alias("far"))
-        new = near.join(jump, [*within, "near"], "left").select(*within, "vertex", F.least("near", "far").alias("component"))
-        new = written(new.join(labels.withColumnRenamed("component", "_old"), [*within, "vertex"]), "labels")
-        changed = not new.where("component <> _old").isEmpty()
-        labels = new.select(*within, "vertex", "component")
-        if not changed:
+        hooks = written(edges.groupBy(*within, F.col("u").alias("vertex")).agg(F.min("v").alias("component")), "hooks")
+        moved = True
+        while moved:
+            jump = hooks.select(*within, F.col("vertex").alias("component"), F.col("component").alias("_far"))
+            new = hooks.join(jump, [*within, "component"], "left").select(*within, "vertex", F.coalesce("_far", "component").alias("component"), F.col("_far").isNotNull().alias("_moved"))
+            new = written(new, "hooks")
+            moved = not new.where("_moved").isEmpty()
+            hooks = new.drop("_moved")
+        if labels is None:
+            ends = edges.select(*within, F.col("v").alias("vertex")).distinct().join(hooks, [*within, "vertex"], "left_anti")
+            labels = written(hooks.unionByName(ends.withColumn("component", F.col("vertex"))), "labels")
+        else:
+            to = hooks.select(*within, F.col("vertex").alias("component"), F.col("component").alias("_to"))
+            labels = written(labels.join(to, [*within, "component"], "left").select(*within, "vertex", F.coalesce("_to", "component").alias("component")), "labels")
+        for end in ("u", "v"):
+            to = hooks.select(*within, F.col("vertex").alias(end), F.col("component").alias("_to"))
+            edges = edges.join(to, [*within, end], "left").withColumn(end, F.coalesce("_to", end)).drop("_to")
+        edges = written(undirected(edges, within), "edges")
+        if edges.isEmpty():
             return labels
 
 
-def distances(edges: DataFrame, roots: DataFrame) -> DataFrame:
+def distances(edges: DataFrame, roots: DataFrame, simple: bool = False) -> DataFrame:
     """vertex, depth (edges to the nearest root) and parent, its least neighbour one step nearer; roots has vertex.
 
-    One round per depth: the frontier's neighbours, less all that were reached, are the next frontier."""
-    edges = written(both_ways(undirected(edges)), "edges")
+    One round per depth: the frontier's neighbours, less all that were reached, are the next frontier. simple: edges are a table that undirected() gave."""
+    edges = both_ways(edges if simple else written(undirected(edges), "edges"))
     frontier = roots.select("vertex").distinct().select("vertex", F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"))
     reached = frontier = written(frontier, "frontier")
     depth = 0

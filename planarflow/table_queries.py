@@ -167,9 +167,10 @@ SELECT l{STEPS}.id AS vertex, x AS component, d.depth, (SELECT min(b.id) FROM e
 def graph_frontiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and parts that purchases connect: components, and the order in which they are reached from the first customer."""
     sold = table(spark, sf_dir, "lineitem").select("l_orderkey", (2 * F.col("l_partkey") + 1).alias("v"))
-    edges = sold.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (2 * F.col("o_custkey")).alias("u")), "l_orderkey").select("u", "v").distinct()
-    found = graphs.components(edges)
-    return found.join(graphs.distances(edges, found.agg(F.min("vertex").alias("vertex"))), "vertex", "left").select("vertex", "component", "depth", "parent")
+    edges = sold.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), (2 * F.col("o_custkey")).alias("u")), "l_orderkey").select("u", "v")
+    edges = written(graphs.undirected(edges), "sold")
+    found = graphs.components(edges, simple=True)
+    return found.join(graphs.distances(edges, found.agg(F.min("vertex").alias("vertex")), simple=True), "vertex", "left").select("vertex", "component", "depth", "parent")
 
 
 @query("""WITH e AS MATERIALIZED (SELECT DISTINCT 2 * l_suppkey AS s, 2 * l_partkey + 1 AS p FROM lineitem), w AS (SELECT a.s AS x, b.s AS y, a.p FROM e a JOIN e b ON a.p = b.p AND a.s < b.s),

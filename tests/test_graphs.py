@@ -48,6 +48,24 @@ def test_components_and_distances(spark, seed, n, m):
     assert all(r.parent == (min(a for a in near[r.vertex] if depth.get(a) == r.depth - 1) if r.depth else None) for r in got)
 
 
+def test_edges_shrink_from_round_to_round(spark, monkeypatch):
+    sizes, plain = [], graphs.written
+
+    def noted(df, label):
+        out = plain(df, label)
+        if label == "edges":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graphs, "written", noted)
+    edges = random_edges(6, 80, 400) + [(900 - i, 901 - i) for i in range(30)] + [(300 + i, 400) for i in range(20)]  # a path, a star with a greater centre
+    near = adjacency(edges)
+    whole = plain(graphs.undirected(frame(spark, edges)), "whole")
+    found = {r.vertex: r.component for r in graphs.components(whole, simple=True).collect()}
+    assert found == {v: min(reach(near, [v])) for v in near}
+    assert sizes[-1] == 0 and all(b < a / 2 for a, b in zip([whole.count(), *sizes], sizes))
+
+
 def test_connected(spark):
     assert graphs.connected(frame(spark, [(1, 2), (2, 3)])) and not graphs.connected(frame(spark, [(1, 2), (3, 4)])) and graphs.connected(frame(spark, [(1, 1)]))
 
