@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from planarflow.sources.folders import written
+
 AT = "_at"
 #: monotonically_increasing_id has the task in its upper bits and the row within it in these.
 ROW_BITS = 33
@@ -60,6 +62,19 @@ def in_key(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(keys.select(key, "first_row"), rows[key].eqNullSafe(keys[key]), "left").drop(keys[key]).withColumn("place", F.col("row") - F.col("first_row")).drop("first_row")
 
 
+def placed(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of a table that sort_unique wrote by key, with row, place and records, as numbered(), in_key() and manifest() give.
+
+    The files of many keys are small and cost their opening, so they are read twice only: for what each key has in each range, and for the rows."""
+    parts = written(rows.groupBy(key, _range().alias("_range")).agg(F.count("*").alias("_n"), F.min(_within()).alias("_first")), "parts")
+    sizes = parts.groupBy("_range").agg(F.sum("_n").alias("_n"))
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    keys = parts.join(F.broadcast(starts), "_range").groupBy(F.col(key).alias("_key")).agg(F.min(F.col("_before") + F.col("_first")).alias("_first_row"), F.sum("_n").alias("records"))
+    out = rows.withColumn("_range", _range()).join(F.broadcast(starts), "_range").withColumn("row", F.col("_before") + _within())
+    out = out.join(keys, F.col(key).eqNullSafe(F.col("_key")))
+    return out.withColumn("place", F.col("row") - F.col("_first_row")).drop("_range", "_before", "_key", "_first_row")
+
+
 # --- files of bounded size --------------------------------------------------------------------------
 
 

@@ -104,9 +104,8 @@ def sorted_unique_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct orders of each supplier in sorted files by supplier, numbered over all and within their supplier."""
     path = new_folder(spark, "sorted")
     ordered.sort_unique(table(spark, sf_dir, "lineitem"), ["l_suppkey", "l_orderkey"], path, "l_suppkey", {"most": F.max("l_quantity")})
-    kept = ordered.numbered(spark.read.schema("l_orderkey long, n long, most double, _at long, l_suppkey long").parquet(path))
-    keys = ordered.manifest(kept, "l_suppkey", F.lit(8))
-    return ordered.in_key(kept, keys, "l_suppkey").join(keys.select("l_suppkey", "records"), "l_suppkey").select("l_suppkey", "l_orderkey", "n", "most", "row", "place", "records")
+    rows = spark.read.schema("l_orderkey long, n long, most double, _at long, l_suppkey long").parquet(path)
+    return ordered.placed(rows, "l_suppkey").select("l_suppkey", "l_orderkey", "n", "most", "row", "place", "records")
 
 
 #: Bytes of a shard of texts.

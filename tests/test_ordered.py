@@ -31,6 +31,20 @@ def test_rows_are_unique_in_order_and_numbered(spark, tmp_path):
     assert placed == want
 
 
+def test_places_take_two_reads_of_the_files(spark, tmp_path):
+    """A null key, keys over several ranges; the files are listed in one scan of the plan, and in one before it."""
+    rows = [(None if i % 31 == 0 else i % 5, (i * 37) % 101) for i in range(900)]
+    path = str(tmp_path / "t")
+    ordered.sort_unique(spark.createDataFrame(rows, "k long, v long").repartition(6), ["k", "v"], path, "k", tasks=7)
+    out = ordered.placed(table(spark, path, "v long, n long, _at long, k long"), "k")
+    order = sorted(set(rows), key=lambda r: (r[0] is not None, r))
+    at = {}
+    want = [(i, *r, at.setdefault(r[0], i)) for i, r in enumerate(order)]
+    got = sorted((tuple(r) for r in out.select("row", "k", "v", "place", "records").collect()))
+    assert got == [(i, k, v, i - first, sum(r[0] == k for r in order)) for i, k, v, first in want]
+    assert out._jdf.queryExecution().simpleString().count(f"file:{path}") == 1
+
+
 def test_files_hold_their_rows_in_order(spark, tmp_path):
     if not os.path.isdir(DATA):
         pytest.skip("the given tables are not here")
